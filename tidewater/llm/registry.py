@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import decontaminate, fingerprint, packing, quality, secrets, simhash, substrings, tokens, toxicity, warc
 from .common import documents
-from .tokens import count_tokens
 
 
 def vocabulary_file(name: str) -> str:
@@ -18,12 +18,46 @@ def vocabulary_file(name: str) -> str:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = count_tokens(documents(spark, sf_dir), lambda: vocabulary_file("byte_bpe_50k.json"))
+    counts = tokens.count_tokens(documents(spark, sf_dir), lambda: vocabulary_file("byte_bpe_50k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_token_counts": op1_token_counts,
-}
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("payload", "url")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), lambda: vocabulary_file("word_bpe_49k.json"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compared_with_next(documents(spark, sf_dir))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_scan(documents(spark, sf_dir))
+
+
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_warc, op4_packing, op5_decontamination, op6_quality, op7_fingerprints, op8_simhash, op9_secrets, op10_substrings)}
 
 ORACLES: dict[str, str] = {}
