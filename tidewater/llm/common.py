@@ -14,6 +14,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Stands for a null doc_id where keys are compared.
+NO_ID = (1 << 63) - 1
 DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 

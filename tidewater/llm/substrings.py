@@ -26,14 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, count_bytes, records
+from .common import NO_ID, blocks, count_bytes, records
 
 WINDOW, DEPTH, SLOTS, MAX_BITS = 13, 2, 3, 1 << 30
 #: Bytes of text whose windows a task holds at a time.
 BLOCK_BYTES = 12 << 20
 #: Bytes of text for a window at least, to size the sketch before reading it.
 BYTES_A_WORD = 6
-NO_ID = (1 << 63) - 1
 CHUNK = 1 << 16
 KNOWN_WORDS = 600_000
 
