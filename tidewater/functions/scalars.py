@@ -85,9 +85,9 @@ def anomaly_reason(score: Column | str, s=SETTINGS) -> Column:
     change, volume, shift = feature("price_change_rate"), feature("total_volume"), feature("sentiment_shift")
     parts = F.concat_ws(
         "; ",
-        F.when(F.abs(change) > s.reason_price_change, F.format_string("large price move (%.2f%%)", change * 100)),
+        F.when(F.abs(change) > s.reason_price_change, F.format_string("large price move (%.2f%%)", rounded(change * 100, 2))),
         F.when(volume > s.reason_volume, F.concat(F.lit("high volume ("), grouped_number(volume), F.lit(")"))),
-        F.when(F.abs(shift) > s.reason_sentiment_shift, F.format_string("sentiment shift (%.2f)", shift)),
+        F.when(F.abs(shift) > s.reason_sentiment_shift, F.format_string("sentiment shift (%.2f)", rounded(shift, 2))),
     )
     return F.when(parts == "", F.format_string("anomaly score=%.4f", col(score))).otherwise(parts)
 

@@ -6,7 +6,6 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tidewater.config import FEATURES, SETTINGS, Settings
 
@@ -83,7 +82,7 @@ def with_hst(features: DataFrame, order: list[str], s: Settings = SETTINGS, warm
         return pdf.assign(hst=scores)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in features.schema.fields)
-    return features.groupBy(F.lit(1)).applyInPandas(run, f"{schema}, hst double")
+    return features.groupBy().applyInPandas(run, f"{schema}, hst double")
 
 
 def with_iforest(features: DataFrame, model: IsolationForest) -> DataFrame:
@@ -96,3 +95,19 @@ def with_iforest(features: DataFrame, model: IsolationForest) -> DataFrame:
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in features.schema.fields)
     return features.mapInPandas(run, f"{schema}, isolation_forest double")
+
+
+def timed_replay(features: DataFrame, order: list[str], s: Settings = SETTINGS, make_cep: Callable[[], CepDetector] | None = None) -> DataFrame:
+    """ticker, latency_ms of every row's CEP score; learning is not timed."""
+    from time import perf_counter
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        cep, out = make_cep() if make_cep else CepDetector(s), []
+        for row in pdf.sort_values(order, kind="stable").to_dict("records"):
+            began = perf_counter()
+            cep.score(row)
+            out.append((row["ticker"], (perf_counter() - began) * 1000))
+            cep.update(row)
+        return pd.DataFrame(out, columns=["ticker", "latency_ms"])
+
+    return features.groupBy("ticker").applyInPandas(run, "ticker string, latency_ms double")

@@ -37,7 +37,7 @@ def recent_alerts(alerts: DataFrame, ticker: str | None = None, n: int = 50, hig
 
 
 def model_versions(registry: DataFrame, n: int = 20) -> DataFrame:
-    return registry.orderBy(F.desc("trained_at"), F.desc("version")).limit(n)
+    return registry.orderBy(F.desc("trained_at"), F.desc("version"), "model_name").limit(n)
 
 
 def in_lookback(df: DataFrame, time: str, hours: float, asof: int, ticker: str | None = None) -> DataFrame:

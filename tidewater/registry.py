@@ -1,14 +1,6 @@
 """All queries of the engine with their DuckDB oracles."""
 
-from __future__ import annotations
+from tidewater.queries import dashboards, models, relational, scalar  # noqa: F401  registers them
+from tidewater.queries.base import ORACLES, QUERIES, flagship
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+__all__ = ["ORACLES", "QUERIES", "flagship"]

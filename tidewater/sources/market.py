@@ -42,18 +42,18 @@ def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ticker (an order priority), day (days since 1970), close (mean price, from exact cents), volume."""
     orders = table(spark, sf_dir, "orders")
     cents = F.floor(F.col("o_totalprice") * 100 + F.lit(0.5))
-    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date"))
+    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
     bars = orders.select(F.col("o_orderpriority").alias("ticker"), day.alias("day"), cents.alias("cents"))
     return bars.groupBy("ticker", "day").agg((F.sum("cents") / F.count(F.lit(1)) / F.lit(100.0)).alias("close"), F.count(F.lit(1)).alias("volume"))
 
 
 #: The same tables as SQL that DuckDB runs.
-TICKS_SQL = """ticks AS (SELECT 'T' || CAST(user_id % 5 AS VARCHAR) AS ticker, epoch_ms(ts) AS ts, event_id,
+TICKS_SQL = """ticks AS (SELECT 'T' || CAST(user_id % 5 AS VARCHAR) AS ticker, epoch_us(ts) // 1000 AS ts, event_id,
   CAST(floor(value * 100 + CAST(0.5 AS DOUBLE)) AS BIGINT) * 2 + 1000000 AS close_e4,
   (CAST(floor(value * 100 + CAST(0.5 AS DOUBLE)) AS BIGINT) * 2 + 1000000) / CAST(10000 AS DOUBLE) AS close,
   CAST(json_extract_string(props, '$.k') AS BIGINT) AS volume
   FROM events WHERE event_type IN ('view', 'click', 'purchase'))"""
-NEWS_SQL = """news AS (SELECT 'T' || CAST(user_id % 5 AS VARCHAR) AS ticker, epoch_ms(ts) AS ts, event_id, s AS score_c, s / CAST(100 AS DOUBLE) AS score,
+NEWS_SQL = """news AS (SELECT 'T' || CAST(user_id % 5 AS VARCHAR) AS ticker, epoch_us(ts) // 1000 AS ts, event_id, s AS score_c, s / CAST(100 AS DOUBLE) AS score,
   CASE WHEN s = 0 THEN 'neutral' WHEN event_type = 'error' THEN 'negative' ELSE 'positive' END AS label
   FROM (SELECT *, CASE WHEN event_type = 'error' THEN -1 ELSE 1 END * CAST(json_extract_string(props, '$.k') AS BIGINT) AS s FROM events WHERE event_type IN ('error', 'signup')))"""
 BARS_SQL = """bars AS (SELECT o_orderpriority AS ticker, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS day,
