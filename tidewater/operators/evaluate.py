@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,13 +46,19 @@ def matches(detections: DataFrame, truth: DataFrame, tolerance: int = SETTINGS.t
     return rows.groupBy("bucket", "run").applyInPandas(greedy, "d long, g long")
 
 
+def beside(*rows: DataFrame) -> DataFrame:
+    """Single-row frames with different columns as one row."""
+    stacked = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), rows)
+    return stacked.agg(*(F.max(c).alias(c) for c in stacked.columns))
+
+
 def metrics(detections: DataFrame, truth: DataFrame, rows: int, tolerance: int = SETTINGS.tolerance) -> DataFrame:
     """One row: detections, true and false positives, misses, precision, recall, f1, fp_rate, latency_mean, latency_median."""
     found = matches(detections, truth, tolerance).withColumn("latency", F.abs(F.col("d") - F.col("g")))
     a = found.agg(F.count(F.lit(1)).alias("tp"), F.coalesce(rounded(F.avg("latency"), 2), F.lit(0.0)).alias("latency_mean"), F.coalesce(rounded(F.median("latency"), 2), F.lit(0.0)).alias("latency_median"))
     d = detections.agg(F.countDistinct("d").alias("detections"))
     g = truth.agg(F.countDistinct("g").alias("truths"))
-    both = a.crossJoin(d).crossJoin(g)  # three single rows
+    both = beside(a, d, g)
     ratio = lambda x, y: F.when(y > 0, x / y).otherwise(F.lit(0.0))
     fp, fn = F.col("detections") - F.col("tp"), F.col("truths") - F.col("tp")
     p, r = ratio(F.col("tp"), F.col("detections")), ratio(F.col("tp"), F.col("truths"))
@@ -108,7 +116,7 @@ def latency_stats(df: DataFrame, latency: str = "latency_ms") -> DataFrame:
     running = counts.withColumn("upto", F.sum("k").over(Window.orderBy("v")))
     p99 = running.where(F.col("upto") >= at).agg(F.min("v").alias("p99"))
     whole = df.agg(F.avg(latency).alias("mean"), F.median(latency).alias("median"), F.max(latency).alias("max"))
-    return whole.crossJoin(p99).select(*(rounded(c, 4).alias(c) for c in ("mean", "median", "p99", "max")))
+    return beside(whole, p99).select(*(rounded(c, 4).alias(c) for c in ("mean", "median", "p99", "max")))
 
 
 def first_drift(drifts: DataFrame, start: int) -> DataFrame:

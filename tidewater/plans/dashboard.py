@@ -30,10 +30,11 @@ def latest_news(news: DataFrame, ticker: str, n: int = 50) -> DataFrame:
 
 
 def recent_alerts(alerts: DataFrame, ticker: str | None = None, n: int = 50, high: float = SETTINGS.severity_high) -> DataFrame:
-    """The latest alerts, each beside the totals of the selection; the totals are one aggregate of one pass."""
+    """The latest alerts, each beside the totals of the selection; the totals are scalar subqueries, which Catalyst merges into one pass."""
     chosen = one_ticker(alerts, ticker)
-    totals = chosen.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("score") < high).alias("high"), F.count_if(F.col("score") >= high).alias("normal"))
-    return chosen.orderBy(F.desc("ts"), "ticker").limit(n).crossJoin(F.broadcast(totals)).withColumn("severity", severity("score", high))  # totals: one row
+    latest = chosen.orderBy(F.desc("ts"), "ticker").limit(n).withColumn("severity", severity("score", high))
+    text = """SELECT *, (SELECT count(*) FROM {chosen}) AS total, (SELECT count_if(score < :high) FROM {chosen}) AS high, (SELECT count_if(score >= :high) FROM {chosen}) AS normal FROM {latest}"""
+    return alerts.sparkSession.sql(text, args={"high": high}, chosen=chosen, latest=latest)
 
 
 def model_versions(registry: DataFrame, n: int = 20) -> DataFrame:
