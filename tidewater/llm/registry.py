@@ -60,4 +60,20 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_warc, op4_packing, op5_decontamination, op6_quality, op7_fingerprints, op8_simhash, op9_secrets, op10_substrings)}
 
-ORACLES: dict[str, str] = {}
+WARC_SQL = """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT h, count(*) AS copies, max(page_id) AS response FROM p GROUP BY h)
+SELECT page_id, n AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+  CASE WHEN copies > 1 AND page_id <> response THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN copies > 1 AND page_id <> response THEN response END AS refers_to
+FROM p JOIN g USING (h)"""
+
+SUBSTRINGS_SQL = r"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)),
+m AS (SELECT k, min(doc_id) AS first FROM g GROUP BY k),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM g JOIN m USING (k) WHERE first < doc_id),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS t, count(*) AS n FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM w) x WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = x.doc_id AND c.j = x.j) GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
+
+#: Tokenizers, classifiers, xxHash and gzip are beyond SQL: the others are tested in tests/llm.
+ORACLES: dict[str, str] = {"op3_warc": WARC_SQL, "op10_substrings": SUBSTRINGS_SQL}
