@@ -20,7 +20,6 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import records
 
@@ -179,4 +178,4 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min
                 yield batch.filter(pa.array([not matcher.find(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(work, docs.schema)
-    return docs.select(F.col("*"))
+    return docs

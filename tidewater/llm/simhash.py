@@ -173,6 +173,14 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, s
 
 
 def keep_one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The documents whose doc_id is the smallest of their class; of rows that share a doc_id one stays."""
-    keep = near_duplicates(docs, radius).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Of each class the document with the smallest doc_id; of rows that share a doc_id one stays.
+
+    A null doc_id stands for an id of its text's own, larger than all others: such a document stays if no
+    document with an id is in its class.
+    """
+    key = "__key_of_the_document"
+    own = F.lit(1 << 62) + F.xxhash64("text").bitwiseAND((1 << 62) - 1)
+    keyed = docs.withColumn(key, F.coalesce("doc_id", own))
+    classes = near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), radius)
+    keep = classes.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(keep, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
