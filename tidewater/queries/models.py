@@ -13,7 +13,8 @@ from tidewater.operators import enrich, evaluate, event_study, inject, sequence,
 from tidewater.operators import features as feature_ops
 from tidewater.operators.cep.detector import CepDetector, primitive_events
 from tidewater.operators.ensemble import ensemble_score
-from tidewater.plans import dashboard
+from tidewater.plans import backtest, dashboard
+from tidewater.schemas import TABLES
 from tidewater.scratch import scratch, stored
 from tidewater.session import table
 from tidewater.sources import market
@@ -289,3 +290,24 @@ def _(s, d):
 def _(s, d):
     """The stream's stateful operator on a batch: the same kernels as the replay."""
     return pipeline.scored(enriched(s, d)).select("ticker", "window_end", "ewma", "cep", "anomaly_score", "is_anomaly", "reason")
+
+
+# Whole runs.
+
+
+@query("run_backtest")
+def _(s, d):
+    return backtest.backtest(enriched(s, d), ["window_end"], CEP, "T1")["metrics"]
+
+
+@query("run_compare_methods")
+def _(s, d):
+    return backtest.compare_methods(enriched(s, d), ["window_end"], CEP)
+
+
+@query("run_retrain")
+def _(s, d):
+    registry = s.createDataFrame([], TABLES["model_versions"][0])
+    for _ in range(2):
+        registry = backtest.retrain(s, enriched(s, d), registry, scratch(s, "models"))
+    return registry.drop("trained_at", "model_path")

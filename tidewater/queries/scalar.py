@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewater.functions import scalars as S
+from tidewater.functions import sentiment
 from tidewater.session import table
 from tidewater.sources import market
 from tidewater.sources.market import NEWS_SQL, TICKS_SQL
@@ -101,3 +102,22 @@ def _(s, d):
 @query("scl16_preview", "SELECT doc_id, substr(text, 1, 60) AS preview FROM documents")
 def _(s, d):
     return table(s, d, "documents").select("doc_id", S.headline_preview("text").alias("preview"))
+
+
+LEXICON = (("the", "erhe", "le"), ("of", "anti", "la"))
+
+
+@query(
+    "scl01_lexicon",
+    """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')[1:512] AS ws FROM documents),
+c AS (SELECT doc_id, len(list_filter(ws, lambda x: x IN ('the', 'erhe', 'le'))) AS p, len(list_filter(ws, lambda x: x IN ('of', 'anti', 'la'))) AS n FROM w)
+SELECT doc_id, s AS score, CASE WHEN s > 0 THEN 'positive' WHEN s < 0 THEN 'negative' ELSE 'neutral' END AS label FROM (SELECT doc_id, CASE WHEN p + n = 0 THEN 0::DOUBLE ELSE (p - n) / (p + n) END AS s FROM c)""",
+)
+def _(s, d):
+    rows = table(s, d, "documents").select("doc_id", sentiment.lexicon_score("text", *LEXICON).alias("score"))
+    return rows.withColumn("label", sentiment.lexicon_label("score"))
+
+
+@query("cfg07_pluggable_sentiment", f"WITH {NEWS_SQL} SELECT event_id, label AS sentiment_label, CASE label WHEN 'negative' THEN -0.5::DOUBLE WHEN 'positive' THEN 0.5::DOUBLE ELSE 0::DOUBLE END AS sentiment_score FROM news")
+def _(s, d):
+    return sentiment.scored_texts(market.news(s, d).select("event_id", "label"), "label", lambda texts: [(t.upper(), 0.5) for t in texts]).drop("label")

@@ -13,7 +13,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from tidewater.config import FEATURES, SETTINGS, Settings
 from tidewater.functions.scalars import anomaly_reason, price_change_rate
 from tidewater.operators.ensemble import ensemble_score
-from tidewater.operators.sequence import REPLAY, Key
+from tidewater.operators.detectors.iforest import IsolationForest
+from tidewater.operators.sequence import REPLAY, Key, with_iforest
 
 SCORED = f"ticker string, window_end long, price_change_rate double, total_volume double, avg_sentiment double, sentiment_shift double, {REPLAY}"
 
@@ -53,11 +54,15 @@ class Scoring(StatefulProcessor):
         pass
 
 
-def scored(features: DataFrame, mode: str = "append") -> DataFrame:
-    """Scores of a stream (or a batch) of features with ticker, window_end (epoch ms) and the detectors' features."""
+def scored(features: DataFrame, mode: str = "append", forest: IsolationForest | None = None) -> DataFrame:
+    """Scores of a stream (or a batch) of features with ticker, window_end (epoch ms) and the detectors' features; with a forest also its scores."""
+    _ = features.sparkSession.streams.active  # a batch needs the state stores' coordinator as well, which this starts
     rows = features.select("ticker", "window_end", *(F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in FEATURES))
     out = rows.groupBy("ticker").transformWithStateInPandas(Scoring(), outputStructType=SCORED, outputMode=mode, timeMode="None")
-    score = ensemble_score({"ewma": F.col("ewma"), "lstm_ae": F.col("lstm_ae")}, SETTINGS.weights)
+    names = ["ewma", "lstm_ae"]
+    if forest:
+        out, names = with_iforest(out, forest), [*names, "isolation_forest"]
+    score = ensemble_score({n: F.col(n) for n in names}, SETTINGS.weights)
     out = out.withColumn("anomaly_score", score).withColumn("is_anomaly", F.col("anomaly_score") < SETTINGS.threshold)
     return out.withColumn("reason", anomaly_reason("anomaly_score"))
 
