@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import records, row_ref, saved, texts_of
+from .common import NO_ID, records, saved, texts_of
 
 #: Units broadcast; the rest is joined by a shuffle.
 HOT_UNITS = 1 << 18
@@ -60,14 +60,14 @@ def count_tokens(docs: DataFrame, tokenizer_path: str | Callable[[], str], hot_u
     """One row per input row: doc_id, n_bytes, n_tokens, n_units (distinct pre-tokens of the text; 1 for texts taken whole)."""
     spark = docs.sparkSession
     where = tokenizer_path if callable(tokenizer_path) else lambda: tokenizer_path
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("ref"))
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("unit", pa.string()), ("freq", pa.int64())])
         firsts: Counter = Counter()
         found: Counter = Counter()
         for batch in batches:
-            for text in texts_of(batch):
+            for text in texts_of(batch, "text"):
                 if text and plain(text):
                     first, rest = units(text)
                     firsts[first] += 1
@@ -93,14 +93,14 @@ def count_tokens(docs: DataFrame, tokenizer_path: str | Callable[[], str], hot_u
     hot = spark.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True)))
 
     def by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("ref", pa.binary()), ("n_bytes", pa.int64()), ("n_units", pa.int64()), ("sum_hot", pa.int64()), ("cold", pa.list_(pa.string())), ("times", pa.list_(pa.int32()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("ref", pa.int64()), ("n_bytes", pa.int64()), ("n_units", pa.int64()), ("sum_hot", pa.int64()), ("cold", pa.list_(pa.string())), ("times", pa.list_(pa.int32()))])
         tokenizer = None
         known = {u[1:]: n for u, n in hot.value.items() if u[0] == " "}
         starts = {u: n for u, n in hot.value.items() if u[0] != " "}
         for batch in batches:
-            refs, sizes, n_units, sums = [], [], [], []
+            sizes, n_units, sums = [], [], []
             cold, times, ends = [], [], [0]
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
+            for text in texts_of(batch):
                 n = total = 0
                 if text and plain(text):
                     first, rest = units(text)
@@ -119,16 +119,20 @@ def count_tokens(docs: DataFrame, tokenizer_path: str | Callable[[], str], hot_u
                 elif text:
                     tokenizer = tokenizer or load_tokenizer(where())
                     n, total = 1, len(tokenizer.encode(text, add_special_tokens=False))
-                refs.append(row_ref(doc_id, text))
                 sizes.append(len(text.encode("utf-8", "surrogatepass")))
                 n_units.append(n)
                 sums.append(total)
                 ends.append(len(cold))
             ends = pa.array(ends, pa.int32())
-            yield records(schema, [batch.column(0), refs, sizes, n_units, sums, pa.ListArray.from_arrays(ends, pa.array(cold, pa.string())), pa.ListArray.from_arrays(ends, pa.array(times, pa.int32()))])
-
-    rows = saved(docs.mapInArrow(by_document, "doc_id long, ref binary, n_bytes long, n_units long, sum_hot long, cold array<string>, times array<int>"), "unit-counts")
-    rare = rows.select("ref", "times", F.posexplode("cold").alias("pos", "unit")).select("ref", "pos", "unit", F.element_at("times", F.col("pos") + 1).alias("times"))
-    # Equal rows share a ref: their sums add up and so do the marks of their first entries.
-    rare = rare.join(vocabulary.select("unit", "pieces"), "unit").groupBy("ref").agg((F.sum(F.col("times").cast("long") * F.col("pieces")) / F.sum((F.col("pos") == 0).cast("int"))).cast("long").alias("sum_cold"))
-    return rows.drop("cold", "times").join(rare, "ref", "left").select("doc_id", "n_bytes", (F.col("sum_hot") + F.coalesce("sum_cold", F.lit(0))).alias("n_tokens"), "n_units")
+            yield records(schema, [batch.column(0), batch.column(2), sizes, n_units, sums, pa.ListArray.from_arrays(ends, pa.array(cold, pa.string())), pa.ListArray.from_arrays(ends, pa.array(times, pa.int32()))])
+
+    rows = saved(docs.mapInArrow(by_document, "doc_id long, ref long, n_bytes long, n_units long, sum_hot long, cold array<string>, times array<int>"), "unit-counts")
+    # Twice the frequency, and one for the row's first entry: rows that repeat share (doc, ref), so their
+    # sums add up and so do their first entries.  A null doc_id has a place of its own among the keys.
+    doc = F.coalesce("doc_id", F.lit(NO_ID)).alias("doc")
+    rare = rows.select(doc, "ref", "times", F.posexplode("cold").alias("pos", "unit"))
+    rare = rare.select("doc", "ref", "unit", (2 * F.element_at("times", F.col("pos") + 1) + (F.col("pos") == 0).cast("int")).alias("times"))
+    rare = rare.join(vocabulary.select("unit", "pieces"), "unit")
+    rare = rare.groupBy("doc", "ref").agg((F.sum(F.floor(F.col("times") / 2) * F.col("pieces")) / F.sum(F.col("times") % 2)).cast("long").alias("sum_cold"))
+    rows = rows.select("doc_id", doc, "ref", "n_bytes", "sum_hot", "n_units").join(rare, ["doc", "ref"], "left")
+    return rows.select("doc_id", "n_bytes", (F.col("sum_hot") + F.coalesce("sum_cold", F.lit(0))).alias("n_tokens"), "n_units")
