@@ -99,6 +99,9 @@ class Many:
     def step(self, events: Iterable[str], row: dict | None = None) -> float:
         """The severity if a match was completed in this window, else 0."""
         events, fired = set(events), False
+        if not self.runs and self.starts.isdisjoint(events):  # most windows
+            self.clock += 1
+            return 0.0
         eaten: set[str] = set()
         runs: list[Run] = []
         for run in self.runs:
