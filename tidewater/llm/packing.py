@@ -36,7 +36,7 @@ MAX_TOKENS, END_ID, SHARDS = 4096, 1, 128
 #: tokens, documents, attention cost
 WEIGHTS = (1.0, 0.01, 0.01)
 #: Words whose ids a task remembers.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 600_000
 
 _UNSAFE = re.compile(r"[^\t\n\r -~À-ÖØ-öø-ÿ]")
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
@@ -50,18 +50,24 @@ class WordIds(dict):
     """
 
     def __init__(self, tokenizer) -> None:
-        self.model = tokenizer.model
+        self.model, self.parts = tokenizer.model, {}
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in visible]
         self.letters = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
     def __missing__(self, word: str) -> bytes:
-        ids: list[int] = []
-        for part in _PARTS.findall(word.lower()):
-            ids += [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]
+        found = b""
+        lower = word.lower()
+        for part in (lower,) if lower.isalpha() else _PARTS.findall(lower):
+            # Words that differ in case or punctuation share their parts.
+            if (ids := self.parts.get(part)) is None:
+                if len(self.parts) > KNOWN_WORDS:
+                    self.parts.clear()
+                ids = self.parts[part] = np.fromiter((t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))), "<u4").tobytes()
+            found += ids
         if len(self) > KNOWN_WORDS:
             self.clear()
-        found = self[word] = np.array(ids, "<u4").tobytes()
+        self[word] = found
         return found
 
 
