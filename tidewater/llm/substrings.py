@@ -1,7 +1,7 @@
 """Substring dedup with a count-min prefilter: only windows estimated repeated are grouped exactly.
 
 Pass 1: every task hashes its word windows to the slots of a count-min sketch and sends, for each
-chunk of 65,536 slots, which slots it has seen and which more than once; the partition sketches are
+chunk of slots, which slots it has seen and which more than once; the partition sketches are
 merged chunk by chunk.  A merged estimate is never below the true count, so a window that repeats is
 always estimated repeated.  Pass 2: windows with an estimate of two or more in every row of the sketch
 are grouped by a 96-bit hash of their words.  A task settles what it can: windows whose words also
@@ -9,7 +9,7 @@ start in a smaller doc_id of the same block are removed at once, and only the bl
 of each window is shuffled, so a passage in a third of all documents sends a few rows a task.
 
 The sketch has `slots` slots a window and row, at most `max_bits` in all; it is broadcast as one bit a
-slot.  Where the bound binds, more windows pass the filter and are grouped: slower, same result.
+slot.  What is shuffled is packed: a binary value for each block and part.  Where the bound binds, more windows pass the filter and are grouped: slower, same result.
 
 Null texts have no words.  Rows that share a doc_id never remove each other's words; a null doc_id
 counts as larger than any other.  Repeated rows each get their row.  Other columns are ignored.
@@ -18,23 +18,28 @@ counts as larger than any other.  Repeated rows each get their row.  Other colum
 from __future__ import annotations
 
 import hashlib
+import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import NO_ID, blocks, count_bytes, records
 
 WINDOW, DEPTH, SLOTS, MAX_BITS = 13, 2, 3, 1 << 30
 #: Bytes of text whose windows a task holds at a time.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 #: Bytes of text for a window at least, to size the sketch before reading it.
 BYTES_A_WORD = 6
-CHUNK = 1 << 16
-KNOWN_WORDS = 600_000
+#: Slots of the sketch that are merged at a time.
+CHUNK = 1 << 18
+#: Bytes of text whose hashes, or documents, make a part; starts that a task gathers before it hands them on.
+PART_BYTES, FLUSH_STARTS = 16 << 20, 2_000_000
+KNOWN_WORDS = 250_000
 
 
 class WordHashes(dict):
@@ -65,14 +70,15 @@ class Windows:
     """The windows of a block of texts: hash, row and position of each."""
 
     def __init__(self, texts: list, window: int, hashes: WordHashes) -> None:
-        words = [words_of(t) for t in texts]
-        n = np.array([len(w) for w in words], np.int64)
-        self.words = np.fromiter((hashes[w] for ws in words for w in ws), np.uint64, int(n.sum()))
+        hashed = [np.array(list(map(hashes.__getitem__, words_of(t))), np.uint64) for t in texts]
+        n = np.array([len(w) for w in hashed], np.int64)
+        self.words = np.concatenate([np.empty(0, np.uint64), *hashed])
+        del hashed
         ends = np.cumsum(n)
         counts = np.maximum(n - window + 1, 0)
-        self.row = np.repeat(np.arange(len(n)), counts)
-        self.pos = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-        self.at = np.repeat(ends - n, counts) + self.pos
+        self.row = np.repeat(np.arange(len(n), dtype=np.int32), counts)
+        self.pos = (np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
+        self.at = (np.repeat(ends - n, counts) + self.pos).astype(np.int32)
         self.window = window
 
     def hash(self, seed: int, of: np.ndarray | None = None) -> np.ndarray:
@@ -118,9 +124,9 @@ def merged_sketch(docs: DataFrame, window: int, depth: int, width: int) -> np.nd
                 first = np.flatnonzero(np.diff(slots, prepend=-1))
                 times = np.diff(first, append=len(slots))
                 slots = slots[first]
-                cuts = np.flatnonzero(np.diff(slots >> 16, prepend=-1))
-                seen, again, chunks = [], [], (slots[cuts] >> 16).astype(np.int32)
-                low, twice = slots & 0xFFFF, times > 1
+                cuts = np.flatnonzero(np.diff(slots // CHUNK, prepend=-1))
+                seen, again, chunks = [], [], (slots[cuts] // CHUNK).astype(np.int32)
+                low, twice = slots % CHUNK, times > 1
                 for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(slots)], strict=True):
                     seen.append(packed(low[a:b]))
                     again.append(packed(low[a:b][twice[a:b]]))
@@ -155,6 +161,17 @@ def merged_sketch(docs: DataFrame, window: int, depth: int, width: int) -> np.nd
     return bits
 
 
+def least_of(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the smallest id of each group of equal hashes, the group of every row)."""
+    order = np.lexsort((ids, h2, h1))
+    a, b = h1[order], h2[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new) - 1
+    return ids[order][new], group
+
+
 def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
     """Which of n words lie in a window that starts at one of `starts`."""
     steps = np.zeros(n + window + 1, np.int64)
@@ -164,17 +181,77 @@ def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(steps)[:n] > 0
 
 
+def pack(docs: np.ndarray, refs: np.ndarray, pos: np.ndarray, h1: np.ndarray | None = None, h2: np.ndarray | None = None) -> bytes:
+    """Positions of rows in order of (doc, ref): each run's ids once, steps of the positions by byte planes; hashes as they are."""
+    new = np.ones(len(docs), bool)
+    new[1:] = (docs[1:] != docs[:-1]) | (refs[1:] != refs[:-1])
+    at = np.flatnonzero(new)
+    runs = np.diff(at, append=len(docs)).astype(np.int32)
+    planes = np.diff(pos.astype(np.int32), prepend=np.int32(0)).view(np.uint8).reshape(-1, 4).T
+    rest = zlib.compress(docs[at].tobytes() + refs[at].tobytes() + runs.tobytes() + np.ascontiguousarray(planes).tobytes(), 1)
+    hashes = b"" if h1 is None else h1.tobytes() + h2.tobytes()
+    return struct.pack("<II", len(docs), len(at)) + hashes + rest
+
+
+def unpack(data: bytes, hashed: bool) -> tuple[np.ndarray, ...]:
+    """(docs, refs, runs, pos) and, if hashed, (h1, h2); docs and refs once a run."""
+    n, m = struct.unpack_from("<II", data)
+    at = 8 + 12 * n * hashed
+    rest = zlib.decompress(data[at:])
+    docs, refs = np.frombuffer(rest, np.int64, m), np.frombuffer(rest, np.int64, m, 8 * m)
+    runs = np.frombuffer(rest, np.int32, m, 16 * m)
+    planes = np.frombuffer(rest, np.uint8, 4 * n, 20 * m).reshape(4, n)
+    pos = np.cumsum(np.ascontiguousarray(planes.T).view(np.int32).ravel(), dtype=np.int32)
+    if not hashed:
+        return docs, refs, runs, pos
+    return docs, refs, runs, pos, np.frombuffer(data, np.uint64, n, 8), np.frombuffer(data, np.uint32, n, 8 + 8 * n)
+
+
+def split(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The places of each key, in order."""
+    if not len(keys):
+        return
+    keys = keys.astype(np.int64)
+    order = np.argsort(keys, kind="stable")
+    cuts = np.flatnonzero(np.diff(keys[order], prepend=-1))
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)], strict=True):
+        yield int(keys[order[a]]), order[a:b]
+
+
+_BITS: dict[int, np.ndarray] = {}
+
+
+def sketch_bits(shared) -> np.ndarray:
+    """The broadcast sketch, unpacked once a worker."""
+    key = id(shared.value)
+    if key not in _BITS:
+        _BITS.clear()
+        _BITS[key] = np.frombuffer(zlib.decompress(shared.value), np.uint8)
+    return _BITS[key]
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, slots: float = SLOTS, max_bits: int = MAX_BITS, with_text: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept, the remaining words joined by one space."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("ref"))
     _, n_bytes = count_bytes(docs)
     width = int(min(max(CHUNK, slots * n_bytes / BYTES_A_WORD), max_bits // depth, (1 << 32) - 1))
-    sketch = spark.sparkContext.broadcast(merged_sketch(docs, window, depth, width))
+    sketch = spark.sparkContext.broadcast(zlib.compress(merged_sketch(docs, window, depth, width).tobytes(), 1))
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Hashes are dealt into parts and documents into shelves; a task takes one of them at a time.
+    parts = max(shuffles, n_bytes // PART_BYTES)
+    packed_schema = pa.schema([("part", pa.int32()), ("kind", pa.int8()), ("data", pa.binary())])
+
+    def shelves(ids: np.ndarray, refs: np.ndarray, pos: np.ndarray) -> list[tuple[int, int, bytes]]:
+        """Starts of windows to remove, packed by the shelf of their document."""
+        out = []
+        for shelf, at in split(refs.view(np.uint64) % np.uint64(parts)):
+            at = at[np.lexsort((pos[at], refs[at], ids[at]))]
+            out.append((shelf, 1, pack(ids[at], refs[at], pos[at])))
+        return out
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), ("doc", pa.int64()), ("ref", pa.int64()), ("pos", pa.int32()), ("run", pa.binary())])
-        hashes, bits = WordHashes(), sketch.value
+        hashes, bits = WordHashes(), sketch_bits(sketch)
         for batch in blocks(batches, "text", BLOCK_BYTES):
             ids = np.array([NO_ID if i is None else i for i in batch.column(0).to_pylist()], np.int64)
             refs = batch.column(2).to_numpy(zero_copy_only=False)
@@ -186,49 +263,93 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, sl
                 often &= (bits[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
             often = np.flatnonzero(often)
             h1, h2 = h1[often], windows.hash(2, often).astype(np.uint32)
-            row, pos = windows.row[often], windows.pos[often].astype(np.int32)
-            order = np.lexsort((ids[row], h2, h1))
-            h1, h2, row, pos = h1[order], h2[order], row[order], pos[order]
-            new = np.ones(len(h1), bool)
-            new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-            group = np.cumsum(new) - 1
-            least = ids[row][new]
-            settled = ids[row] > least[group] if len(row) else np.zeros(0, bool)
-            ask = ~settled
-            # By document, so that the rows' ids and positions compress.
-            by = np.flatnonzero(ask)[np.lexsort((pos[ask], row[ask]))]
-            none = pa.nulls(len(by), pa.binary())
-            yield records(schema, [pa.array(h1[by].view(np.int64)), pa.array(h2[by].view(np.int32)), pa.array(ids[row[by]]), pa.array(refs[row[by]]), pa.array(pos[by]), none])
-            row, pos = row[settled], pos[settled]
-            order = np.lexsort((pos, row))
-            row, pos = row[order], pos[order]
-            cuts = np.flatnonzero(np.diff(row, prepend=-1))
-            runs = [pos[a:b].tobytes() for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(row)], strict=True)]
-            at = row[cuts]
-            yield records(schema, [pa.array(refs[at]), pa.nulls(len(at), pa.int32()), pa.array(ids[at]), pa.array(refs[at]), pa.nulls(len(at), pa.int32()), runs])
-
-    found = docs.mapInArrow(candidates, "h1 long, h2 int, doc long, ref long, pos int, run binary")
-    same = Window.partitionBy("h1", "h2").orderBy(F.when(F.col("run").isNull(), F.col("doc")).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    found = found.withColumn("first", F.first("doc").over(same)).where("run is not null or first < doc")
-    found = found.groupBy("doc", "ref").agg(F.collect_list("pos").alias("starts"), F.collect_list("run").alias("runs"))
-    found = docs.withColumn("doc", F.coalesce("doc_id", F.lit(NO_ID))).join(found, ["doc", "ref"], "left").select("doc_id", "text", "starts", "runs")
-
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            row, pos = windows.row[often], windows.pos[often]
+            del windows
+            least, group = least_of(h1, h2, ids[row])
+            settled = ids[row] > least[group]
+            out = shelves(ids[row[settled]], refs[row[settled]], pos[settled])
+            ask = np.flatnonzero(~settled)
+            for part, at in split(h1[ask] % np.uint64(parts)):
+                at = ask[at]  # still in order of row and position
+                out.append((part, 0, pack(ids[row[at]], refs[row[at]], pos[at], h1[at], h2[at])))
+            yield records(packed_schema, [list(c) for c in zip(*out, strict=True)] if out else [[]] * 3)
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by part: all places of a window's hash are in one part."""
+        kept: list[tuple] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal size
+            out = shelves(*(np.concatenate(c) for c in zip(*kept, strict=True))) if kept else []
+            kept.clear()
+            size = 0
+            return records(packed_schema, [list(c) for c in zip(*out, strict=True)] if out else [[]] * 3)
+
+        def removed(group: list[bytes]) -> None:
+            nonlocal size
+            found = [unpack(data, True) for data in group]
+            ids, refs = (np.concatenate([np.repeat(f[i], f[2]) for f in found]) for i in (0, 1))
+            pos, h1, h2 = (np.concatenate([f[i] for f in found]) for i in (3, 4, 5))
+            least, number = least_of(h1, h2, ids)
+            drop = ids > least[number]
+            kept.append((ids[drop], refs[drop], pos[drop]))
+            size += int(drop.sum())
+
+        now, group = None, []
+        for batch in batches:
+            through = []
+            for part, kind, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if kind == 1:
+                    through.append((part, 1, data))
+                    continue
+                if part != now and group:
+                    removed(group)
+                    group = []
+                    if size > FLUSH_STARTS:
+                        yield flush()
+                now = part
+                group.append(data)
+            if through:
+                yield records(packed_schema, [list(c) for c in zip(*through, strict=True)])
+        if group:
+            removed(group)
+        yield flush()
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("part", pa.int32()), ("kind", pa.int8()), ("doc_id", pa.int64()), ("ref", pa.int64()), ("data", pa.binary())])
+        for batch in batches:
+            refs = batch.column(2).to_numpy(zero_copy_only=False)
+            data = [zlib.compress(b" ".join(words_of(t)), 1) for t in batch.column(1).to_pylist()]
+            yield records(schema, [pa.array((refs.view(np.uint64) % np.uint64(parts)).astype(np.int32)), pa.array(np.full(len(refs), 2, np.int8)), batch.column(0), batch.column(2), data])
+
+    asked = docs.mapInArrow(candidates, "part int, kind byte, data binary").repartition(shuffles, "part").sortWithinPartitions("part", "kind")
+    decided = asked.mapInArrow(decide, "part int, kind byte, data binary").select("part", "kind", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("ref"), "data")
+    both = decided.unionByName(docs.mapInArrow(texts, "part int, kind byte, doc_id long, ref long, data binary"))
+
+    def kept_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by shelf: first what to remove on it, then its texts."""
         schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())][: 5 if with_text else 4])
+        now, starts = None, {}
         for batch in batches:
-            total, removed, digests, texts = [], [], [], []
-            for text, starts, runs in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                words = words_of(text)
-                total.append(len(words))
-                if starts or runs:
-                    at = np.concatenate([np.array(starts or [], np.int64), *(np.frombuffer(r, np.int32) for r in runs or [])])
-                    drop = covered(len(words), at.astype(np.int64), window)
+            out: list[tuple] = []
+            for part, kind, doc_id, ref, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != now:
+                    now, starts = part, {}
+                if kind == 1:
+                    ids, refs, runs, pos = unpack(data, False)
+                    ends = np.cumsum(runs)
+                    for i, r, a, b in zip(ids.tolist(), refs.tolist(), (ends - runs).tolist(), ends.tolist(), strict=True):
+                        starts.setdefault((i, r), []).append(pos[a:b])
+                    continue
+                words = zlib.decompress(data).split()
+                n = len(words)
+                if found := starts.get((NO_ID if doc_id is None else doc_id, ref)):
+                    drop = covered(n, np.concatenate(found).astype(np.int64), window)
                     words = [w for w, d in zip(words, drop.tolist(), strict=True) if not d]
-                removed.append(total[-1] - len(words))
                 text = b" ".join(words)
-                digests.append(hashlib.sha256(text).hexdigest())
-                if with_text:
-                    texts.append(text.decode("utf-8", "surrogatepass"))
-            yield records(schema, [batch.column(0), total, removed, digests, texts][: len(schema)])
+                out.append((doc_id, n, n - len(words), hashlib.sha256(text).hexdigest(), text.decode("utf-8", "surrogatepass"))[: len(schema)])
+            yield records(schema, [list(c) for c in zip(*out, strict=True)] if out else [[]] * len(schema))
 
-    return found.mapInArrow(kept, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
+    both = both.repartition(shuffles, "part").sortWithinPartitions("part", "kind")
+    return both.mapInArrow(kept_words, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
