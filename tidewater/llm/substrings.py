@@ -33,6 +33,8 @@ from .common import NO_ID, blocks, count_bytes, records
 WINDOW, DEPTH, SLOTS, MAX_BITS = 13, 2, 3, 1 << 30
 #: Bytes of text whose windows a task holds at a time.
 BLOCK_BYTES = 6 << 20
+#: For the sketch, where denser blocks take fewer bytes a slot and no merged sketch is held beside them.
+SKETCH_BLOCK_BYTES = 2 * BLOCK_BYTES
 #: Bytes of text for a window at least, to size the sketch before reading it.
 BYTES_A_WORD = 6
 #: Slots of the sketch that are merged at a time.
@@ -115,7 +117,7 @@ def merged_sketch(docs: DataFrame, window: int, depth: int, width: int) -> np.nd
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("chunk", pa.int32()), ("seen", pa.binary()), ("again", pa.binary())])
         hashes = WordHashes()
-        for batch in blocks(batches, "text", BLOCK_BYTES):
+        for batch in blocks(batches, "text", SKETCH_BLOCK_BYTES):
             h = Windows(batch.column(0).to_pylist(), window, hashes).hash(1)
             for row in range(depth):
                 slots = np.sort(slots_of(h, row, width)).astype(np.int64)
