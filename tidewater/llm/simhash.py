@@ -4,7 +4,7 @@ Two fingerprints at distance d meet if each emits every variant within d/2 bits
 radius of 3 isn't whole, and balls of radius 2 would be 2081 variants each.  So the 64 bits are cut
 into `BLOCKS` blocks: of two different fingerprints some block differs, and without that block at
 most two bits are left to differ, for which balls of radius 1 meet.  Every distinct fingerprint emits,
-for each block left out, itself and all its one-bit variants over the other bits (133 rows with three
+for each block left out, itself and all its one-bit variants over the other bits (131 rows with three
 blocks); equal keys are shuffled together, and colliding pairs are verified on all 64 bits.
 
 Copies cost nothing here: only distinct fingerprints emit.  Within a bucket the verified links are
