@@ -89,7 +89,15 @@ def count_tokens(docs: DataFrame, tokenizer_path: str | Callable[[], str], hot_u
 
     vocabulary = docs.mapInArrow(distinct, "unit string, freq long").groupBy("unit").agg(F.sum("freq").alias("freq"))
     vocabulary = saved(vocabulary.mapInArrow(pieces, "unit string, freq long, pieces int"), "units")
-    top = vocabulary.orderBy(F.desc("freq"), "unit").limit(hot_units).select("unit", "pieces").toArrow()
+    # The units of the highest levels of frequency that are hot_units at most; levels are few, and no task sorts.
+    level = F.floor(16 * F.log2("freq"))
+    least, above = 1 << 20, 0
+    for row in sorted(vocabulary.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["level"]):
+        above += row["n"]
+        if above > hot_units:
+            break
+        least = row["level"]
+    top = vocabulary.where(level >= least).select("unit", "pieces").toArrow()
     hot = spark.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True)))
 
     def by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
