@@ -40,7 +40,13 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 _PERCENT = re.compile(r"[^\s%]*(?:%[0-9A-Fa-f]{2}[^\s%]*)+")
 _ESCAPES = re.compile(r"[^\s\\]*(?:\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})[^\s\\]*)+")
 _REFERENCES = re.compile(r"[^\s&]*(?:&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});[^\s&]*)+")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/]{16,}|[A-Za-z0-9_-]{16,})={0,2}")
+#: One run of either alphabet, the run that a line break leads to, a short run just before a line break, what ends a last line.
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}")
+_NEXT_LINE = re.compile(r"[ \t]*\r?\n[ \t]*([A-Za-z0-9+/_-]+)")
+_LINE_BEFORE = re.compile(r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{1,15})[ \t]*\r?\n[ \t]*\Z")
+_PROSE_AFTER = re.compile(r"[ \t]+[^\s]")
+_PADDING = re.compile(r"={0,2}")
+_ALPHABETS = (re.compile(r"[A-Za-z0-9+/]{16,}"), re.compile(r"[A-Za-z0-9_-]{16,}"))
 _PERCENT_ONE = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE_ONE = re.compile(r"(?:\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2}))+")
 _REFERENCE_ONE = re.compile(r"&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
@@ -94,6 +100,44 @@ def _base64_bytes(run: str) -> bytes | None:
         return None
 
 
+def _base64_runs(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, run) of what may be base64: runs of both alphabets together and of each alone, and lines that belong together."""
+    done = 0
+    for m in _BASE64.finditer(text):
+        if m.start() < done:
+            continue
+        lines = [m.span()]
+        if before := _LINE_BEFORE.search(text, max(done, m.start() - 80), m.start()):
+            lines.insert(0, before.span(1))
+        while more := _NEXT_LINE.match(text, lines[-1][1]):
+            lines.append(more.span(1))
+        done = lines[-1][1]
+        for a, b in lines:
+            if b - a >= 16:
+                yield a, _PADDING.match(text, b).end(), text[a:b]
+                for alphabet in _ALPHABETS:
+                    for part in alphabet.finditer(text, a, b):
+                        if part.span() != (a, b):
+                            yield part.start(), _PADDING.match(text, part.end()).end(), part[0]
+        for i, j in _wrapped([b - a for a, b in lines]):
+            if j < len(lines) - 1 or not _PROSE_AFTER.match(text, lines[j][1]):
+                yield lines[i][0], _PADDING.match(text, lines[j][1]).end(), "".join(text[a:b] for a, b in lines[i : j + 1])
+
+
+def _wrapped(widths: list[int]) -> Iterator[tuple[int, int]]:
+    """(first, last) of the lines that may be one wrapped run: lines as wide as each other, with a shorter one (or a line's end) before and after."""
+    i = 0
+    while i < len(widths):
+        j = i
+        while j + 1 < len(widths) and widths[j + 1] == widths[i]:
+            j += 1
+        firsts = [i, i - 1] if i and widths[i - 1] < widths[i] else [i]
+        lasts = [j, j + 1] if j + 1 < len(widths) and widths[j + 1] < widths[i] else [j]
+        if widths[i] >= 16:
+            yield from ((a, b) for a in firsts for b in lasts if a < b)
+        i = j + 1
+
+
 class Layer:
     """A decoded text with the span of the original that each of its code points comes from."""
 
@@ -146,8 +190,8 @@ def layers_in(layer: Layer, most: int) -> Iterator[Layer]:
                 for m in runs.finditer(text, *word):
                     if found := _with_places(layer, m.start(), m[0], one, decode):
                         yield found
-    for m in _BASE64.finditer(text):
-        data = _base64_bytes(m[0])
+    for start, end, run in _base64_runs(text):
+        data = _base64_bytes(run)
         depth = 0
         while data:
             inner = _unpacked(data, most)
@@ -155,7 +199,7 @@ def layers_in(layer: Layer, most: int) -> Iterator[Layer]:
                 break
             data, depth = inner, depth + 1
         if data and (inner := _readable(data)):
-            yield Layer(inner, None, layer.place(*m.span()))
+            yield Layer(inner, None, layer.place(start, end))
 
 
 def _words_with(text: str, one: re.Pattern) -> Iterator[Span]:
