@@ -1,9 +1,13 @@
 from __future__ import annotations
 
 import base64
+import bz2
+import gzip
+import lzma
 import random
 import textwrap
 import zlib
+from urllib.parse import quote_from_bytes
 
 import pytest
 
@@ -53,3 +57,46 @@ def test_lines_on_their_own_are_decoded_too():
     other = "A" * len(run)
     for text in (f"{other}\n{run}\n{other}", f"{run}\nThe next words", f"-----BEGIN X-----\n{run}"):
         assert any(k == "assign" for k, _, _ in sec.find_secrets(text)[1])
+
+
+def encoded(data: bytes) -> str:
+    return base64.b64encode(data).decode()
+
+
+@pytest.mark.parametrize("data", [f"mot de passe : {SECRET}".encode(), f"﻿​­\x01 {SECRET}".encode(), b"\xff\xfe bad \xc3 " + SECRET.encode()])
+def test_layers_that_are_not_printable(data):
+    for run in (encoded(data), encoded(zlib.compress(data))):
+        assert_masked(f"see {run} after", run)
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress])
+def test_all_members_are_unpacked(pack):
+    run = encoded(pack(b"first member") + pack(b"second") + pack(f" {SECRET}".encode()))
+    assert_masked(f"see {run} after", run)
+    run = encoded(pack(b"first member") + f" then {SECRET}".encode())
+    assert_masked(f"see {run} after", run)
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+def test_large_layers_are_unpacked_whole(pack):
+    rng = random.Random(7)
+    noise = bytes(rng.randrange(33, 60) for _ in range(30_000))
+    for data in (noise + b" " + SECRET.encode(), noise[: 4096 - 10] + b" " + SECRET.encode() + b" " + noise):
+        for run in (encoded(pack(data)), encoded(pack(pack(data)))):
+            assert any(k == "assign" for k, _, _ in sec.find_secrets(f"see {run} after", 4096)[1])
+    assert any(k == "assign" for k, _, _ in sec.find_secrets(encoded(pack(b"\0" * (3 << 20) + b" " + SECRET.encode())), 1 << 20)[1])
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+def test_compressed_bytes_in_escapes(pack):
+    data = pack(f"what is this {SECRET}".encode())
+    for run in ("".join(f"%{b:02x}" for b in data), quote_from_bytes(data, safe=""), "".join(f"\\x{b:02x}" for b in data), repr(data)[2:-1]):
+        assert_masked(f"data={run} after", run)
+
+
+def test_damaged_layers_are_scanned_as_far_as_they_go():
+    noise = "".join(map(str, range(3000)))
+    run = encoded(gzip.compress(f"{SECRET} {noise}".encode())[:-2000])
+    assert any(k == "assign" for k, _, _ in sec.find_secrets(run)[1])
+    run = encoded(f"x^ not packed {SECRET}".encode())
+    assert_masked(f"see {run} after", run)

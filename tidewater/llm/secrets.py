@@ -7,8 +7,9 @@ a layer whose content and place have been seen isn't taken up again, which ends
 layer is mapped through the layers to the code points of the text that it was decoded from: escapes keep
 their places character by character, and for base64 and compressed data the span is the encoded run.
 
-Only what unpacks to more than `max_layer_bytes` is cut off there, as a guard against bombs; everything
-else is taken whole.  Null texts are empty.  Repeated rows each get their row.  Other columns are ignored,
+Decoded bytes are scanned whether or not they are valid or printable UTF-8.  Compressed data is unpacked whole,
+with all its members, in pieces; of more than `max_layer_bytes` each chunk of that size is a layer, with a quarter
+of the one before, so memory is bounded (time isn't: a bomb is unpacked to its end).  Null texts are empty.  Repeated rows each get their row.  Other columns are ignored,
 or kept as they are by `redacted`.
 """
 
@@ -23,6 +24,7 @@ import lzma
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,6 +52,13 @@ _ALPHABETS = (re.compile(r"[A-Za-z0-9+/]{16,}"), re.compile(r"[A-Za-z0-9_-]{16,}
 _PERCENT_ONE = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE_ONE = re.compile(r"(?:\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2}))+")
 _REFERENCE_ONE = re.compile(r"&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
+#: Escaped bytes and those left as they are, and how compressed data begins in them.
+_PERCENT_BYTE = re.compile(r"%[0-9A-Fa-f]{2}|[!-$&-~]")
+_ESCAPE_BYTE = re.compile(r"""\\(?:x[0-9A-Fa-f]{2}|[abfnrtv0'"\\])|[\x20-\x5b\x5d-\x7e]""")
+_PACKED = re.compile(r"(?:%|\\x)1[fF](?:%|\\x)8[bB](?:%|\\x)08|(?:x|(?:%|\\x)78)(?:(?:%|\\x)(?:01|5[eE]|9[cC]|[dD][aA])|\^)|(?:B|(?:%|\\x)42)(?:Z|(?:%|\\x)5[aA])(?:h|(?:%|\\x)68)|(?:%|\\x)[fF][dD](?:7|(?:%|\\x)37)(?:z|(?:%|\\x)7[aA])")
+_SHORT = {"a": b"\a", "b": b"\b", "f": b"\f", "n": b"\n", "r": b"\r", "t": b"\t", "v": b"\v", "0": b"\0", "'": b"'", '"': b'"', "\\": b"\\"}
+#: Bytes unpacked at a time, and those that tell whether unpacked data is compressed again.
+PIECE, HEAD = 1 << 20, 1 << 16
 
 Span = tuple[int, int]
 
@@ -63,31 +72,107 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def _unpacked(data: bytes, most: int) -> bytes | None:
-    """Bytes that begin like compressed data, unpacked; None if they don't."""
+def _decompressor(data: bytes):
+    """What unpacks bytes that begin like compressed data; None if they don't."""
     if data[:3] == b"\x1f\x8b\x08":
-        z = zlib.decompressobj(31)
-    elif data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2]) % 31 == 0:
-        z = zlib.decompressobj()
-    elif data[:3] == b"BZh":
-        z = bz2.BZ2Decompressor()
-    elif data[:6] == b"\xfd7zXZ\x00":
-        z = lzma.LZMADecompressor()
-    else:
-        return None
-    try:
-        return z.decompress(data, most)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError):
-        return None
-
-
-def _readable(data: bytes) -> str | None:
-    """Bytes as text if they are printable UTF-8."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if all(c.isprintable() or c in "\t\n\r" for c in text) else None
+        return zlib.decompressobj(31)
+    if data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2]) % 31 == 0:
+        return zlib.decompressobj()
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if data[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    return None
+
+
+class _Stream:
+    """Bytes in pieces; `get` takes at least n of them, where there are."""
+
+    def __init__(self, pieces: Iterator[bytes], rest: bytes = b"") -> None:
+        self.pieces, self.rest = pieces, rest
+
+    def get(self, n: int) -> bytes:
+        parts, size = [self.rest], len(self.rest)
+        while size < n and (piece := next(self.pieces, None)) is not None:
+            parts.append(piece)
+            size += len(piece)
+        self.rest = b""
+        return b"".join(parts)
+
+
+def _members(stream: _Stream, state: dict) -> Iterator[bytes]:
+    """All members of a compressed stream, unpacked piece by piece, and what follows them as it is.
+
+    state: `whole` is false if a member is damaged or cut short, `left` the bytes of the source's last piece after the last member.
+    """
+    data = stream.get(6)
+    while z := _decompressor(data):
+        try:
+            while not z.eof:
+                out = z.decompress(data, PIECE)
+                data = z.unconsumed_tail if hasattr(z, "unconsumed_tail") else b""
+                if out:
+                    yield out
+                if not z.eof and not data and (z.needs_input if hasattr(z, "needs_input") else len(out) < PIECE):
+                    data = stream.get(1)
+                    if not data:
+                        state["whole"] = False
+                        # zlib may still hold output when its input ends.
+                        if hasattr(z, "flush") and (out := z.flush()):
+                            yield out
+                        return
+        except (zlib.error, OSError, lzma.LZMAError, EOFError):
+            state["whole"] = False
+            return
+        data = z.unused_data
+        if len(data) < 6:
+            stream.rest = data
+            data = stream.get(6)
+        state["left"] = len(data)
+    if state.get("follow", True):
+        while data:
+            yield data
+            data = stream.get(1)
+
+
+def _unpacked(data: bytes) -> tuple[Iterator[bytes], list[dict]] | None:
+    """Bytes that begin like compressed data, unpacked through all its layers as pieces, with a state of each layer; None if they don't."""
+    stream, states, seen = _Stream(iter([data])), [], set()
+    while True:
+        head = stream.get(HEAD)
+        mark = hashlib.sha256(head).digest()
+        # A layer that unpacks to itself isn't taken up again.
+        if _decompressor(head) is None or mark in seen:
+            return (chain([head], stream.pieces), states) if states else None
+        seen.add(mark)
+        states.append({"whole": True})
+        stream = _Stream(_members(_Stream(stream.pieces, head), states[-1]))
+
+
+def _texts(pieces: Iterator[bytes], most: int) -> Iterator[str]:
+    """The bytes as texts of about `most` bytes each with the last quarter of the one before; what isn't UTF-8 is replaced."""
+    held, size, new = [], 0, False
+    for piece in pieces:
+        for k in range(0, len(piece), most):
+            part = piece[k : k + most]
+            held.append(part)
+            size, new = size + len(part), True
+            if size >= most:
+                every = b"".join(held)
+                yield every.decode("utf-8", "replace")
+                held = [every[len(every) - most // 4 :]]
+                size, new = len(held[0]), False
+    if new:
+        yield b"".join(held).decode("utf-8", "replace")
+
+
+def _layers_of(data: bytes, most: int) -> Iterator[str]:
+    """Decoded bytes as texts: unpacked, and as they are if they aren't compressed or are damaged."""
+    found = _unpacked(data)
+    if found:
+        yield from _texts(found[0], most)
+    if not found or not all(s["whole"] for s in found[1]):
+        yield from _texts(iter([data]), most)
 
 
 def _base64_bytes(run: str) -> bytes | None:
@@ -191,15 +276,51 @@ def layers_in(layer: Layer, most: int) -> Iterator[Layer]:
                     if found := _with_places(layer, m.start(), m[0], one, decode):
                         yield found
     for start, end, run in _base64_runs(text):
-        data = _base64_bytes(run)
-        depth = 0
-        while data:
-            inner = _unpacked(data, most)
-            if inner is None:
-                break
-            data, depth = inner, depth + 1
-        if data and (inner := _readable(data)):
-            yield Layer(inner, None, layer.place(start, end))
+        if data := _base64_bytes(run):
+            place = layer.place(start, end)
+            for inner in _layers_of(data, most):
+                yield Layer(inner, None, place)
+    for mark, one in (("%", _PERCENT_BYTE), ("\\x", _ESCAPE_BYTE)):
+        if mark in text:
+            yield from _packed_escapes(layer, one, most)
+
+
+def _packed_escapes(layer: Layer, one: re.Pattern, most: int) -> Iterator[Layer]:
+    """Compressed data written with escaped bytes; the place is that of its members."""
+    done = 0
+    for m in _PACKED.finditer(layer.text):
+        if m.start() < done:
+            continue
+        data, ends = bytearray(), []
+        at, probe = m.start(), True
+        while found := one.match(layer.text, at):
+            part = _byte_of(found[0])
+            data += part
+            at = found.end()
+            ends += [at] * len(part)
+            # What only looks like compressed data fails on its first bytes, before the line is read to its end.
+            if probe and len(data) >= 512:
+                probe = False
+                try:
+                    _decompressor(bytes(data)).decompress(bytes(data))
+                except (AttributeError, zlib.error, OSError, lzma.LZMAError, EOFError):
+                    data.clear()
+                    break
+        state = {"whole": True, "follow": False, "left": 0}
+        if not sum(1 for _ in _members(_Stream(iter([bytes(data)])), state)):
+            continue
+        used = len(data) - (state["left"] if state["whole"] else 0)
+        done = ends[used - 1]
+        for inner in _layers_of(bytes(data[:used]), most):
+            yield Layer(inner, None, layer.place(m.start(), done))
+
+
+def _byte_of(escape: str) -> bytes:
+    if escape[0] == "%" and len(escape) == 3:
+        return bytes.fromhex(escape[1:])
+    if escape[0] == "\\" and len(escape) > 1:
+        return bytes.fromhex(escape[2:]) if escape[1] == "x" else _SHORT[escape[1]]
+    return escape.encode()
 
 
 def _words_with(text: str, one: re.Pattern) -> Iterator[Span]:
@@ -221,15 +342,18 @@ def find_secrets(text: str, max_layer_bytes: int = MAX_LAYER_BYTES) -> tuple[lis
     """(base finds, all finds), each sorted by start and then kind, without repeats."""
     order = lambda found: sorted(set(found), key=lambda f: (f[1], KINDS.index(f[0]), f[2]))
     base = order(scan(text))
-    found, work, seen = list(base), [Layer(text, None)], set()
+    found, work, seen = list(base), [layers_in(Layer(text, None), max_layer_bytes)], set()
     while work:
-        for inner in layers_in(work.pop(), max_layer_bytes):
-            key = (inner.text, inner.place(0, len(inner.text)) if inner.text else None)
-            if key in seen or not inner.text:
-                continue
-            seen.add(key)
-            found += [(kind, *inner.place(a, b)) for kind, a, b in scan(inner.text)]
-            work.append(inner)
+        inner = next(work[-1], None)
+        if inner is None:
+            work.pop()
+        elif inner.text:
+            # Layers are told apart by a digest, so that the chunks of a large one aren't held.
+            key = (hashlib.sha256(inner.text.encode("utf-8", "surrogatepass")).digest(), inner.place(0, len(inner.text)))
+            if key not in seen:
+                seen.add(key)
+                found += [(kind, *inner.place(a, b)) for kind, a, b in scan(inner.text)]
+                work.append(layers_in(inner, max_layer_bytes))
     return base, order(found)
 
 
