@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tidewater.llm import components, fingerprint, simhash, substrings
+from tidewater.llm import components, fingerprint, simhash, similar, substrings
 
 from .helpers import collected, frame, odd_rows, words
 
@@ -159,3 +159,14 @@ def test_compared_with_next_of_few(spark):
     assert fingerprint.compared_with_next(frame(spark, [])).count() == 0
     assert fingerprint.compared_with_next(frame(spark, [(1, "abcabc")])).collect()[0]["near_next"] == 1.0
     assert fingerprint.compared_with_next(frame(spark, [(None, "a"), (None, "b"), (3, "c"), (3, "c")])).count() == 4
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 1, 0), (1, 2, 0), (2, 0, 1)])
+def test_rows_that_share_an_id_are_told_apart(spark, order):
+    """(5, B) is the only copy of its text and stays; (5, A) is a copy of (3, A) and goes, in whatever order they come."""
+    a, b = words(random.Random(1), 80), words(random.Random(2), 80)
+    rows = [(3, a), (5, a), (5, b)]
+    docs = frame(spark, [rows[i] for i in order], 1)
+    for keep in (simhash.keep_one_of_each, similar.keep_one_of_similar):
+        assert collected(keep(docs).select("doc_id", "text")) == [(3, a), (5, b)]
+        assert collected(keep(docs.union(docs)).select("doc_id", "text")) == [(3, a), (5, b)]

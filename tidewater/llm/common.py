@@ -9,6 +9,8 @@ import uuid
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -21,9 +23,11 @@ DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`; a temporary one only where that is unset (tests)."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`; a temporary one only where that is unset and Spark runs in one process (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='tidewater-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
         atexit.register(shutil.rmtree, folder.removeprefix("file://"), ignore_errors=True)
@@ -92,3 +96,54 @@ def count_bytes(df: DataFrame, column: str = "text") -> tuple[int, int]:
 
 def flat(lists: list[list]) -> list:
     return list(chain.from_iterable(lists))
+
+
+#: Bits that tell which rows may be wanted, at most; more only say yes too often.
+MAX_MARKS = 1 << 28
+
+
+def marks(wanted: DataFrame, *columns: str) -> tuple:
+    """(broadcast bits, their number): a bit for the hash of every row of `wanted`."""
+    slots = 1 << min(MAX_MARKS.bit_length() - 1, max(16, (16 * wanted.count()).bit_length()))
+    slot = F.pmod(F.xxhash64(*columns), F.lit(slots)) + 1
+    maps = wanted.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).toArrow()
+    bits = np.zeros(slots // 8, np.uint8)
+    for bucket, data in zip(maps.column("bucket").to_pylist(), maps.column("bits").to_pylist(), strict=True):
+        part = bits[(bucket - 1) * len(data) : bucket * len(data)]
+        part[:] = np.frombuffer(data, np.uint8)[: len(part)]
+    return wanted.sparkSession.sparkContext.broadcast(bits), slots
+
+
+def marked(df: DataFrame, found: tuple, *columns: str, yes: bool = True) -> DataFrame:
+    """The rows that may be among those that the marks were made of, or those that surely aren't: no shuffle."""
+    shared, slots = found
+
+    @F.pandas_udf("boolean")
+    def hit(slot: pd.Series) -> pd.Series:
+        at = slot.to_numpy()
+        return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1) == int(yes))
+
+    return df.where(hit(F.pmod(F.xxhash64(*columns), F.lit(slots))))
+
+
+ROW_KEY = ["__key_of_the_row", "__hash_of_the_row"]
+
+
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """`docs` with what tells its rows apart: doc_id, a null one larger than all others, and a 128-bit hash of the text."""
+    hashed = F.when(F.col("text").isNull(), F.lit(b"")).otherwise(F.unhex(F.md5(F.col("text").cast("binary"))))
+    return docs.withColumns({ROW_KEY[0]: F.coalesce("doc_id", F.lit(NO_ID)), ROW_KEY[1]: hashed})
+
+
+def one_of_each_class(keyed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of each class the row with the least key, once.  classes: class and the row's key, a row for each of `keyed`.
+
+    Only rows that may go, or that are repeated, are shuffled; the others are told apart by their marks where they are read.
+    """
+    classes = classes.select("class", *ROW_KEY)
+    keep = classes.groupBy("class").agg(F.min(F.struct(*ROW_KEY)).alias("of")).select(*(F.col(f"of.{k}").alias(k) for k in ROW_KEY), F.lit(True).alias("__kept"))
+    several = classes.groupBy(*ROW_KEY).agg(F.count(F.lit(1)).alias("__rows")).join(keep, ROW_KEY, "left").where("__kept is null or __rows > 1")
+    several = saved(several.select(*ROW_KEY, F.coalesce("__kept", F.lit(False)).alias("__kept")), "classes")
+    found = marks(several, *ROW_KEY)
+    unsure = marked(keyed, found, *ROW_KEY).join(several, ROW_KEY, "left").where("coalesce(__kept, true)").drop("__kept").dropDuplicates(ROW_KEY)
+    return marked(keyed, found, *ROW_KEY, yes=False).unionByName(unsure).drop(*ROW_KEY)

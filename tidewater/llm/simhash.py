@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import records, saved
+from .common import ROW_KEY, one_of_each_class, records, saved, with_row_key
 from .components import connected_components
 
 WORDS, SEED, RADIUS, BLOCKS = 3, 42, 3, 3
@@ -173,14 +173,19 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, s
 
 
 def keep_one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Of each class the document with the smallest doc_id; of rows that share a doc_id one stays.
+    """Of each class the document with the smallest doc_id, and of those that share it that with the least hash of its text.
 
-    A null doc_id stands for an id of its text's own, larger than all others: such a document stays if no
-    document with an id is in its class.
+    A null doc_id is larger than all others.  Different texts under one doc_id are documents of their own; of equal rows
+    one stays.
     """
-    key = "__key_of_the_document"
-    own = F.lit(1 << 62) + F.xxhash64("text").bitwiseAND((1 << 62) - 1)
-    keyed = docs.withColumn(key, F.coalesce("doc_id", own))
-    classes = near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), radius)
-    keep = classes.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    return keyed.join(keep, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
+    keyed = with_row_key(docs)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([(ROW_KEY[0], pa.int64()), (ROW_KEY[1], pa.binary()), ("fp", pa.int64())])
+        for batch in batches:
+            fps = np.array([fingerprint(t) for t in batch.column(2).to_pylist()], np.uint64)
+            yield records(schema, [batch.column(0), batch.column(1), pa.array(fps.view(np.int64))])
+
+    rows = saved(keyed.select(*ROW_KEY, "text").mapInArrow(work, f"{ROW_KEY[0]} long, {ROW_KEY[1]} binary, fp long"), "fingerprints")
+    joined = connected_components(links(saved(rows.select("fp").distinct(), "distinct-fingerprints"), radius)).withColumnRenamed("node", "fp")
+    return one_of_each_class(keyed, rows.join(joined, "fp", "left").select(F.coalesce("component", "fp").alias("class"), *ROW_KEY)).select(*docs.columns)

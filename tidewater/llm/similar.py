@@ -1,15 +1,16 @@
-"""Near-copies by the similarity of their word shingles, exactly: prefix filter and verification.
+"""Near-copies by the similarity of their word shingles, exactly: SimHash, then a prefix filter for what it can't link.
 
-Two sets with a Jaccard similarity of p/q or more share an element among the first n - ceil(p n / q) + 1
-of each, in any order that is the same for all.  Those prefixes are shuffled by shingle; of two sets that
-meet, sizes and places bound what they can share, and what is left is verified on the whole sets.  Shingles
-that many documents of a sample have come last in the order, so that boilerplate makes no large buckets;
-the sample changes the order only, not what is found.
+SimHash links, by ball hashing, what differs in few bits.  Of what is left, two sets with a Jaccard similarity of p/q or
+more share an element among the first n - ceil(p n / q) + 1 of each, in any order that is the same for all.  Those
+prefixes meet by shingle: a sketch of one bit a slot tells which shingles may be in two of them, and only those are
+shuffled.  Of two sets that meet, first their sizes and places and then their whole prefixes bound what they can share,
+and what is left is verified on the whole sets.  Shingles that many documents of a sample have come last in the order, so
+that boilerplate makes no large buckets; the sample changes the order only, not what is found.
 
-Large classes: first each set is compared with the bucket's first one only, then what isn't joined by that
-pair by pair.  Equal sets count as one, and SimHash's links are taken too: a class is whatever either joins.
+Large classes: first each set is compared with the bucket's first one only, then what isn't joined by that pair by pair.
+Equal sets count as one.  A class is whatever SimHash or the similarity joins.
 
-Shingles are told apart by 64-bit hashes.  Lower-casing and splitting touch ASCII only.  Fewer than five words
+Shingles, and sets, are told apart by 64-bit hashes.  Lower-casing and splitting touch ASCII only.  Fewer than five words
 make one shingle; null, empty and white texts are all the same.
 """
 
@@ -24,17 +25,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, records, saved
+from .common import ROW_KEY, blocks, marked, marks, one_of_each_class, records, saved, with_row_key
 from .components import connected_components
 from .simhash import RADIUS, fingerprint, links
+from .substrings import CHUNK, PARTS, PARTS_SCHEMA, in_bits, merged, mixed, slot_parts
 
 WORDS, SIMILAR = 5, (4, 5)
 #: Documents in the sample for the order, and how many of them a shingle of the end of it is in.
 SAMPLE, COMMON = 20_000, 8
 #: Shingles at the end of the order at most, the most frequent.
 MAX_COMMON = 1 << 20
+#: Slots of the sketch for each shingle of a prefix, and at most; with fewer more shingles are shuffled.
+SLOTS, MAX_BITS = 4, 1 << 30
 #: Pairs that a bucket yields at a time.
-CHUNK = 1 << 18
+PAIRS = 1 << 18
 
 
 class _Hashes(dict):
@@ -89,6 +93,51 @@ def _common_shingles(docs: DataFrame, words: int) -> np.ndarray:
     return np.sort(found.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
+def _rows(keyed: DataFrame, common, words: int, least: tuple[int, int]) -> DataFrame:
+    """The rows' keys with fp, the SimHash, and node, size, prefix: what stands for the set, its size, its first shingles in order."""
+    p, q = least
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([(ROW_KEY[0], pa.int64()), (ROW_KEY[1], pa.binary()), ("fp", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("prefix", pa.binary())])
+        hashes, last = _Hashes(), common.value
+        for batch in blocks(batches):
+            fps, nodes, sizes, prefixes = [], [], [], []
+            for text in batch.column(2).to_pylist():
+                every = shingles(text, words, hashes)
+                n = len(every)
+                late = _in(last, every)
+                fps.append(fingerprint(text))
+                nodes.append(node_of(every))
+                sizes.append(n)
+                prefixes.append(np.concatenate([every[~late], every[late]])[: n - -(-p * n // q) + 1].tobytes())
+            yield records(schema, [batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), nodes, sizes, prefixes])
+
+    return saved(keyed.select(*ROW_KEY, "text").mapInArrow(work, f"{ROW_KEY[0]} long, {ROW_KEY[1]} binary, fp long, node long, size int, prefix binary"), "nodes")
+
+
+def _in(ordered: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x if len(ordered) else np.zeros(len(x), bool)
+
+
+def _new_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(node, size, at, key) of all shingles of the prefixes of each batch; a set that the task has had lately is left out."""
+    known: set[int] = set()
+    for batch in batches:
+        if len(known) > 1 << 20:
+            known = set()
+        nodes, sizes, keys = [], [], []
+        for node, size, prefix in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if node not in known:
+                known.add(node)
+                nodes.append(node)
+                sizes.append(size)
+                keys.append(np.frombuffer(prefix, np.uint64))
+        if nodes:
+            n = np.array([len(k) for k in keys])
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield np.repeat(np.array(nodes, np.int64), n), np.repeat(np.array(sizes, np.int32), n), at.astype(np.int32), np.concatenate(keys)
+
+
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
     """(key, columns) of each run of equal keys with two rows or more; rows come sorted by key, and a run may go on in the next batch."""
     rest: list[np.ndarray] | None = None
@@ -107,29 +156,25 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.n
         yield int(rest[0][0]), rest[1:]
 
 
-def _meetings(docs: DataFrame, words: int, least: tuple[int, int]) -> DataFrame:
+def _meetings(rows: DataFrame, least: tuple[int, int]) -> DataFrame:
     """key, node, size, at, with: the rows of buckets of three sets and more, and in `with` the bucket's first set where it may be similar."""
-    common = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, words))
-    p, q = least
+    spark = rows.sparkSession
+    n_keys = rows.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0)).alias("n")).first()["n"] // 8
+    slots = min(max(CHUNK, SLOTS * n_keys), MAX_BITS)
+    slot_of = lambda key: mixed(key) % np.uint64(slots)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, _, key in _new_sets(batches):
+            yield records(PARTS_SCHEMA, slot_parts(np.sort(slot_of(key)).astype(np.int64), CHUNK))
+
+    prefixes = rows.select("node", "size", "prefix")
+    shared = spark.sparkContext.broadcast(merged(prefixes.mapInArrow(partial, PARTS), slots, CHUNK))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("at", pa.int32())])
-        hashes, last = _Hashes(), common.value
-        for batch in blocks(batches):
-            keys, nodes, sizes, ats = [], [], [], []
-            for text in batch.column(0).to_pylist():
-                every = shingles(text, words, hashes)
-                n = len(every)
-                prefix = n - -(-p * n // q) + 1
-                ordered = every
-                if len(last):
-                    late = last[np.minimum(np.searchsorted(last, every), len(last) - 1)] == every
-                    ordered = np.concatenate([every[~late], every[late]])
-                keys.append(ordered[:prefix])
-                nodes.append(np.full(prefix, node_of(every), np.int64))
-                sizes.append(np.full(prefix, n, np.int32))
-                ats.append(np.arange(prefix, dtype=np.int32))
-            yield records(schema, [pa.array(_signed(np.concatenate(keys))), *(pa.array(np.concatenate(x)) for x in (nodes, sizes, ats))])
+        for node, size, at, key in _new_sets(batches):
+            several = in_bits(shared.value, slot_of(key))
+            yield records(schema, [pa.array(_signed(key[several])), *(pa.array(x[several]) for x in (node, size, at))])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("at", pa.int32()), ("with", pa.int64())])
@@ -147,14 +192,14 @@ def _meetings(docs: DataFrame, words: int, least: tuple[int, int]) -> DataFrame:
             take = slice(None) if len(node) > 2 else slice(1, None)
             out.append([np.full(len(node), key, np.int64)[take], node[take], size[take].astype(np.int32), at[take].astype(np.int32), np.where(may, node[0], node)[take]])
             held += len(node)
-            if held > CHUNK:
+            if held > PAIRS:
                 yield records(schema, [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)])
                 out, held = [], 0
         if out:
             yield records(schema, [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)])
 
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.select("text").mapInArrow(emit, "key long, node long, size int, at int")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keyed = prefixes.mapInArrow(emit, "key long, node long, size int, at int")
     return keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(meet, "key long, node long, size int, at int, with long")
 
 
@@ -163,8 +208,37 @@ def node_of(every: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(every.tobytes(), 1)).view(np.int64))
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, words: int, least: tuple[int, int]) -> DataFrame:
-    """Of (a, b) pairs of sets those that are similar; their texts are shuffled packed, which is less than the sets."""
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+
+
+def _both(pairs: DataFrame, of: DataFrame, *columns: str) -> DataFrame:
+    """The pairs with the columns of each end."""
+    side = lambda end: of.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in columns))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *(f"{c}_{end}" for end in "ab" for c in columns))
+
+
+def _may_by_prefix(sizes: tuple[int, int], prefixes: tuple[np.ndarray, np.ndarray], last: np.ndarray, least: tuple[int, int]) -> bool:
+    """Whether two sets can be similar enough, given their prefixes.
+
+    Of the two prefixes that which ends first in the order holds all that the sets share up to its end; behind it are
+    as many shingles as its set has left.
+    """
+    ends = [(bool(_in(last, x[-1:])[0]), int(x[-1])) for x in prefixes]
+    first = 0 if ends[0] <= ends[1] else 1
+    both = len(np.intersect1d(*prefixes, assume_unique=True)) + sizes[first] - len(prefixes[first])
+    return (least[0] + least[1]) * both >= least[0] * sum(sizes)
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, keyed: DataFrame, common, words: int, least: tuple[int, int]) -> DataFrame:
+    """Of (a, b) pairs of sets those that are similar: by their prefixes, then by their texts, which are shuffled packed."""
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        for batch in batches:
+            a, b, m, x, n, y = (c.to_pylist() for c in batch.columns)
+            good = [i for i in range(len(a)) if _may_by_prefix((m[i], n[i]), (np.frombuffer(x[i], np.uint64), np.frombuffer(y[i], np.uint64)), common.value, least)]
+            yield records(schema, [[a[i] for i in good], [b[i] for i in good]])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("node", pa.int64()), ("packed", pa.binary())])
@@ -180,11 +254,20 @@ def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, words: int, le
             good = [i for i in range(len(a)) if similar(whole_set(x[i]), whole_set(y[i]), least)]
             yield records(schema, [[a[i] for i in good], [b[i] for i in good]])
 
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    one = rows.join(ends, "node", "left_semi").groupBy("node").agg(F.min(F.struct("key", "hash")).alias("of")).select("node", "of.key", "of.hash")
-    whole = saved(docs.select("key", "hash", "text").join(one, ["key", "hash"]).select("node", "text").dropDuplicates(["node"]).mapInArrow(pack, "node long, packed binary"), "packed")
-    side = lambda end, name: whole.select(F.col("node").alias(end), F.col("packed").alias(name))
-    return saved(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "similar")
+    ends = _ends(pairs)
+    sets = marked(rows, marks(ends, "node"), "node").join(ends, "node", "left_semi").dropDuplicates(["node"])
+    pairs = saved(_both(pairs, saved(sets.select("node", "size", "prefix"), "prefixes"), "size", "prefix").mapInArrow(bound, "a long, b long"), "pairs")
+    ends = _ends(pairs)
+    of = marked(rows, marks(ends, "node"), "node").join(ends, "node", "left_semi").groupBy("node").agg(F.min(F.struct(*ROW_KEY)).alias("of"))
+    of = saved(of.select("node", *(F.col(f"of.{k}").alias(k) for k in ROW_KEY)), "wanted")
+    texts = marked(keyed, marks(of, *ROW_KEY), *ROW_KEY).join(of, ROW_KEY).select("node", "text").dropDuplicates(["node"]).mapInArrow(pack, "node long, packed binary")
+    return saved(_both(pairs, saved(texts, "packed"), "packed").mapInArrow(compare, "a long, b long"), "similar")
+
+
+def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """The pairs whose sets aren't in one component."""
+    of = lambda end: joined.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("of_a is null or of_b is null or of_a != of_b").select("a", "b")
 
 
 def _other_pairs(meetings: DataFrame, joined: DataFrame, least: tuple[int, int]) -> DataFrame:
@@ -204,7 +287,7 @@ def _other_pairs(meetings: DataFrame, joined: DataFrame, least: tuple[int, int])
                 a.append(np.minimum(node[near], node[i]))
                 b.append(np.maximum(node[near], node[i]))
                 held += len(near)
-                if held > CHUNK:
+                if held > PAIRS:
                     yield records(schema, [pa.array(np.concatenate(x)) for x in (a, b)])
                     a, b, held = [], [], 0
         if a:
@@ -218,34 +301,26 @@ def _other_pairs(meetings: DataFrame, joined: DataFrame, least: tuple[int, int])
 def keep_one_of_similar(docs: DataFrame, words: int = WORDS, least: tuple[int, int] = SIMILAR, radius: int = RADIUS) -> DataFrame:
     """Of each class of near-copies one document, that with the smallest doc_id (and then hash of its text).
 
-    Linked are documents with a similarity of `least` (p, q) or more over shingles of `words` words, and those whose
-    SimHash is within `radius` bits.  A null doc_id stands for an id larger than all others.  Different texts under
-    one doc_id are documents of their own; of equal rows one stays.
+    Linked are documents whose SimHash is within `radius` bits, and those with a similarity of `least` (p, q) or more over
+    shingles of `words` words.  A null doc_id is larger than all others.  Different texts under one doc_id are documents of
+    their own; of equal rows one stays.
     """
-    own = F.lit(1 << 62) + F.xxhash64("text").bitwiseAND((1 << 62) - 1)
-    keyed = docs.withColumns({"__key": F.coalesce("doc_id", own), "__hash": F.xxhash64("text")})
-    plain = keyed.select(F.col("__key").alias("key"), F.col("__hash").alias("hash"), "text")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("key", pa.int64()), ("hash", pa.int64()), ("fp", pa.int64()), ("node", pa.int64())])
-        hashes = _Hashes()
-        for batch in batches:
-            texts = batch.column(2).to_pylist()
-            fps = np.array([fingerprint(t) for t in texts], np.uint64)
-            yield records(schema, [batch.column(0), batch.column(1), pa.array(fps.view(np.int64)), [node_of(shingles(t, words, hashes)) for t in texts]])
-
-    rows = saved(plain.mapInArrow(work, "key long, hash long, fp long, node long"), "nodes")
+    common = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, words))
+    keyed = with_row_key(docs)
+    rows = _rows(keyed, common, words, least)
     of_fp = saved(rows.groupBy("fp").agg(F.min("node").alias("least")), "distinct-fingerprints")
     end = lambda name: of_fp.select(F.col("fp").alias(name), F.col("least").alias(f"{name}_node"))
     by_bits = links(of_fp, radius).join(end("a"), "a").join(end("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
     same_bits = rows.select("fp", "node").distinct().join(of_fp, "fp").where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    meetings = saved(_meetings(plain, words, least), "meetings")
+    known = saved(by_bits.union(same_bits), "links")
+    joined = connected_components(known).select("node", "component")
+    meetings = saved(_meetings(rows, least), "meetings")
     first = meetings.where("with != node").select(F.least("node", "with").alias("a"), F.greatest("node", "with").alias("b")).distinct()
-    known = saved(by_bits.union(same_bits).union(_verified(saved(first, "pairs"), rows, plain, words, least)), "links")
+    first = saved(_apart(first, joined), "pairs")
+    known = saved(known.union(_verified(first, rows, keyed, common, words, least)), "links")
     joined = connected_components(known).select("node", "component")
     others = saved(_other_pairs(meetings.drop("with"), joined, least).join(first, ["a", "b"], "left_anti"), "pairs")
     if others.limit(1).count():
-        joined = connected_components(known.union(_verified(others, rows, plain, words, least)))
-    classes = rows.join(joined, "node", "left").select(F.coalesce("component", "node").alias("class"), "key", "hash")
-    keep = classes.groupBy("class").agg(F.min(F.struct("key", "hash")).alias("of")).select(F.col("of.key").alias("__key"), F.col("of.hash").alias("__hash"))
-    return keyed.join(keep, ["__key", "__hash"], "left_semi").dropDuplicates(["__key", "__hash"]).select(*docs.columns)
+        joined = connected_components(known.union(_verified(others, rows, keyed, common, words, least)))
+    classes = rows.join(joined, "node", "left").select(F.coalesce("component", "node").alias("class"), *ROW_KEY)
+    return one_of_each_class(keyed, classes).select(*docs.columns)

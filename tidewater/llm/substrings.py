@@ -111,40 +111,37 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(steps, dtype=np.int64)[steps != 255]
 
 
-def merged_sketch(docs: DataFrame, window: int, depth: int, width: int) -> np.ndarray:
-    """One bit for each slot of each row of the sketch: whether its merged count is two or more."""
+def slot_parts(slots: np.ndarray, size: int) -> list[list]:
+    """Sorted slots as (chunk of `size`, slots seen, slots seen more than once) of each chunk, packed."""
+    first = np.flatnonzero(np.diff(slots, prepend=-1))
+    times = np.diff(first, append=len(slots))
+    slots = slots[first]
+    cuts = np.flatnonzero(np.diff(slots // size, prepend=-1))
+    seen, again, chunks = [], [], (slots[cuts] // size).astype(np.int32)
+    low, twice = slots % size, times > 1
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(slots)], strict=True):
+        seen.append(packed(low[a:b]))
+        again.append(packed(low[a:b][twice[a:b]]))
+    return [chunks, seen, again]
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("chunk", pa.int32()), ("seen", pa.binary()), ("again", pa.binary())])
-        hashes = WordHashes()
-        for batch in blocks(batches, "text", SKETCH_BLOCK_BYTES):
-            h = Windows(batch.column(0).to_pylist(), window, hashes).hash(1)
-            for row in range(depth):
-                slots = np.sort(slots_of(h, row, width)).astype(np.int64)
-                if not len(slots):
-                    continue
-                first = np.flatnonzero(np.diff(slots, prepend=-1))
-                times = np.diff(first, append=len(slots))
-                slots = slots[first]
-                cuts = np.flatnonzero(np.diff(slots // CHUNK, prepend=-1))
-                seen, again, chunks = [], [], (slots[cuts] // CHUNK).astype(np.int32)
-                low, twice = slots % CHUNK, times > 1
-                for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(slots)], strict=True):
-                    seen.append(packed(low[a:b]))
-                    again.append(packed(low[a:b][twice[a:b]]))
-                yield records(schema, [chunks, seen, again])
+
+PARTS, PARTS_SCHEMA = "chunk int, seen binary, again binary", pa.schema([("chunk", pa.int32()), ("seen", pa.binary()), ("again", pa.binary())])
+
+
+def merged(parts: DataFrame, slots: int, size: int) -> np.ndarray:
+    """One bit for each slot: whether it was seen more than once in all parts together."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by chunk."""
         schema = pa.schema([("chunk", pa.int32()), ("bits", pa.binary())])
-        now, counts = None, np.zeros(CHUNK, np.uint8)
+        now, counts = None, np.zeros(size, np.uint8)
         for batch in batches:
             done: list[tuple[int, bytes]] = []
             for chunk, seen, again in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if chunk != now:
                     if now is not None:
                         done.append((now, np.packbits(counts > 1).tobytes()))
-                    now, counts = chunk, np.zeros(CHUNK, np.uint8)
+                    now, counts = chunk, np.zeros(size, np.uint8)
                 at = unpacked(seen)
                 counts[at] = np.minimum(counts[at] + 1, 2)
                 counts[unpacked(again)] = 2
@@ -153,16 +150,33 @@ def merged_sketch(docs: DataFrame, window: int, depth: int, width: int) -> np.nd
         if now is not None:
             yield records(schema, [[now], [np.packbits(counts > 1).tobytes()]])
 
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = docs.select("text").mapInArrow(partial, "chunk int, seen binary, again binary")
+    n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     whole = parts.repartition(n, "chunk").sortWithinPartitions("chunk").mapInArrow(merge, "chunk int, bits binary").toArrow()
-    bits = np.zeros(((depth * width - 1) // CHUNK + 1) * CHUNK // 8, np.uint8)
+    bits = np.zeros(((slots - 1) // size + 1) * size // 8, np.uint8)
     for batch in whole.to_batches():
         for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            bits[chunk * CHUNK // 8 : (chunk + 1) * CHUNK // 8] = np.frombuffer(data, np.uint8)
+            bits[chunk * size // 8 : (chunk + 1) * size // 8] = np.frombuffer(data, np.uint8)
     return bits
 
 
+def in_bits(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    at = at.astype(np.uint64)
+    return (bits[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
+
+
+def merged_sketch(docs: DataFrame, window: int, depth: int, width: int) -> np.ndarray:
+    """One bit for each slot of each row of the sketch: whether its merged count is two or more."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in blocks(batches, "text", SKETCH_BLOCK_BYTES):
+            h = Windows(batch.column(0).to_pylist(), window, hashes).hash(1)
+            for row in range(depth if len(h) else 0):
+                yield records(PARTS_SCHEMA, slot_parts(np.sort(slots_of(h, row, width)).astype(np.int64), CHUNK))
+
+    return merged(docs.select("text").mapInArrow(partial, PARTS), depth * width, CHUNK)
+
+
 def least_of(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(the smallest id of each group of equal hashes, the group of every row)."""
     order = np.lexsort((ids, h2, h1))
@@ -261,8 +275,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, sl
             h1 = windows.hash(1)
             often = np.ones(len(h1), bool)
             for row in range(depth):
-                at = slots_of(h1, row, width)
-                often &= (bits[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
+                often &= in_bits(bits, slots_of(h1, row, width))
             often = np.flatnonzero(often)
             h1, h2 = h1[often], windows.hash(2, often).astype(np.uint32)
             row, pos = windows.row[often], windows.pos[often]
