@@ -7,7 +7,7 @@ shuffled.  Of two sets that meet, first their sizes and places and then their wh
 and what is left is verified on the whole sets.  Shingles that many documents of a sample have come last in the order, so
 that boilerplate makes no large buckets; the sample changes the order only, not what is found.
 
-Large classes: first each set is compared with the bucket's first one only, then what isn't joined by that pair by pair.
+Large classes: first each set is compared with one of the bucket, its likely middle, then what that hasn't joined pair by pair.
 Equal sets count as one.  A class is whatever SimHash or the similarity joins.
 
 Shingles, and sets, are told apart by 64-bit hashes.  Lower-casing and splitting touch ASCII only.  Fewer than five words
@@ -157,7 +157,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.n
 
 
 def _meetings(rows: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """key, node, size, at, with: the rows of buckets of three sets and more, and in `with` the bucket's first set where it may be similar."""
+    """key, node, size, at, with: the rows of buckets of three sets and more, and in `with` the bucket's middle set where it may be similar."""
     spark = rows.sparkSession
     n_keys = rows.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0)).alias("n")).first()["n"] // 8
     slots = min(max(CHUNK, SLOTS * n_keys), MAX_BITS)
@@ -185,12 +185,14 @@ def _meetings(rows: DataFrame, least: tuple[int, int]) -> DataFrame:
             if len(node) < 2:
                 continue
             size, at = size[first].astype(np.int64), at[first].astype(np.int64)
-            may = _may(size[0], at[0], size, at, least)
-            may[0] = False
-            if len(node) == 2 and not may[1]:
+            # The set with the fewest rare shingles before this one is the most likely middle of a class.
+            k = int(np.lexsort((node, at))[0])
+            may = _may(size[k], at[k], size, at, least)
+            may[k] = False
+            if len(node) == 2 and not may.any():
                 continue
-            take = slice(None) if len(node) > 2 else slice(1, None)
-            out.append([np.full(len(node), key, np.int64)[take], node[take], size[take].astype(np.int32), at[take].astype(np.int32), np.where(may, node[0], node)[take]])
+            take = may if len(node) == 2 else slice(None)
+            out.append([np.full(len(node), key, np.int64)[take], node[take], size[take].astype(np.int32), at[take].astype(np.int32), np.where(may, node[k], node)[take]])
             held += len(node)
             if held > PAIRS:
                 yield records(schema, [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)])
