@@ -1,10 +1,14 @@
 from __future__ import annotations
 
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidewater.functions import scalars as S
-from tidewater.operators import enrich, evaluate, features, inject, sequence
+from tidewater.operators import enrich, evaluate, features, inject, order, sequence
+from tidewater.operators.detectors.iforest import IsolationForest
 from tidewater.operators.ensemble import ensemble_score
 from tidewater.sources import readers, sinks
 from tidewater.streaming import pipeline
@@ -77,6 +81,7 @@ def test_injection_is_the_same_again(spark):
     assert sorted(a.collect()) == sorted(inject.inject_points(rows.repartition(7)).collect())
     block = inject.inject_drift(a, "T", "window_end").where("anomaly_type = 'subtle_drift'")
     places = sorted(r["window_end"] for r in block.collect())
+    assert all((r["price_change_rate"], r["total_volume"], r["avg_sentiment"], r["sentiment_shift"]) == (0.01 + 0.02, 15.0, -0.2, 0.0) for r in block.collect())
     assert len(places) == 15 and places[-1] - places[0] == 14 and places[0] >= 50
 
 
@@ -85,6 +90,47 @@ def test_positions(spark):
     assert all(r["x"] == r["position"] for r in inject.positions(rows, ["x"]).collect())
 
 
+def test_positions_of_many_rows(spark):
+    """Bounds of ranges are sampled; places are still 0 to n - 1, each once, in order."""
+    rows = spark.range(0, 400_000, 1, 7).select(((F.col("id") * 48271) % 400_009).alias("x"))
+    got = inject.positions(rows, ["x"]).agg(F.count("position"), F.countDistinct("position"), F.min("position"), F.max("position")).first()
+    assert tuple(got) == (400_000, 400_000, 0, 399_999)
+
+
+@pytest.mark.parametrize("few", [1 << 20, 7, 1])
+@pytest.mark.parametrize("values", [[], [3], [5, 5, 5, 5], list(range(500)), [x * x * (-1) ** x for x in range(300)], [-(1 << 63), (1 << 63) - 1, 0, 0, 7] * 5])
+def test_values_by_place(spark, values, few):
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v long").repartition(3)
+    for place in {0, 1, len(values) // 2, len(values) - 1, len(values)}:
+        assert order.value_at(df, "v", place, few) == (sorted(values)[place] if 0 <= place < len(values) else None)
+
+
+def plain_matches(found, truth, tolerance):
+    free, out = set(truth), []
+    for d in sorted(set(found)):
+        for g in (g for k in range(tolerance + 1) for g in (d - k, d + k)):
+            if g in free:
+                free.remove(g)
+                out.append((d, g))
+                break
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_matches_over_the_edges_of_buckets(spark, seed):
+    rng = random.Random(seed)
+    found, truth = ([rng.randrange(400) for _ in range(n)] for n in (80, 60))
+    frame = lambda name, xs: spark.createDataFrame([(x,) for x in xs], f"{name} long")
+    for bucket in (1, 3, 16, 1000):
+        got = evaluate.matches(frame("d", found), frame("g", truth), 2, bucket)
+        assert sorted(tuple(r) for r in got.select("d", "g").collect()) == plain_matches(found, truth, 2)
+
+
+def test_a_forest_of_nothing():
+    forest = IsolationForest().fit(np.empty((0, 4)))
+    assert not forest.fitted and forest.scores(np.ones((3, 4))).tolist() == [0, 0, 0]
+
+
 def test_bounded_memory_of_titles():
     assert readers.bounded_first_seen(["a", "b", "a", "c", "a", "d", "a"], 2) == [True, True, False, True, True, True, False]
 

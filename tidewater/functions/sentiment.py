@@ -12,13 +12,11 @@ from tidewater.functions.scalars import col, signed_label, signed_sentiment
 
 POSITIVE = ("beat", "gain", "gains", "growth", "jump", "profit", "raise", "record", "rally", "strong", "surge", "upgrade")
 NEGATIVE = ("cut", "decline", "downgrade", "drop", "fall", "fraud", "lawsuit", "loss", "miss", "plunge", "recall", "weak")
-#: Words of a text that a model sees.
-MAX_WORDS = 512
 
 
-def words_of(text: Column | str, most: int = MAX_WORDS) -> Column:
-    """The first `most` lower-cased words; none for null."""
-    return F.slice(F.filter(F.split(F.lower(F.coalesce(col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""), 1, most)
+def words_of(text: Column | str) -> Column:
+    """The lower-cased words; none for null."""
+    return F.filter(F.split(F.lower(F.coalesce(col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
 def lexicon_score(text: Column | str, positive: tuple[str, ...] = POSITIVE, negative: tuple[str, ...] = NEGATIVE) -> Column:
@@ -35,12 +33,15 @@ def lexicon_label(score: Column | str) -> Column:
 
 
 def scored_texts(df: DataFrame, text: str, model: Callable[[list[str]], list[tuple[str, float]]]) -> DataFrame:
-    """Adds sentiment_label and sentiment_score of a classifier that gives (label, confidence) for each text of a batch."""
+    """Adds sentiment_label and sentiment_score of a classifier that gives (label, confidence) for each text of a batch.
+
+    The model gets whole texts; one that takes no more than so many tokens cuts them itself.
+    """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = model([" ".join((t or "").split()[:MAX_WORDS]) for t in pdf[text]])
+            found = model([t or "" for t in pdf[text]])
             yield pdf.assign(_label=[f[0] for f in found], _score=[float(f[1]) for f in found])
 
     out = df.mapInPandas(run, f"{schema}, _label string, _score double")

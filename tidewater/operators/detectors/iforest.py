@@ -32,6 +32,8 @@ class IsolationForest(Detector):
 
     def fit(self, x: np.ndarray) -> IsolationForest:
         x = np.asarray(x, float)
+        if not len(x):  # nothing to learn from: unfitted, every score is 0
+            return self
         self.mean, self.std = x.mean(axis=0), x.std(axis=0)
         self.std = np.where(self.std == 0, 1.0, self.std)
         z, rng = (x - self.mean) / self.std, np.random.default_rng(self.seed)
@@ -75,6 +77,8 @@ class IsolationForest(Detector):
         return self.samples_score(x) - self.offset
 
     def scores(self, x: np.ndarray) -> np.ndarray:
+        if not self.fitted:
+            return np.zeros(len(x))
         raw = self.decision(x)
         return np.where(raw >= 0, 0.0, np.maximum(-1.0, raw / SCALE))
 
@@ -83,7 +87,7 @@ class IsolationForest(Detector):
 
     def predict(self, row: dict) -> tuple[float, bool]:
         """(score, whether the row is beyond the offset)."""
-        return self.score(row), bool(self.decision(np.array([values(row)]))[0] < 0)
+        return self.score(row), self.fitted and bool(self.decision(np.array([values(row)]))[0] < 0)
 
     def to_json(self) -> str:
         keep = {k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in vars(self).items()}

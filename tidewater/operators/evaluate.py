@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from tidewater.config import SETTINGS
 from tidewater.functions.scalars import rounded
+from tidewater.operators.order import value_at
+from tidewater.scratch import stored
 
 
-def matches(detections: DataFrame, truth: DataFrame, tolerance: int = SETTINGS.tolerance) -> DataFrame:
+def matches(detections: DataFrame, truth: DataFrame, tolerance: int = SETTINGS.tolerance, bucket: int = 1 << 20) -> DataFrame:
     """One-to-one matches (d, g): detections in ascending order each take the nearest free truth within the tolerance, the earlier of two equally near.
 
     `detections` has d, `truth` has g, both whole numbers.  A greedy match only depends on what is within a
@@ -23,14 +25,17 @@ def matches(detections: DataFrame, truth: DataFrame, tolerance: int = SETTINGS.t
         return detections.join(truth, detections["d"] == truth["g"])
     both = detections.select(F.col("d").alias("x"), F.lit(0).alias("side")).unionByName(truth.select(F.col("g").alias("x"), F.lit(1).alias("side")))
     # A gap over the tolerance starts a run.  Buckets of indices keep the ordering distributed, unless a run crosses an edge.
-    size = 1 << 20
-    edges = both.select(F.floor(F.col("x") / size).alias("bucket"), "x").groupBy("bucket").agg(F.min("x").alias("first"), F.max("x").alias("last"))
-    after = edges.select((F.col("bucket") - 1).alias("bucket"), F.col("first").alias("next"))
-    crossing = edges.join(after, "bucket").where(F.col("next") - F.col("last") <= tolerance).limit(1).count()
-    rows = both.withColumn("bucket", F.lit(0) if crossing else F.floor(F.col("x") / size))
+    # Buckets of indices keep the ordering distributed; a run is named by its first index, which buckets hand on.
+    rows = both.withColumn("bucket", F.floor(F.col("x") / bucket))
     w = Window.partitionBy("bucket").orderBy("x", "side")
-    rows = rows.withColumn("new", F.coalesce((F.col("x") - F.lag("x").over(w) > tolerance).cast("long"), F.lit(1)))
-    rows = rows.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("new", F.when(F.col("x") - F.lag("x").over(w) > tolerance, F.col("x")))
+    # A row for each bucket, of which one index in `bucket` has one at most.
+    edges = rows.groupBy("bucket").agg(F.min("x").alias("first"), F.max("x").alias("last"), F.max("new").alias("begun"))
+    order = Window.orderBy("bucket")
+    edges = edges.withColumn("new", F.when(F.coalesce(F.col("first") - F.lag("last").over(order) > tolerance, F.lit(True)), F.col("first")))
+    edges = edges.withColumn("carried", F.coalesce("new", F.max(F.greatest("begun", "new")).over(order.rowsBetween(Window.unboundedPreceding, -1))))
+    rows = rows.join(edges.select("bucket", "carried"), "bucket")
+    rows = rows.withColumn("run", F.coalesce(F.max("new").over(w.rowsBetween(Window.unboundedPreceding, 0)), "carried"))
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         free = set(pdf.loc[pdf["side"] == 1, "x"].tolist())
@@ -43,7 +48,7 @@ def matches(detections: DataFrame, truth: DataFrame, tolerance: int = SETTINGS.t
                     break
         return pd.DataFrame(out, columns=["d", "g"]).astype("int64")
 
-    return rows.groupBy("bucket", "run").applyInPandas(greedy, "d long, g long")
+    return rows.groupBy("run").applyInPandas(greedy, "d long, g long")
 
 
 def beside(*rows: DataFrame) -> DataFrame:
@@ -108,15 +113,14 @@ def separation(scored: DataFrame, score: str = "score") -> DataFrame:
 def latency_stats(df: DataFrame, latency: str = "latency_ms") -> DataFrame:
     """mean, median, p99 and max; p99 is the value at place min(n - 1, int(0.99 n)) of the sorted ones.
 
-    The place is found by counting: values are grouped first, so the running count is over distinct values.
+    The places are found by counting ranges of values; measured values are stored first, as they would differ in each job.
     """
-    n = df.count()
-    at = min(n - 1, int(0.99 * n)) + 1
-    counts = df.groupBy(F.col(latency).alias("v")).agg(F.count(F.lit(1)).alias("k"))
-    running = counts.withColumn("upto", F.sum("k").over(Window.orderBy("v")))
-    p99 = running.where(F.col("upto") >= at).agg(F.min("v").alias("p99"))
-    whole = df.agg(F.avg(latency).alias("mean"), F.median(latency).alias("median"), F.max(latency).alias("max"))
-    return beside(whole, p99).select(*(rounded(c, 4).alias(c) for c in ("mean", "median", "p99", "max")))
+    rows = stored(df.select(F.col(latency).alias("v")).where("v is not null"), "latencies")
+    n = rows.count()
+    places = {"low": (n - 1) // 2, "high": n // 2, "p99": min(n - 1, int(0.99 * n))}
+    found = {k: F.lit(value_at(rows, "v", at)).cast("double") for k, at in places.items()}
+    whole = rows.agg(F.avg("v").alias("mean"), ((found["low"] + found["high"]) / 2).alias("median"), F.max("v").alias("max"), found["p99"].alias("p99"))
+    return whole.select(*(rounded(c, 4).alias(c) for c in ("mean", "median", "p99", "max")))
 
 
 def first_drift(drifts: DataFrame, start: int) -> DataFrame:

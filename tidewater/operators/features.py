@@ -117,7 +117,7 @@ def neighbourhood(df: DataFrame, events: DataFrame, order: str, reach: int = 2)
     """Rows within `reach` rows of each event, an event being (ticker, at) with `at` a value of `order`; adds offset."""
     w = Window.partitionBy("ticker").orderBy(order)
     rows = df.withColumn("_rn", F.row_number().over(w))
-    at = rows.join(F.broadcast(events), (rows["ticker"] == events["ticker"]) & (rows[order] == events["at"])).select(rows["ticker"], F.col("_rn").alias("_at"), "at")
+    at = rows.join(events, (rows["ticker"] == events["ticker"]) & (rows[order] == events["at"])).select(rows["ticker"], F.col("_rn").alias("_at"), "at")
     near = at.select("ticker", "at", "_at", F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("offset")).withColumn("_rn", F.col("_at") + F.col("offset"))
     return rows.join(near.select("ticker", "at", "offset", "_rn"), ["ticker", "_rn"]).drop("_rn")
 

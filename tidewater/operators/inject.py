@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.config import SETTINGS
+from tidewater.operators.order import value_at
+from tidewater.scratch import stored
 
 #: Kinds and the shares of rows that each gets, in order.
 KINDS = (("price_spike", 0.33), ("volume_surge", 0.28), ("sentiment_crash", 0.22), ("multi_feature", 0.17))
@@ -20,12 +22,15 @@ def uniform(seed: int, stream: int, low: float = 0.0, high: float = 1.0) -> Colu
 def inject_points(df: DataFrame, rate: float = SETTINGS.injection_rate, seed: int = SETTINGS.seed) -> DataFrame:
     """Changes max(1, int(n * rate)) rows and names the kind in `anomaly_type` (null elsewhere).  Needs a unique `row_id`.
 
-    Which rows: those whose hash is smallest.  Their number needs the row count; their threshold is found
-    by sorting row ids only.
+    Which rows: those whose hash is smallest.  The hash that ends them is found by counting; only rows that share it are sorted.
     """
     n = df.count()
     k = min(n, max(1, int(n * rate)))
-    chosen = df.select("row_id", F.xxhash64("row_id", F.lit(seed), F.lit(-1)).alias("_h")).orderBy("_h", "row_id").limit(k).select("row_id", F.lit(True).alias("_hit"))
+    hashed = df.select("row_id", F.xxhash64("row_id", F.lit(seed), F.lit(-1)).alias("_h"))
+    last = value_at(hashed, "_h", k - 1) if n else 0
+    below = hashed.where(F.col("_h") < last)
+    ties = hashed.where(F.col("_h") == last).orderBy("row_id").limit(k - below.count())
+    chosen = below.unionByName(ties).select("row_id", F.lit(True).alias("_hit"))
     u, edge, kind = uniform(seed, 0), 0.0, F
     for name, share in KINDS[:-1]:
         edge += share
@@ -57,7 +62,6 @@ def inject_drift(df: DataFrame, ticker: str, order: str, length: int = 15) -> Da
             "price_change_rate": F.when(hit, F.col("price_change_rate") + 0.02).otherwise(F.col("price_change_rate")),
             "total_volume": F.when(hit, F.col("total_volume") * 1.5).otherwise(F.col("total_volume")),
             "avg_sentiment": F.when(hit, F.col("avg_sentiment") - 0.2).otherwise(F.col("avg_sentiment")),
-            "sentiment_shift": F.when(hit, F.col("sentiment_shift") - 0.2).otherwise(F.col("sentiment_shift")),
             "anomaly_type": F.when(hit, "subtle_drift").otherwise(F.col("anomaly_type")),
         }
     ).drop("_rn", "_n", "_start")
@@ -71,14 +75,17 @@ def shift_last_fifth(df: DataFrame, order: list[str]) -> DataFrame:
 
 
 def positions(df: DataFrame, order: list[str]) -> DataFrame:
-    """Adds the row's place in a global order, ranked inside sorted partitions and offset by their sizes: no single task sorts it all."""
+    """Adds the row's place in a global order, ranked inside sorted partitions and offset by their sizes: no single task sorts it all.
+
+    The ranges are stored: their bounds are sampled, and sampled anew each time they are computed.
+    """
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
-    ranged = ranged.withColumns({"_part": F.shiftright("_m", 33), "_local": F.col("_m").bitwiseAND((1 << 33) - 1)})
+    ranged = stored(ranged.withColumns({"_part": F.shiftright("_m", 33), "_local": F.col("_m").bitwiseAND((1 << 33) - 1)}).drop("_m"), "ranges")
     sizes = {r["_part"]: r["n"] for r in ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a partition
     before, total = [], 0
     for p in sorted(sizes):
         before.append((p, total))
         total += sizes[p]
     offsets = df.sparkSession.createDataFrame(before, "_part long, _before long")
-    return ranged.join(F.broadcast(offsets), "_part").withColumn("position", F.col("_before") + F.col("_local")).drop("_m", "_part", "_local", "_before")
+    return ranged.join(F.broadcast(offsets), "_part").withColumn("position", F.col("_before") + F.col("_local")).drop("_part", "_local", "_before")

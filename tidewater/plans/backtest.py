@@ -29,7 +29,7 @@ def scored_with_all(train: DataFrame, test: DataFrame, order: list[str], s: Sett
     both = stored(warm.unionByName(test), "replay")
     names = both.columns
     out = sequence.replay(both, order, s, autoencoder=coder, warm="is_train").select(*names, "ewma", "lstm_ae", "cep", "cep_match", "drifted")
-    hst = sequence.with_hst(both, [*order, "ticker"], s, warm="is_train").where("not is_train").select("row_id", "hst")
+    hst = sequence.with_hst(both, ["ticker", *order], s, warm="is_train").where("not is_train").select("row_id", "hst")
     out = sequence.with_iforest(out.join(hst, "row_id"), forest)
     scores = {n: F.col(n) for n in s.weights}
     out = out.withColumns({"score": ensemble_score(scores, s.weights), "is_truth": F.col("anomaly_type").isNotNull(), "detector_scores": F.create_map(*(x for n in s.weights for x in (F.lit(n), F.col(n))))})

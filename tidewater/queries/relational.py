@@ -310,10 +310,10 @@ def _(s, d):
     return rows.select("ticker", "window_end", F.size("buffer").cast("long").alias("n"), F.aggregate("buffer", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
-@query("win06_neighbourhood", f"WITH {DAILY_SQL}, numbered AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY day) AS rn FROM daily), anchors AS (SELECT * FROM numbered WHERE day % 400 = 0) SELECT a.ticker, a.day AS anchor, CAST(n.rn - a.rn AS BIGINT) AS offset_rows, n.day, n.price_change_rate FROM anchors a JOIN numbered n ON n.ticker = a.ticker AND n.rn BETWEEN a.rn - 2 AND a.rn + 2")
+@query("win06_neighbourhood", f"WITH {DAILY_SQL}, numbered AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY day) AS rn FROM daily), anchors AS (SELECT * FROM numbered WHERE abs(price_change_rate) >= 0.05::DOUBLE) SELECT a.ticker, a.day AS anchor, CAST(n.rn - a.rn AS BIGINT) AS offset_rows, n.day, n.price_change_rate FROM anchors a JOIN numbered n ON n.ticker = a.ticker AND n.rn BETWEEN a.rn - 2 AND a.rn + 2")
 def _(s, d):
     rows = daily(s, d)
-    near = features.neighbourhood(rows, rows.where("day % 400 = 0").select("ticker", F.col("day").alias("at")), "day")
+    near = features.neighbourhood(rows, rows.where(F.abs("price_change_rate") >= 0.05).select("ticker", F.col("day").alias("at")), "day")
     return longs(near.select("ticker", F.col("at").alias("anchor"), F.col("offset").alias("offset_rows"), "day", "price_change_rate"), "offset_rows")
 
 

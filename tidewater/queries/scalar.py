@@ -109,7 +109,7 @@ LEXICON = (("the", "erhe", "le"), ("of", "anti", "la"))
 
 @query(
     "scl01_lexicon",
-    """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')[1:512] AS ws FROM documents),
+    """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS ws FROM documents),
 c AS (SELECT doc_id, len(list_filter(ws, lambda x: x IN ('the', 'erhe', 'le'))) AS p, len(list_filter(ws, lambda x: x IN ('of', 'anti', 'la'))) AS n FROM w)
 SELECT doc_id, s AS score, CASE WHEN s > 0 THEN 'positive' WHEN s < 0 THEN 'negative' ELSE 'neutral' END AS label FROM (SELECT doc_id, CASE WHEN p + n = 0 THEN 0::DOUBLE ELSE (p - n) / (p + n) END AS s FROM c)""",
 )

@@ -1,4 +1,4 @@
-"""A folder for tables between steps: in the shared folder that the session names, a temporary one where none is named."""
+"""A folder for tables between steps: in the shared folder that the session names, a temporary one where none is named and Spark runs in one process."""
 
 from __future__ import annotations
 
@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch(spark: SparkSession, name: str) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='tidewater-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
         atexit.register(shutil.rmtree, folder.removeprefix("file://"), ignore_errors=True)
