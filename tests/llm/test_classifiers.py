@@ -101,3 +101,9 @@ def test_rejected_documents_go(spark):
     scored = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(docs, labels).collect()}
     kept = toxicity.without_toxic(docs, labels)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, p in scored.items() if not p)
+
+
+def test_labelled_rows_are_bounded_after_the_join(spark):
+    docs = frame(spark, [(1, f"text {i}") for i in range(50)] + [(2, "two"), (3, "three")])
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, toxic int")
+    assert toxicity.labelled(docs, labels, "toxic", 5, 0, 10).count() <= 10

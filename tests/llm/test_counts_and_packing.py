@@ -28,6 +28,44 @@ def test_token_counts(spark, hot):
     assert collected(got.select("doc_id", "n_bytes", "n_tokens")) == want
 
 
+SCRIPTS = ["“Curly” quotes — and dashes…", "Привет, как дела?  Хорошо", "我喜欢在北京的公园里散步 和看书。", "日本語の文章です。", "نص عربي قصير", "สวัสดีครับ", "한국어 문장", "emoji 👩‍💻 🇩🇪 ok", "nbsp\u00a0here \u00a0 there\u3000x", "a\u200bb \u200b c", "tab\t\tx \t y\v\fz", "  leading and trailing  ", "x\n\n  indented\n\tcode {\n    }\n"]
+
+
+def test_units_add_up_in_any_script():
+    """Of random strings that may be cut, the sum over units is what the library gives; only odd control letters aren't cut."""
+    t = Tokenizer.from_file(file("byte_bpe_50k.json"))
+    assert tokens.by_units(t) and not tokens.by_units(Tokenizer.from_file(file("word_bpe_49k.json")))
+    rng = random.Random(9)
+    some = [*SCRIPTS, "it's", "WE'LL", " ", "  ", "\n", "\t", "\u2028", "\u3000", "\x85", "\u00a0", "1234", "___", "!?", "é", "\u0301", "\u180e", "\x1d", "\ufeff", "京", "-"]
+    whole = 0
+    for _ in range(4000):
+        text = "".join(rng.choice(some) for _ in range(rng.randrange(1, 9)))
+        if not tokens.plain(text):
+            whole += 1
+            continue
+        others, rest = tokens.units(text)
+        every = others + [f" {u}" for u in rest]
+        assert sorted("".join(every)) == sorted(text)
+        assert sum(len(e.ids) for e in t.encode_batch(every, add_special_tokens=False)) == len(t.encode(text, add_special_tokens=False).ids), text
+    assert whole < 1600 and all(tokens.plain(x) for x in SCRIPTS)
+
+
+@pytest.mark.parametrize("hot", [0, 1 << 18])
+def test_scripts_take_the_way_of_units(spark, hot):
+    t = Tokenizer.from_file(file("byte_bpe_50k.json"))
+    rows = [(i, " ".join(SCRIPTS[i % len(SCRIPTS) :] * (1 + i % 3))) for i in range(40)]
+    got = tokens.count_tokens(frame(spark, rows), lambda: file("byte_bpe_50k.json"), hot).collect()
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in got) == [(i, len(t.encode(x, add_special_tokens=False).ids)) for i, x in rows]
+    assert all(r["n_units"] > 1 for r in got)
+
+
+def test_other_tokenizers_count_whole_texts(spark):
+    t = Tokenizer.from_file(file("word_bpe_49k.json"))
+    rows = [(i, x) for i, x in enumerate(SCRIPTS)]
+    got = tokens.count_tokens(frame(spark, rows), lambda: file("word_bpe_49k.json")).collect()
+    assert sorted((r["doc_id"], r["n_tokens"], r["n_units"]) for r in got) == [(i, len(t.encode(x, add_special_tokens=False).ids), 1) for i, x in rows]
+
+
 def test_token_counts_of_nothing(spark):
     assert tokens.count_tokens(frame(spark, []), lambda: file("byte_bpe_50k.json")).count() == 0
 

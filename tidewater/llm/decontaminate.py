@@ -1,13 +1,14 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-Texts are compared as words: lower-cased runs of letters and digits.  An item of n words may be changed
+Texts are compared as words: lower-cased runs of letters and digits, and in scripts without spaces single
+letters.  An item of n words may be changed
 by `rate` of its words, k = floor(rate * n) edits (a word added, dropped or replaced).  Cut into k + 1
 pieces, an item that occurs with at most k edits has at least one piece unchanged.  All pieces are
 searched at once, as strings of whole words (Aho-Corasick); around every hit the item is verified with
 Myers' bit-parallel edit distance over words, Python's integers holding items of any length.
 
 Items are taken in blocks of `items_a_pass`, so that what is broadcast is bounded; each block passes
-over all documents.  Items of fewer than `min_words` words say too little and are not searched.
+over all documents.  Items of fewer than five words have a budget of 0 edits.
 
 Null texts have no words and match nothing; null and empty items are not searched.  Items repeated under
 several ids, and repeated documents, each get their rows.  Other columns are ignored.
@@ -23,17 +24,22 @@ from pyspark.sql import DataFrame
 
 from .common import records
 
-RATE, MIN_WORDS, ITEMS_A_PASS = 0.2, 5, 20_000
+RATE, MIN_WORDS, ITEMS_A_PASS = 0.2, 1, 20_000
 MATCHES = "doc_id long, item_id long, distance int, budget int, first_word long, last_word long"
 #: Windows whose verification a task remembers: passages that many documents share are verified once.
 KNOWN_WINDOWS = 2_000
 
 _BETWEEN = re.compile(r"[\W_]+")
+#: Letters of scripts that don't put spaces between words: South-East Asian, Japanese, Chinese.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def normalised(text: str | None) -> str:
     """The words, each with one space on either side."""
-    return f" {_BETWEEN.sub(' ', (text or '').lower()).strip()} "
+    text = (text or "").lower()
+    if not text.isascii() and _UNSPACED.search(text):
+        text = _UNSPACED.sub(r" \g<0> ", text)
+    return f" {_BETWEEN.sub(' ', text).strip()} "
 
 
 def cut(words: list[str], k: int) -> list[tuple[int, str]]:

@@ -75,11 +75,11 @@ def collisions(docs: DataFrame, digests: DataFrame) -> dict[tuple[str, bytes], i
     several = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # A fixed number of bits tells the tasks which digests may repeat; it only ever says yes too often.
     slot = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") % slots
-    marks = several.select(slot.alias("slot")).groupBy((F.col("slot") / 65536).cast("int").alias("chunk")).agg(F.collect_set((F.col("slot") % 65536).cast("int")).alias("low")).toArrow()
-    bits = np.zeros(slots, bool)
-    for chunk, low in zip(marks.column("chunk").to_pylist(), marks.column("low").to_pylist(), strict=True):
-        bits[chunk * 65536 + np.array(low, np.int64)] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits).tobytes())
+    maps = several.groupBy(F.bitmap_bucket_number(slot + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot + 1)).alias("bits")).toArrow()
+    bits = np.zeros(slots // 8, np.uint8)
+    for bucket, data in zip(maps.column("bucket").to_pylist(), maps.column("bits").to_pylist(), strict=True):
+        bits[(bucket - 1) * len(data) : bucket * len(data)] = np.frombuffer(data, np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("digest", pa.string()), ("form", pa.binary())])
@@ -90,7 +90,7 @@ def collisions(docs: DataFrame, digests: DataFrame) -> dict[tuple[str, bytes], i
                 form = canonical(text)
                 d = digest(form)
                 at = int(d[:8], 16) % slots
-                if marked[at >> 3] >> (7 - (at & 7)) & 1:
+                if marked[at >> 3] >> (at & 7) & 1:
                     rows[form] = d
             yield records(schema, [list(rows.values()), [zlib.compress(f, 1) for f in rows]])
 

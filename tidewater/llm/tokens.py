@@ -1,10 +1,10 @@
 """Token counts: pieces are counted once per distinct pre-token and joined to per-document pre-token frequencies.
 
-A pre-token here is a space-delimited unit with the space before it.  The byte-level pattern never
-matches across the border between a character and a following space unless white space adjoins it, so
-the token count of a text is the sum over its units.  Texts for which that isn't plain (white space
-next to a space, characters outside a small checked alphabet, special-token strings) go to the
-library whole.
+A pre-token here is a unit: a run of other characters with all the white space before it.  No match of the
+byte-level pattern goes from another character into white space, and none looks back, so the token count of
+a text is the sum over its units, in any script.  Texts that may hold a special token, or one of the few
+characters that libraries don't agree on as white space, go to the library whole; so do all texts where the
+tokenizer's file has a normaliser or another pre-tokenizer than that pattern.  `n_units` is 1 for them.
 
 Plan: (1) distinct units with their frequency, combined in each task, then `groupBy`; (2) the
 tokenizer sees each distinct unit once; (3) the `hot_units` most frequent units, a fixed number, are
@@ -32,19 +32,45 @@ HOT_UNITS = 1 << 18
 #: Distinct units that a task gathers before it hands them on.
 FLUSH_UNITS = 400_000
 
-_UNSAFE = re.compile(r"[^\t\n\r -~À-ÖØ-öø-ÿ]")
-_NEXT_TO_SPACE = ("  ", "\n ", " \n", "\t ", " \t", "\r ", " \r")
+#: White space, and what isn't the same everywhere.
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_UNSURE = re.compile(r"[\x1c-\x1f\u180e\ud800-\udfff]")
+_UNIT = re.compile(rf"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+_BESIDE = re.compile(rf"[{_SPACE}] | [{_SPACE}]|^ | $")
+_ASCII_BESIDE = ("  ", *(f"{c} " for c in "\n\t\r\v\f"), *(f" {c}" for c in "\n\t\r\v\f"))
 
 
 def plain(text: str) -> bool:
-    """Whether the text is the sum of its space-delimited units."""
-    return not (_UNSAFE.search(text) or "<|" in text or text[:1].isspace() or text[-1:].isspace() or any(x in text for x in _NEXT_TO_SPACE))
+    """Whether the text is the sum of its units."""
+    return "<|" not in text and not _UNSURE.search(text)
 
 
-def units(text: str) -> tuple[str, list[str]]:
-    """The units of a plain text: the first, and the others without the space before each."""
-    first, *rest = text.split(" ")
-    return first, rest
+def after_one_space(unit: str) -> bool:
+    return unit[0] == " " and len(unit) > 1 and not unit[1].isspace()
+
+
+def units(text: str) -> tuple[list[str], list[str]]:
+    """The units of a plain text: the others, and those after one space without it."""
+    if text.isascii() and text[0] != " " and text[-1] != " " and not any(x in text for x in _ASCII_BESIDE) or not _BESIDE.search(text):
+        # No space is beside white space: what is between spaces is a unit or several, which add up as well.
+        first, *rest = text.split(" ")
+        return [first], rest
+    others, rest = [], []
+    for unit in _UNIT.findall(text):
+        if after_one_space(unit):
+            rest.append(unit[1:])
+        else:
+            others.append(unit)
+    return others, rest
+
+
+def by_units(tokenizer) -> bool:
+    """Whether the tokenizer is one whose counts add up over units."""
+    import json
+
+    spec = json.loads(tokenizer.to_str())
+    pattern = spec["pre_tokenizer"] or {}
+    return spec["normalizer"] is None and (pattern.get("type"), pattern.get("add_prefix_space"), pattern.get("use_regex", True)) == ("ByteLevel", False, True) and all(t["content"].startswith("<|") for t in spec["added_tokens"])
 
 
 def load_tokenizer(path: str):
@@ -62,16 +88,21 @@ def count_tokens(docs: DataFrame, tokenizer_path: str | Callable[[], str], hot_u
     where = tokenizer_path if callable(tokenizer_path) else lambda: tokenizer_path
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("ref"))
 
+    additive = by_units(load_tokenizer(where()))
+
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("unit", pa.string()), ("freq", pa.int64())])
         firsts: Counter = Counter()
         found: Counter = Counter()
         for batch in batches:
             for text in texts_of(batch, "text"):
-                if text and plain(text):
-                    first, rest = units(text)
-                    firsts[first] += 1
+                if text and additive and plain(text):
+                    others, rest = units(text)
+                    firsts.update(others)
                     found.update(rest)
+                    if len(firsts) >= FLUSH_UNITS:
+                        yield records(schema, [list(firsts), list(firsts.values())])
+                        firsts = Counter()
                     if len(found) >= FLUSH_UNITS:
                         yield records(schema, [[f" {u}" for u in found], list(found.values())])
                         found = Counter()
@@ -103,21 +134,23 @@ def count_tokens(docs: DataFrame, tokenizer_path: str | Callable[[], str], hot_u
     def by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("ref", pa.int64()), ("n_bytes", pa.int64()), ("n_units", pa.int64()), ("sum_hot", pa.int64()), ("cold", pa.list_(pa.string())), ("times", pa.list_(pa.int32()))])
         tokenizer = None
-        known = {u[1:]: n for u, n in hot.value.items() if u[0] == " "}
-        starts = {u: n for u, n in hot.value.items() if u[0] != " "}
+        known = {u[1:]: n for u, n in hot.value.items() if after_one_space(u)}
+        starts = {u: n for u, n in hot.value.items() if not after_one_space(u)}
         for batch in batches:
             sizes, n_units, sums = [], [], []
             cold, times, ends = [], [], [0]
             for text in texts_of(batch):
                 n = total = 0
-                if text and plain(text):
-                    first, rest = units(text)
-                    found = Counter(rest)
-                    n = len(found) + 1
-                    if (total := starts.get(first, -1)) < 0:
-                        total = 0
-                        cold.append(first)
-                        times.append(1)
+                if text and additive and plain(text):
+                    others, rest = units(text)
+                    found, begin = Counter(rest), Counter(others)
+                    n = len(found) + len(begin)
+                    for unit, k in begin.items():
+                        if unit in starts:
+                            total += starts[unit] * k
+                        else:
+                            cold.append(unit)
+                            times.append(k)
                     for unit, k in found.items():
                         if unit in known:
                             total += known[unit] * k

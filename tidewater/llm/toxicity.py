@@ -83,10 +83,11 @@ def held_out(folds: int, fold: int) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, max_rows: int) -> DataFrame:
-    """text, y of at most max_rows labelled rows outside the held-out fold."""
+    """text, y of at most max_rows labelled rows outside the held-out fold: that many labels, and after the join that many rows."""
     labels = labels.select("doc_id", F.col(label).alias("y")).where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(folds, fold))
     labels = labels.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id").select("text", "y", F.xxhash64("doc_id", "text").alias("h"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id").select("text", "y", F.xxhash64("doc_id", "text").alias("h"))
+    return rows.orderBy("h", "y").limit(max_rows)
 
 
 class Sparse:
