@@ -10,7 +10,6 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -118,10 +117,10 @@ def marked(df: DataFrame, found: tuple, *columns: str, yes: bool = True) -> Data
     """The rows that may be among those that the marks were made of, or those that surely aren't: no shuffle."""
     shared, slots = found
 
-    @F.pandas_udf("boolean")
-    def hit(slot: pd.Series) -> pd.Series:
-        at = slot.to_numpy()
-        return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1) == int(yes))
+    @F.arrow_udf("boolean")
+    def hit(slot: pa.Array) -> pa.Array:
+        at = slot.to_numpy(zero_copy_only=False)
+        return pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1) == int(yes))
 
     return df.where(hit(F.pmod(F.xxhash64(*columns), F.lit(slots))))
 

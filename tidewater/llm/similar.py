@@ -37,13 +37,13 @@ SAMPLE, COMMON = 20_000, 8
 MAX_COMMON = 1 << 20
 #: Slots of the sketch for each shingle of a prefix, and at most; with fewer more shingles are shuffled.
 SLOTS, MAX_BITS = 4, 1 << 30
-#: Pairs that a bucket yields at a time.
-PAIRS = 1 << 18
+#: Rows of buckets, or pairs, that a task gathers before it hands them on; words and sets that it remembers.
+PAIRS, KNOWN = 1 << 15, 1 << 18
 
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 20:
+        if len(self) > KNOWN:
             self.clear()
         self[word] = found = xxhash.xxh64_intdigest(word, 42)
         return found
@@ -123,7 +123,7 @@ def _new_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, n
     """(node, size, at, key) of all shingles of the prefixes of each batch; a set that the task has had lately is left out."""
     known: set[int] = set()
     for batch in batches:
-        if len(known) > 1 << 20:
+        if len(known) > KNOWN:
             known = set()
         nodes, sizes, keys = [], [], []
         for node, size, prefix in zip(*(c.to_pylist() for c in batch.columns), strict=True):

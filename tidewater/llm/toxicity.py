@@ -87,7 +87,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: i
     labels = labels.select("doc_id", F.col(label).alias("y")).where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(folds, fold))
     labels = labels.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id").select("text", "y", F.xxhash64("doc_id", "text").alias("h"))
-    return rows.orderBy("h", "y").limit(max_rows)
+    return rows if rows.count() <= max_rows else rows.orderBy("h", "y").limit(max_rows)
 
 
 class Sparse:
