@@ -7,7 +7,7 @@ come at least so often before plain edges count).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 UP, DOWN, SURGE, DROP, SPIKE = "price_jump_up", "price_jump_down", "volume_surge", "sentiment_drop", "sentiment_spike"
 PREFIX = "PATTERN:"
@@ -33,15 +33,8 @@ class Edge:
     source: int
     event: str
     target: int
-    gap: int | None = None
-    guard: Guard | None = None
-
-    def __eq__(self, other: object) -> bool:
-        """Edges are the same if they join the same states by the same event."""
-        return isinstance(other, Edge) and (self.source, self.event, self.target) == (other.source, other.event, other.target)
-
-    def __hash__(self) -> int:
-        return hash((self.source, self.event, self.target))
+    gap: int | None = field(default=None, compare=False)
+    guard: Guard | None = field(default=None, compare=False)
 
 
 @dataclass(frozen=True)

@@ -20,8 +20,8 @@ from tidewater.session import table
 from tidewater.sources import market
 from tidewater.streaming import pipeline
 
-from .base import CEP, ENRICHED_SQL, FEATURES_SQL, R4, SCORED_SQL, enriched, feats, flagged, query, ticks
-from .relational import VERSIONS_SQL, daily, study_events, versions
+from .base import CEP, ENRICHED_SQL, FEATURES_SQL, R4, R6, SCORED_SQL, enriched, feats, flagged, query, ticks
+from .relational import GREEDY_SQL, VERSIONS_SQL, daily, study_events, versions
 
 ALPHA = "(2::DOUBLE / 21::DOUBLE)"
 #: Rows numbered per ticker, with the volume baseline that was known before each.
@@ -30,10 +30,10 @@ fold AS (SELECT ticker, rn, CAST(total_volume AS DOUBLE) AS m FROM seqd WHERE rn
   SELECT s.ticker, s.rn, {ALPHA} * s.total_volume + (1 - {ALPHA}) * f.m FROM fold f JOIN seqd s ON s.ticker = f.ticker AND s.rn = f.rn + 1),
 ev AS (SELECT s.*, coalesce(f.m, 0::DOUBLE) AS baseline, CAST(price_change_rate >= 0.02::DOUBLE AS INTEGER) AS up, CAST(price_change_rate <= -0.02::DOUBLE AS INTEGER) AS down,
   CAST(coalesce(s.rn >= 4 AND f.m > 0 AND s.total_volume / f.m >= 1.5::DOUBLE, FALSE) AS INTEGER) AS surge,
-  CAST(sentiment_shift <= -0.3::DOUBLE OR avg_sentiment <= -0.5::DOUBLE AS INTEGER) AS fell
+  CAST(sentiment_shift <= -0.3::DOUBLE OR avg_sentiment <= -0.5::DOUBLE AS INTEGER) AS fell, CAST(sentiment_shift >= 0.3::DOUBLE AS INTEGER) AS rose
   FROM seqd s LEFT JOIN fold f ON f.ticker = s.ticker AND f.rn = s.rn - 1),
 cum AS (SELECT *, sum(up + down) OVER w AS c_jump, sum(down) OVER w AS c_down, sum(surge) OVER w AS c_surge, sum(fell) OVER w AS c_fell FROM ev WINDOW w AS (PARTITION BY ticker ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-b AS (SELECT ticker, rn, window_end, price_change_rate, up, down, surge, fell, baseline, coalesce(c_jump, 0) AS c_jump, coalesce(c_down, 0) AS c_down, coalesce(c_surge, 0) AS c_surge, coalesce(c_fell, 0) AS c_fell FROM cum)"""
+b AS (SELECT ticker, rn, window_end, price_change_rate, up, down, surge, fell, rose, baseline, coalesce(c_jump, 0) AS c_jump, coalesce(c_down, 0) AS c_down, coalesce(c_surge, 0) AS c_surge, coalesce(c_fell, 0) AS c_fell FROM cum)"""
 
 
 def hourly(s: SparkSession, d: str) -> DataFrame:
@@ -46,15 +46,18 @@ def replayed(s: SparkSession, d: str, **kwargs) -> DataFrame:
     return sequence.replay(enriched(s, d), ["window_end"], CEP, **kwargs)
 
 
-@query(
-    "det01_ewma",
-    f"""WITH RECURSIVE {ENRICHED_SQL}, x AS (SELECT ticker, window_end, price_change_rate AS x1, CAST(total_volume AS DOUBLE) AS x2, avg_sentiment AS x3, sentiment_shift AS x4, row_number() OVER (PARTITION BY ticker ORDER BY window_end) AS rn FROM enriched),
+#: The kernel's state after each row, and the score of the next one.
+EWMA_SQL = (
+    f"""{ENRICHED_SQL}, x AS (SELECT ticker, window_end, price_change_rate AS x1, CAST(total_volume AS DOUBLE) AS x2, avg_sentiment AS x3, sentiment_shift AS x4, row_number() OVER (PARTITION BY ticker ORDER BY window_end) AS rn FROM enriched),
 e AS (SELECT ticker, rn, x1 AS m1, 0::DOUBLE AS v1, x2 AS m2, 0::DOUBLE AS v2, x3 AS m3, 0::DOUBLE AS v3, x4 AS m4, 0::DOUBLE AS v4 FROM x WHERE rn = 1 UNION ALL SELECT x.ticker, x.rn, """
     + ", ".join(f"{ALPHA} * x{i} + (1 - {ALPHA}) * m{i}, (1 - {ALPHA}) * (v{i} + {ALPHA} * ((x{i} - m{i}) * (x{i} - m{i})))" for i in range(1, 5))
-    + " FROM e JOIN x ON x.ticker = e.ticker AND x.rn = e.rn + 1) SELECT x.ticker, x.window_end, CASE WHEN m1 IS NULL THEN 0::DOUBLE ELSE 0 - least(greatest("
+    + " FROM e JOIN x ON x.ticker = e.ticker AND x.rn = e.rn + 1), ew AS (SELECT x.ticker, x.window_end, CASE WHEN m1 IS NULL THEN 0::DOUBLE ELSE 0 - least(greatest("
     + ", ".join(f"abs(x{i} - m{i}) / (CASE WHEN v{i} > 1e-10 THEN sqrt(v{i}) ELSE 1e-10 END)" for i in range(1, 5))
-    + "), 8::DOUBLE) / 8::DOUBLE END AS ewma FROM x LEFT JOIN e ON e.ticker = x.ticker AND e.rn = x.rn - 1",
+    + "), 8::DOUBLE) / 8::DOUBLE END AS ewma FROM x LEFT JOIN e ON e.ticker = x.ticker AND e.rn = x.rn - 1)"
 )
+
+
+@query("det01_ewma", f"WITH RECURSIVE {EWMA_SQL} SELECT ticker, window_end, ewma FROM ew")
 def _(s, d):
     return replayed(s, d).select("ticker", "window_end", "ewma")
 
@@ -118,30 +121,46 @@ def _(s, d):
     return replayed(s, d).select("ticker", "window_end", "baseline", F.array_contains("events", "volume_surge").alias("surge"))
 
 
-@query(
-    "cep06_to_16_patterns",
-    f"""WITH RECURSIVE {FOLDED_SQL},
+#: What every pattern needs of the rows before, in closed form; the repeat (`acc`) row by row: n surges so far in the
+#: one match there can be (-1: none), its age, and whether it was completed.
+PATTERNS_SQL = f"""{FOLDED_SQL},
 p AS (SELECT e.*, lag(up, 1, 0) OVER w AS up1, lag(down, 1, 0) OVER w AS down1, lag(surge, 2, 0) OVER w AS surge2, lag(CASE WHEN down = 1 AND abs(price_change_rate) > 0.03::DOUBLE THEN 1 ELSE 0 END, 2, 0) OVER w AS steep2,
   (up = 1 OR down = 1) AND EXISTS (SELECT 1 FROM b x WHERE x.ticker = e.ticker AND x.rn BETWEEN e.rn - 2 AND e.rn AND x.surge = 1 AND x.c_jump = e.c_jump) AS breakout,
   down = 1 AND EXISTS (SELECT 1 FROM b x WHERE x.ticker = e.ticker AND x.rn BETWEEN e.rn - 3 AND e.rn AND x.fell = 1 AND x.c_down = e.c_down) AS selloff,
   down = 1 AND EXISTS (SELECT 1 FROM b v JOIN b x ON x.ticker = v.ticker AND x.rn BETWEEN v.rn AND v.rn + 4 AND x.fell = 1 AND x.c_fell = v.c_fell WHERE v.ticker = e.ticker AND v.surge = 1 AND x.rn BETWEEN e.rn - 2 AND e.rn AND x.c_down = e.c_down) AS panic
   FROM b e WINDOW w AS (PARTITION BY ticker ORDER BY rn)),
-q AS (SELECT *, (up1 = 1 AND down = 1) OR (down1 = 1 AND up = 1) AS flash, sum(CAST(selloff AS INTEGER)) OVER (PARTITION BY ticker ORDER BY rn) - CAST(selloff AS INTEGER) AS c_selloff FROM p)
-SELECT ticker, window_end, breakout AS volume_led_breakout, selloff AS news_driven_selloff, flash AS flash_reversal, panic AS panic_compound, surge2 = 1 AND up1 = 0 AND up = 0 AS failed_breakout, steep2 = 1 AND up1 = 0 AND up = 0 AS sustained_selloff,
+q AS (SELECT *, (up1 = 1 AND down = 1) OR (down1 = 1 AND up = 1) AS flash, sum(CAST(selloff AS INTEGER)) OVER (PARTITION BY ticker ORDER BY rn) - CAST(selloff AS INTEGER) AS c_selloff FROM p),
+acc AS (SELECT ticker, rn, CASE WHEN surge = 1 AND up + down = 0 THEN 0 ELSE -1 END AS n, 0 AS age, surge = 1 AND up + down > 0 AS fired FROM b WHERE rn = 1 UNION ALL
+  SELECT x.ticker, x.rn, CASE WHEN a.n < 0 OR a.age >= 2 THEN CASE WHEN surge = 1 AND up + down = 0 THEN 0 ELSE -1 END WHEN surge = 1 THEN a.n + 1 WHEN a.n >= 3 AND up + down > 0 THEN -1 ELSE a.n END,
+  CASE WHEN a.n < 0 OR a.age >= 2 OR surge = 1 THEN 0 ELSE a.age + 1 END, CASE WHEN a.n < 0 OR a.age >= 2 THEN surge = 1 AND up + down > 0 ELSE surge = 0 AND a.n >= 3 AND up + down > 0 END
+  FROM acc a JOIN b x ON x.ticker = a.ticker AND x.rn = a.rn + 1),
+pat AS (SELECT e.ticker, e.window_end, breakout AS volume_led_breakout, selloff AS news_driven_selloff, flash AS flash_reversal, panic AS panic_compound, surge2 = 1 AND up1 = 0 AND up = 0 AS failed_breakout, steep2 = 1 AND up1 = 0 AND up = 0 AS sustained_selloff,
   surge = 1 AND EXISTS (SELECT 1 FROM q x WHERE x.ticker = e.ticker AND x.rn BETWEEN e.rn - 5 AND e.rn AND x.flash AND x.c_surge = e.c_surge) AS reversal_confirmed,
-  selloff AND EXISTS (SELECT 1 FROM q x WHERE x.ticker = e.ticker AND x.rn BETWEEN e.rn - 10 AND e.rn AND x.breakout AND x.c_selloff = e.c_selloff) AS pump_and_dump FROM q e""",
-)
+  selloff AND EXISTS (SELECT 1 FROM q x WHERE x.ticker = e.ticker AND x.rn BETWEEN e.rn - 10 AND e.rn AND x.breakout AND x.c_selloff = e.c_selloff) AS pump_and_dump, acc.fired AS sustained_accumulation FROM q e JOIN acc ON acc.ticker = e.ticker AND acc.rn = e.rn)"""
+
+
+@query("cep06_to_16_patterns", f"WITH RECURSIVE {PATTERNS_SQL} SELECT * FROM pat")
 def _(s, d):
-    names = ("volume_led_breakout", "news_driven_selloff", "flash_reversal", "panic_compound", "failed_breakout", "sustained_selloff", "reversal_confirmed", "pump_and_dump")
+    names = ("volume_led_breakout", "news_driven_selloff", "flash_reversal", "panic_compound", "failed_breakout", "sustained_selloff", "reversal_confirmed", "pump_and_dump", "sustained_accumulation")
     return replayed(s, d).select("ticker", "window_end", *(F.col("severities")[n].isNotNull().alias(n) for n in names))
 
 
-@query("cep17_19_winner_and_score")
+#: The winning pattern and its severity: the highest of the base patterns, the first of equal ones; meta patterns win ties.
+WINNER_SQL = f"""{PATTERNS_SQL}, won AS (SELECT ticker, window_end, CASE WHEN pump_and_dump THEN 'pump_and_dump' WHEN panic_compound THEN 'panic_compound' WHEN reversal_confirmed THEN 'reversal_confirmed'
+  WHEN news_driven_selloff THEN 'news_driven_selloff' WHEN sustained_accumulation THEN 'sustained_accumulation' WHEN volume_led_breakout THEN 'volume_led_breakout' WHEN flash_reversal THEN 'flash_reversal'
+  WHEN failed_breakout THEN 'failed_breakout' WHEN sustained_selloff THEN 'sustained_selloff' END AS pattern FROM pat),
+lone AS (SELECT ticker, window_end, concat_ws('+', CASE WHEN down = 1 THEN 'price_jump_down' WHEN up = 1 THEN 'price_jump_up' END, CASE WHEN fell = 1 THEN 'sentiment_drop' WHEN rose = 1 THEN 'sentiment_spike' END, CASE WHEN surge = 1 THEN 'volume_surge' END) AS events FROM b),
+best AS (SELECT ticker, window_end, pattern, events, CASE WHEN pattern IN ('pump_and_dump', 'panic_compound') THEN -1::DOUBLE WHEN pattern = 'reversal_confirmed' THEN -0.95::DOUBLE WHEN pattern IN ('news_driven_selloff', 'sustained_accumulation') THEN -0.9::DOUBLE
+  WHEN pattern = 'volume_led_breakout' THEN -0.85::DOUBLE WHEN pattern = 'flash_reversal' THEN -0.8::DOUBLE WHEN pattern IS NOT NULL THEN -0.5::DOUBLE ELSE 0::DOUBLE END AS alone FROM won JOIN lone USING (ticker, window_end)),
+winner AS (SELECT *, CASE WHEN pattern IS NULL AND events <> '' THEN -0.55::DOUBLE ELSE alone END AS cep, coalesce(pattern, CASE WHEN events <> '' THEN 'point:' || events END) AS cep_match FROM best)"""
+
+
+@query("cep17_19_winner_and_score", f"WITH RECURSIVE {WINNER_SQL} SELECT ticker, window_end, cep, cep_match, cep < -0.5::DOUBLE AS is_anomaly FROM winner")
 def _(s, d):
     return replayed(s, d).select("ticker", "window_end", "cep", "cep_match", (F.col("cep") < SETTINGS.cep_threshold).alias("is_anomaly"))
 
 
-@query("det09_cep20_automata_only")
+@query("det09_cep20_automata_only", f"WITH RECURSIVE {WINNER_SQL} SELECT ticker, window_end, alone AS score, pattern AS cep_match FROM winner")
 def _(s, d):
     rows = replayed(s, d, make_cep=lambda: CepDetector(CEP, point_severity=0.0))
     return rows.select("ticker", "window_end", ensemble_score({"cep": F.col("cep")}, {"cep": 1.0}).alias("score"), "cep_match")
@@ -162,7 +181,14 @@ def _(s, d):
     return evaluate.metrics(rows.where("quality = 0").select(F.col("doc_id").alias("d")), rows.where("toxic = 1").select(F.col("doc_id").alias("g")), rows.count(), 0)
 
 
-@query("evl02_tolerant_metrics")
+@query(
+    "evl02_tolerant_metrics",
+    f"""WITH RECURSIVE {GREEDY_SQL}, m AS (SELECT d, g, abs(d - g) AS latency FROM greedy WHERE g IS NOT NULL),
+c AS (SELECT (SELECT count(*) FROM det) AS d, (SELECT count(*) FROM truth) AS g, (SELECT count(*) FROM labels) AS n, count(*) AS tp, avg(latency) AS mean, median(latency) AS middle FROM m),
+r AS (SELECT *, CASE WHEN d > 0 THEN tp / d ELSE 0 END AS p, CASE WHEN g > 0 THEN tp / g ELSE 0 END AS q FROM c)
+SELECT d AS detections, tp, d - tp AS fp, g - tp AS fn, {R4("p")} AS precision, {R4("q")} AS recall, {R4("CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END")} AS f1, {R6("(d - tp) / (n - g)")} AS fp_rate,
+coalesce(floor(mean * 100::DOUBLE + 0.5::DOUBLE) / 100::DOUBLE, 0) AS latency_mean, coalesce(floor(middle * 100::DOUBLE + 0.5::DOUBLE) / 100::DOUBLE, 0) AS latency_median FROM r""",
+)
 def _(s, d):
     rows = table(s, d, "labels")
     return evaluate.metrics(rows.where("quality = 0").select(F.col("doc_id").alias("d")), rows.where("toxic = 1").select(F.col("doc_id").alias("g")), rows.count())
@@ -286,10 +312,18 @@ def _(s, d):
     return done.select("ticker", S.to_epoch_millis("window_start").alias("window_start"), "total_volume", "tick_count", S.rounded("first_close", 4).alias("first_close"), S.rounded("last_close", 4).alias("last_close"))
 
 
-@query("str04_stateful_scoring", None)
+@query("str04_stateful_scoring", f"WITH RECURSIVE {WINNER_SQL}, {EWMA_SQL.removeprefix(ENRICHED_SQL + ', ')} SELECT ticker, window_end, ewma, cep, cep_match FROM winner JOIN ew USING (ticker, window_end)")
 def _(s, d):
     """The stream's stateful operator on a batch: the same kernels as the replay."""
-    return pipeline.scored(enriched(s, d)).select("ticker", "window_end", "ewma", "cep", "anomaly_score", "is_anomaly", "reason")
+    return pipeline.scored(enriched(s, d), s=CEP).select("ticker", "window_end", "ewma", "cep", "cep_match")
+
+
+@query("str04_stream_ensemble")
+def _(s, d):
+    """All four detectors in the stream's operator, their ensemble, its flag and its reason."""
+    rows = enriched(s, d)
+    out = pipeline.scored(rows, forest=training.fit_iforest(rows), autoencoder=training.fit_autoencoder(rows, ["window_end"]))
+    return out.select("ticker", "window_end", *SETTINGS.weights, "anomaly_score", "is_anomaly", "reason")
 
 
 # Whole runs.

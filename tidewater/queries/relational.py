@@ -154,7 +154,15 @@ def _(s, d):
     return enriched(s, d).select("ticker", "window_end", "avg_sentiment", "sentiment_shift", "headline_count")
 
 
-@query("jon02_evl01_tolerant_matches")
+#: Each detection in order takes the first truth that is near enough and not taken; truths taken long before don't matter.
+GREEDY_SQL = """det AS (SELECT d, row_number() OVER (ORDER BY d) AS rn FROM (SELECT DISTINCT doc_id AS d FROM labels WHERE quality = 0)), truth AS (SELECT DISTINCT doc_id AS g FROM labels WHERE toxic = 1),
+near AS (SELECT det.d, det.rn, coalesce(list(g ORDER BY abs(g - det.d), g) FILTER (WHERE g IS NOT NULL), []) AS gs FROM det LEFT JOIN truth ON g BETWEEN det.d - 2 AND det.d + 2 GROUP BY 1, 2),
+greedy AS (SELECT 0::BIGINT AS rn, NULL::BIGINT AS d, NULL::BIGINT AS g, []::BIGINT[] AS taken UNION ALL
+  SELECT rn, d, free[1], list_filter(list_append(taken, free[1]), lambda x: x >= d - 2)
+  FROM (SELECT n.rn, n.d, m.taken, list_filter(n.gs, lambda x: NOT list_contains(m.taken, x)) AS free FROM greedy m JOIN near n ON n.rn = m.rn + 1))"""
+
+
+@query("jon02_evl01_tolerant_matches", f"WITH RECURSIVE {GREEDY_SQL} SELECT d, g FROM greedy WHERE g IS NOT NULL")
 def _(s, d):
     rows = table(s, d, "labels")
     return evaluate.matches(rows.where("quality = 0").select(F.col("doc_id").alias("d")), rows.where("toxic = 1").select(F.col("doc_id").alias("g")))

@@ -13,10 +13,12 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from tidewater.config import FEATURES, SETTINGS, Settings
 from tidewater.functions.scalars import anomaly_reason, price_change_rate
 from tidewater.operators.ensemble import ensemble_score
+from tidewater.operators.detectors.autoencoder import Autoencoder
+from tidewater.operators.detectors.hst import HalfSpaceTrees
 from tidewater.operators.detectors.iforest import IsolationForest
 from tidewater.operators.sequence import REPLAY, Key, with_iforest
 
-SCORED = f"ticker string, window_end long, price_change_rate double, total_volume double, avg_sentiment double, sentiment_shift double, {REPLAY}"
+SCORED = f"ticker string, window_end long, price_change_rate double, total_volume double, avg_sentiment double, sentiment_shift double, hst double, {REPLAY}"
 
 
 def windowed(ticks: DataFrame, minutes: int = SETTINGS.window_minutes, grace: int = SETTINGS.grace_seconds) -> DataFrame:
@@ -38,32 +40,44 @@ def unseen(items: DataFrame, key: str = "title", time: str = "time", within: str
 class Scoring(StatefulProcessor):
     """The kernels of a key live in the state store; a micro-batch's rows are scored and learned in the order of window_end."""
 
-    settings: Settings = SETTINGS
+    def __init__(self, settings: Settings = SETTINGS, autoencoder: Autoencoder | None = None) -> None:
+        self.settings, self.autoencoder = settings, autoencoder
+
+    def fresh(self) -> tuple[Key, HalfSpaceTrees]:
+        s = self.settings
+        return Key(s, self.autoencoder), HalfSpaceTrees(s.hst_trees, s.hst_height, s.hst_window, s.seed)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("key", "kernels binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        kernels = pickle.loads(self.state.get()[0]) if self.state.exists() else Key(self.settings)
+        kernels, trees = pickle.loads(self.state.get()[0]) if self.state.exists() else self.fresh()
         pdf = pd.concat(list(rows)).sort_values("window_end", kind="stable", ignore_index=True)
-        out = [(r["ticker"], r["window_end"], *(float(r[f] or 0.0) for f in FEATURES), *kernels.step(r)) for r in pdf.to_dict("records")]
-        self.state.update((pickle.dumps(kernels),))
+        out = []
+        for r in pdf.to_dict("records"):
+            out.append((r["ticker"], r["window_end"], *(float(r[f] or 0.0) for f in FEATURES), trees.score(r), *kernels.step(r)))
+            trees.update(r)
+        self.state.update((pickle.dumps((kernels, trees)),))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in SCORED.split(", ")])
 
     def close(self) -> None:
         pass
 
 
-def scored(features: DataFrame, mode: str = "append", forest: IsolationForest | None = None) -> DataFrame:
-    """Scores of a stream (or a batch) of features with ticker, window_end (epoch ms) and the detectors' features; with a forest also its scores."""
+def scored(features: DataFrame, mode: str = "append", forest: IsolationForest | None = None, autoencoder: Autoencoder | None = None, s: Settings = SETTINGS) -> DataFrame:
+    """Scores of a stream (or a batch) of features with ticker, window_end (epoch ms) and the detectors' features; with a forest also its scores.
+
+    The ensemble counts the forest and the autoencoder where they are given.  Half-space trees learn each ticker on its own
+    here, as tickers come to different tasks; in `sequence.with_hst` they learn all of them in one order.
+    """
     _ = features.sparkSession.streams.active  # a batch needs the state stores' coordinator as well, which this starts
     rows = features.select("ticker", "window_end", *(F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in FEATURES))
-    out = rows.groupBy("ticker").transformWithStateInPandas(Scoring(), outputStructType=SCORED, outputMode=mode, timeMode="None")
-    names = ["ewma", "lstm_ae"]
+    out = rows.groupBy("ticker").transformWithStateInPandas(Scoring(s, autoencoder), outputStructType=SCORED, outputMode=mode, timeMode="None")
+    names = ["ewma", "hst", "lstm_ae"]
     if forest:
         out, names = with_iforest(out, forest), [*names, "isolation_forest"]
-    score = ensemble_score({n: F.col(n) for n in names}, SETTINGS.weights)
-    out = out.withColumn("anomaly_score", score).withColumn("is_anomaly", F.col("anomaly_score") < SETTINGS.threshold)
+    score = ensemble_score({n: F.col(n) for n in names}, s.weights)
+    out = out.withColumn("anomaly_score", score).withColumn("is_anomaly", F.col("anomaly_score") < s.threshold)
     return out.withColumn("reason", anomaly_reason("anomaly_score"))
 
 
