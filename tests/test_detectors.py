@@ -1,7 +1,12 @@
 from __future__ import annotations
 
+import random
+from dataclasses import replace
+
 import numpy as np
 
+from tidewater.config import FEATURES, SETTINGS
+from tidewater.operators import sequence
 from tidewater.operators.detectors.adwin import Adwin, DriftMonitor
 from tidewater.operators.detectors.autoencoder import Autoencoder, LstmWeights, fit_linear
 from tidewater.operators.detectors.ewma import Ewma
@@ -66,3 +71,21 @@ def test_adwin_sees_a_shift_and_nothing_else():
     assert any(a.update(x) for x in rng.normal(4, 1, 200))
     assert a.width < 1100 and abs(a.total / a.width) > 0.5
     assert DriftMonitor().update(USUAL) == []
+
+
+def test_blocks_of_half_space_trees_score_as_one_model(spark):
+    rng = random.Random(7)
+    rows = [(f"T{i % 3}", i, *(0.9 if rng.random() < 0.03 else 0.3 for _ in range(4)), i < 30) for i in range(431)]
+    rows[100] = (*rows[100][:4], None, *rows[100][5:])
+    model, expected = HalfSpaceTrees(window=20), {}
+    for t, i, *x, warm in sorted(rows):
+        row = dict(zip(FEATURES, x, strict=True))
+        expected[t, i] = 0.0 if warm else model.score(row)
+        model.update(row)
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "ticker string, at long, " + ", ".join(f"{f} double" for f in FEATURES) + ", warm boolean").repartition(5)
+    for windows in (1, 3, 64):
+        found = sequence.with_hst(df, ["ticker", "at"], replace(SETTINGS, hst_window=20), warm="warm", windows=windows).collect()
+        assert {(r["ticker"], r["at"]): r["hst"] for r in found} == expected and len(found) == len(rows)
+    assert len({r["hst"] for r in found}) > 10
+    assert sequence.with_hst(df.limit(0), ["ticker", "at"]).collect() == []

@@ -6,8 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidewater.config import SETTINGS
 from tidewater.functions import scalars as S
-from tidewater.operators import enrich, evaluate, features, inject, order, sequence
+from tidewater.operators import enrich, evaluate, features, inject, order, sequence, training
+from tidewater.operators.detectors.hst import HalfSpaceTrees
 from tidewater.operators.detectors.iforest import IsolationForest
 from tidewater.operators.ensemble import ensemble_score
 from tidewater.sources import readers, sinks
@@ -175,6 +177,22 @@ def test_stream_scores_like_the_batch(spark, tmp_path):
     assert any(v[2] == "flash_reversal" for v in got.values())
 
 
+def test_the_stream_has_half_space_trees_and_autoencoder_of_each_key(spark):
+    rows = features_frame(spark)
+    coder = training.fit_autoencoder(rows, ["window_end"])
+    got = {(r["ticker"], r["window_end"]): r for r in pipeline.scored(rows, autoencoder=coder).collect()}
+    want = {(r["ticker"], r["window_end"]): r["lstm_ae"] for r in sequence.replay(rows, ["window_end"], autoencoder=coder).collect()}
+    assert {k: r["lstm_ae"] for k, r in got.items()} == want and any(want.values())
+    for ticker in ("A", "B"):
+        model = HalfSpaceTrees()
+        for row in rows.where(F.col("ticker") == ticker).orderBy("window_end").collect():
+            assert got[ticker, row["window_end"]]["hst"] == model.score(row.asDict())
+            model.update(row.asDict())
+    r = got["A", 79]
+    w = {n: x for n, x in SETTINGS.weights.items() if n in ("ewma", "hst", "lstm_ae")}
+    assert abs(r["anomaly_score"] - sum(w[n] * r[n] for n in w) / sum(w.values())) < 1e-9 or r["lstm_ae"] == 0
+
+
 def test_order_inside_a_key_does_not_depend_on_how_rows_are_dealt(spark):
     rows = features_frame(spark, 40)
     a = sorted(map(str, sequence.replay(rows, ["window_end"]).collect()))

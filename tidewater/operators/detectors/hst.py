@@ -39,29 +39,44 @@ class HalfSpaceTrees(Detector):
         self.seen = 0
         self.trees = np.arange(trees)
 
-    def paths(self, row: dict) -> np.ndarray:
-        x, at = np.array(values(row)), np.zeros(len(self.trees), np.int64)
+    def walk(self, x: np.ndarray) -> np.ndarray:
+        """The nodes on the way of each row of `x` through each tree: height + 1, rows, trees."""
+        rows, at = np.arange(len(x))[:, None], np.zeros((len(x), len(self.trees)), np.int64)
         out = [at]
         for _ in range(self.height):
-            at = 2 * at + 1 + (x[self.feature[self.trees, at]] >= self.cut[self.trees, at])
+            at = 2 * at + 1 + (x[rows, self.feature[self.trees, at]] >= self.cut[self.trees, at])
             out.append(at)
         return np.stack(out)
 
-    def raw(self, row: dict) -> float:
+    def rate(self, paths: np.ndarray) -> np.ndarray:
         """1 for a point where no mass is, towards 0 where all of it is."""
         if self.seen < self.window:
-            return 0.0
-        masses = self.masses[self.trees[None, :], self.paths(row)]
+            return np.zeros(paths.shape[1])
+        masses = self.masses[self.trees, paths]
         few = masses <= self.least
         end = np.where(few.any(axis=0), few.argmax(axis=0), self.height)
-        total = (masses[end, self.trees] * 2.0**end).sum()
+        total = (np.take_along_axis(masses, end[None], 0)[0] * 2.0**end).sum(axis=1)
         return 1.0 - total / (len(self.trees) * self.window * 2.0**self.height)
 
+    def learn(self, paths: np.ndarray) -> None:
+        """Rows that don't reach beyond the window's end."""
+        np.add.at(self.latest, (self.trees, paths), 1)
+        self.seen += paths.shape[1]
+        if self.seen % self.window == 0:
+            self.masses, self.latest = self.latest, np.zeros_like(self.latest)
+
     def score(self, row: dict) -> float:
-        return 0.0 - min(3.0 * self.raw(row), 1.0)
+        return float(0.0 - np.minimum(3.0 * self.rate(self.walk(np.array([values(row)]))), 1.0)[0])
 
     def update(self, row: dict) -> None:
-        self.latest[self.trees[None, :], self.paths(row)] += 1
-        self.seen += 1
-        if self.seen % self.window == 0:
-            self.masses, self.latest = self.latest, np.zeros_like(self.latest)
+        self.learn(self.walk(np.array([values(row)])))
+
+    def replay(self, x: np.ndarray) -> np.ndarray:
+        """Scores of rows in order, each scored and then learned, a window at a time."""
+        out = [np.zeros(0)]
+        while len(x):
+            left = self.window - self.seen % self.window
+            paths, x = self.walk(x[:left]), x[left:]
+            out.append(0.0 - np.minimum(3.0 * self.rate(paths), 1.0))
+            self.learn(paths)
+        return np.concatenate(out)

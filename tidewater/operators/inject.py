@@ -74,7 +74,7 @@ def shift_last_fifth(df: DataFrame, order: list[str]) -> DataFrame:
     return rows.withColumns({"price_change_rate": F.when(hit, F.col("price_change_rate") * 3).otherwise(F.col("price_change_rate")), "total_volume": F.when(hit, F.col("total_volume") * 2).otherwise(F.col("total_volume")), "avg_sentiment": F.when(hit, F.col("avg_sentiment") - 0.3).otherwise(F.col("avg_sentiment"))})
 
 
-def positions(df: DataFrame, order: list[str]) -> DataFrame:
+def positions(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
     """Adds the row's place in a global order, ranked inside sorted partitions and offset by their sizes: no single task sorts it all.
 
     The ranges are stored: their bounds are sampled, and sampled anew each time they are computed.
@@ -88,4 +88,4 @@ def positions(df: DataFrame, order: list[str]) -> DataFrame:
         before.append((p, total))
         total += sizes[p]
     offsets = df.sparkSession.createDataFrame(before, "_part long, _before long")
-    return ranged.join(F.broadcast(offsets), "_part").withColumn("position", F.col("_before") + F.col("_local")).drop("_part", "_local", "_before")
+    return ranged.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_local")).drop("_part", "_local", "_before")

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidewater.config import FEATURES, SETTINGS, Settings
 
@@ -15,6 +16,7 @@ from .detectors.autoencoder import Autoencoder
 from .detectors.ewma import Ewma
 from .detectors.hst import HalfSpaceTrees
 from .detectors.iforest import IsolationForest
+from .inject import positions
 
 #: Columns that `replay` adds.
 REPLAY = "ewma double, lstm_ae double, cep double, cep_match string, events array<string>, severities map<string,double>, drifted array<string>, baseline double"
@@ -66,23 +68,28 @@ def replay(features: DataFrame, order: list[str], s: Settings = SETTINGS, autoen
     return features.groupBy("ticker").applyInPandas(run, f"{schema}, {REPLAY}").select(*names, *(c.split()[0] for c in REPLAY.split(", ")))
 
 
-def with_hst(features: DataFrame, order: list[str], s: Settings = SETTINGS, warm: str | None = None) -> DataFrame:
-    """Adds `hst`.  The trees know no tickers: one model learns all rows in one order, so this is one task by meaning.
+def with_hst(features: DataFrame, order: list[str], s: Settings = SETTINGS, warm: str | None = None, windows: int = 64) -> DataFrame:
+    """Adds `hst`.  The trees know no tickers: one model learns all rows in one order.
 
-    It runs on window features, many orders of magnitude fewer than ticks.
+    A score depends on the last full window only.  So blocks of so many windows are independent tasks, each of which learns
+    the window before its first row too; scores are those of one model that goes through all rows.  Rows where the column
+    `warm` is true are learned and score 0.
     """
+    size = s.hst_window * windows
+    block = F.floor(F.col("_place") / size)
+    ends = F.col("_place") % size >= size - s.hst_window
+    rows = positions(features, order, "_place").withColumn("_block", F.explode(F.when(ends, F.array(block, block + 1)).otherwise(F.array(block))))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        model, scores = HalfSpaceTrees(s.hst_trees, s.hst_height, s.hst_window, s.seed), []
-        pdf = pdf.sort_values(order, kind="stable", ignore_index=True)
-        warming = pdf[warm].tolist() if warm else [False] * len(pdf)
-        for row, w in zip(pdf[list(FEATURES)].to_dict("records"), warming, strict=True):
-            scores.append(0.0 if w else model.score(row))
-            model.update(row)
-        return pdf.assign(hst=scores)
+        pdf = pdf.sort_values("_place", ignore_index=True)
+        scores = HalfSpaceTrees(s.hst_trees, s.hst_height, s.hst_window, s.seed).replay(pdf[list(FEATURES)].astype(float).fillna(0.0).to_numpy())
+        if warm:
+            scores[pdf[warm].to_numpy(bool)] = 0.0
+        return pdf.assign(hst=scores)[pdf["_place"] >= pdf["_block"] * size].drop(columns=["_place", "_block"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in features.schema.fields)
-    return features.groupBy().applyInPandas(run, f"{schema}, hst double")
+    names = features.columns
+    return rows.groupBy("_block").applyInPandas(lambda pdf: run(pdf)[[*names, "hst"]], f"{schema}, hst double")
 
 
 def with_iforest(features: DataFrame, model: IsolationForest) -> DataFrame:
