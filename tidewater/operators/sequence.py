@@ -13,6 +13,7 @@ from tidewater.config import FEATURES, SETTINGS, Settings
 from .cep.detector import CepDetector
 from .detectors.adwin import DriftMonitor
 from .detectors.autoencoder import Autoencoder
+from .detectors.base import Detector
 from .detectors.ewma import Ewma
 from .detectors.hst import HalfSpaceTrees
 from .detectors.iforest import IsolationForest
@@ -104,17 +105,31 @@ def with_iforest(features: DataFrame, model: IsolationForest) -> DataFrame:
     return features.mapInPandas(run, f"{schema}, isolation_forest double")
 
 
-def timed_replay(features: DataFrame, order: list[str], s: Settings = SETTINGS, make_cep: Callable[[], CepDetector] | None = None) -> DataFrame:
-    """ticker, latency_ms of every row's CEP score; learning is not timed."""
+class Together:
+    """Several detectors that score and learn a row one after the other, for timing them as one."""
+
+    def __init__(self, *detectors: Detector) -> None:
+        self.detectors = detectors
+
+    def score(self, row: dict) -> list[float]:
+        return [d.score(row) for d in self.detectors]
+
+    def update(self, row: dict) -> None:
+        for d in self.detectors:
+            d.update(row)
+
+
+def timed_replay(features: DataFrame, order: list[str], s: Settings = SETTINGS, make: Callable[[], CepDetector | Together] | None = None) -> DataFrame:
+    """ticker, latency_ms of every row's score, by the CEP detector or by what `make` makes for each ticker; learning is not timed."""
     from time import perf_counter
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        cep, out = make_cep() if make_cep else CepDetector(s), []
+        scorer, out = make() if make else CepDetector(s), []
         for row in pdf.sort_values(order, kind="stable").to_dict("records"):
             began = perf_counter()
-            cep.score(row)
+            scorer.score(row)
             out.append((row["ticker"], (perf_counter() - began) * 1000))
-            cep.update(row)
+            scorer.update(row)
         return pd.DataFrame(out, columns=["ticker", "latency_ms"])
 
     return features.groupBy("ticker").applyInPandas(run, "ticker string, latency_ms double")

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from tidewater.config import SETTINGS, Settings
 from tidewater.operators import evaluate, features, inject, sequence, training
+from tidewater.operators.cep.detector import CepDetector
+from tidewater.operators.detectors.autoencoder import Autoencoder
+from tidewater.operators.detectors.ewma import Ewma
+from tidewater.operators.detectors.hst import HalfSpaceTrees
 from tidewater.operators.ensemble import ensemble_score
 from tidewater.scratch import stored
 from tidewater.sources import sinks
@@ -52,14 +56,30 @@ def backtest(rows: DataFrame, order: list[str], s: Settings = SETTINGS, drift_ti
     return parts
 
 
-def compare_methods(rows: DataFrame, order: list[str], s: Settings = SETTINGS) -> DataFrame:
-    """The ensemble, the patterns with lone events, and the patterns alone, on the same planted anomalies."""
-    train, test = split_and_inject(rows, order, s)
+def drawn_ticker(rows: DataFrame, s: Settings = SETTINGS) -> str | None:
+    """The ticker for the drift block: the one whose seeded hash is smallest."""
+    return rows.agg(F.min_by("ticker", F.struct(F.xxhash64("ticker", F.lit(s.seed)), "ticker"))).first()[0]
+
+
+def compare_methods(rows: DataFrame, order: list[str], s: Settings = SETTINGS, drift_ticker: str | None = None) -> DataFrame:
+    """The ensemble, the patterns with lone events, and the patterns alone, on the same planted anomalies and the same drift block.
+
+    A row a method: the metrics, and ms_mean, ms_median, ms_p99 and ms_max of scoring a window.
+    """
+    train, test = split_and_inject(rows, order, s, drift_ticker or drawn_ticker(rows, s))
+    train, test = stored(train, "train"), stored(test, "test")
     scored = stored(scored_with_all(train, test, order, s), "scored")
     scored = scored.withColumns({"full": F.col("cep") < s.cep_threshold, "alone": (F.col("cep") < s.cep_threshold) & ~F.coalesce(F.col("cep_match"), F.lit("")).startswith("point:")})
+    forest, coder = training.fit_iforest(train, seed=s.seed), training.fit_autoencoder(train, order, s.sequence_length)
+
+    def ensemble() -> sequence.Together:
+        return sequence.Together(Ewma(s.ewma_span), HalfSpaceTrees(s.hst_trees, s.hst_height, s.hst_window, s.seed), forest, Autoencoder(coder.weights, coder.mean, coder.std, coder.length))
+
+    methods = (("ml_ensemble", "is_anomaly", ensemble), ("cep_full", "full", None), ("cep_automata", "alone", lambda: CepDetector(s, point_severity=0.0)))
     out = None
-    for name, flag in (("ml_ensemble", "is_anomaly"), ("cep_full", "full"), ("cep_automata", "alone")):
-        one = measured(scored, order, flag, s).withColumn("method", F.lit(name))
+    for name, flag, make in methods:
+        times = evaluate.latency_stats(sequence.timed_replay(test, order, s, make).select("latency_ms"))
+        one = evaluate.beside(measured(scored, order, flag, s), times.select(*(F.col(c).alias(f"ms_{c}") for c in times.columns))).withColumn("method", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
 
