@@ -97,7 +97,10 @@ class Many:
         return run._replace(state=state, age=0 if moved else run.age + 1, absent=absent), False
 
     def step(self, events: Iterable[str], row: dict | None = None) -> float:
-        """The severity if a match was completed in this window, else 0."""
+        """The severity if a match was completed in this window, else 0.
+
+        A window that finds no match under way and starts none may be left out: only the order of births counts.
+        """
         events, fired = set(events), False
         if not self.runs and self.starts.isdisjoint(events):  # most windows
             self.clock += 1

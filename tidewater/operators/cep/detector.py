@@ -31,8 +31,9 @@ class EventDetector:
         self.s, self.baseline, self.seen = s, 0.0, 0
 
     def detect(self, row: dict) -> set[str]:
-        s, get = self.s, lambda name: float(row.get(name) or 0.0)
-        change, volume, avg, shift = (get(n) for n in ("price_change_rate", "total_volume", "avg_sentiment", "sentiment_shift"))
+        s, get = self.s, row.get
+        change, volume = float(get("price_change_rate") or 0.0), float(get("total_volume") or 0.0)
+        avg, shift = float(get("avg_sentiment") or 0.0), float(get("sentiment_shift") or 0.0)
         events = {UP} if change >= s.price_jump else {DOWN} if change <= -s.price_jump else set()
         if self.seen >= s.baseline_min_windows and self.baseline > 0 and volume / self.baseline >= s.volume_surge_ratio:
             events.add(SURGE)
@@ -59,22 +60,27 @@ class CepDetector:
         self.point = s.point_severity if point_severity is None else point_severity
         self.base = [Many(p) for p in (defaults[0] if base is None else base)]
         self.meta = [Many(p) for p in (meta if meta is not None else defaults[1] if base is None else [])]
+        self.none = dict.fromkeys([m.pattern.name for m in (*self.base, *self.meta)], 0.0)
         self.events = EventDetector(s)
         self.match: str | None = None
         self.severities: dict[str, float] = {}
 
     def score(self, row: dict) -> float:
         events = self.events.detect(row)
-        best, name = 0.0, None
-        self.severities = {m.pattern.name: m.step(events, row) for m in self.base}
-        for n, severity in self.severities.items():
-            if severity > best:
-                best, name = severity, n
-        seen = events | {PREFIX + n for n, severity in self.severities.items() if severity > 0}
+        best, name, seen = 0.0, None, events
+        severities = self.severities = self.none.copy()
+        for m in self.base:
+            if m.runs or not m.starts.isdisjoint(events):
+                severity = severities[m.pattern.name] = m.step(events, row)
+                if severity > 0:
+                    seen = seen | {PREFIX + m.pattern.name}
+                if severity > best:
+                    best, name = severity, m.pattern.name
         for m in self.meta:
-            severity = self.severities[m.pattern.name] = m.step(seen, row)
-            if severity > 0 and severity >= best:
-                best, name = severity, m.pattern.name
+            if m.runs or not m.starts.isdisjoint(seen):
+                severity = severities[m.pattern.name] = m.step(seen, row)
+                if severity > 0 and severity >= best:
+                    best, name = severity, m.pattern.name
         if not best and events and self.point > 0:
             best, name = self.point, "point:" + "+".join(sorted(events))
         self.match = name
