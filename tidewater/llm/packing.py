@@ -29,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import records, row_ref, saved, texts_of
+from .common import blocks, records, row_ref, saved, texts_of
 from .tokens import load_tokenizer
 
 MAX_TOKENS, END_ID, SHARDS = 4096, 1, 128
 #: tokens, documents, attention cost
 WEIGHTS = (1.0, 0.01, 0.01)
 #: Words whose ids a task remembers.
-KNOWN_WORDS = 600_000
+KNOWN_WORDS = 150_000
 
 _UNSAFE = re.compile(r"[^\t\n\r -~À-ÖØ-öø-ÿ]")
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
@@ -86,7 +86,7 @@ def pieces(docs: DataFrame, tokenizer_path: str | Callable[[], str], max_tokens:
         tokenizer = load_tokenizer(where())
         words = WordIds(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in blocks(batches):
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
                 ids, ref = ids_of(text, tokenizer, words) + end, row_ref(doc_id, text)

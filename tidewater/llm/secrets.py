@@ -34,7 +34,7 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import records
+from .common import blocks, records
 
 KINDS = ("assign", "access", "hex")
 MAX_LAYER_BYTES = 64 << 20
@@ -460,7 +460,7 @@ def secret_scan(docs: DataFrame, max_layer_bytes: int = MAX_LAYER_BYTES) -> Data
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string())])
-        for batch in batches:
+        for batch in blocks(batches):
             rows = []
             for text in batch.column(1).to_pylist():
                 base, found = find_secrets(text or "", max_layer_bytes)
@@ -485,7 +485,7 @@ def redacted(docs: DataFrame, mask: str = MASK, max_layer_bytes: int = MAX_LAYER
     names = docs.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in blocks(batches):
             texts = [t if not t else redact(t, find_secrets(t, max_layer_bytes)[1], mask) for t in batch.column(names.index("text")).to_pylist()]
             for i, name in enumerate(names):
                 if name == "text":

@@ -38,7 +38,7 @@ MAX_COMMON = 1 << 20
 #: Slots of the sketch for each shingle of a prefix, and at most; with fewer more shingles are shuffled.
 SLOTS, MAX_BITS = 4, 1 << 30
 #: Rows of buckets, or pairs, that a task gathers before it hands them on; words and sets that it remembers.
-PAIRS, KNOWN = 1 << 15, 1 << 18
+PAIRS, KNOWN = 1 << 15, 1 << 16
 
 
 class _Hashes(dict):

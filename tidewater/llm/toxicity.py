@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import records
+from .common import blocks, records
 
 MAX_ROWS, BITS, MIN_TEXTS = 10_000, 22, 3
 L1, COUNTERFACTUAL, POSITIVE_WEIGHT, STEPS = 3e-4, 1.0, 2.0, 250
 THRESHOLD = 0.5
 #: Units whose active features a task remembers.
-KNOWN_UNITS = 400_000
+KNOWN_UNITS = 100_000
 
 #: Terms for groups of people, list by list; a term is swapped for the next of its list.
 GROUPS = (
@@ -188,7 +188,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0,
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
         scorer = Scorer(*model.value)
-        for batch in batches:
+        for batch in blocks(batches):
             yield records(schema, [batch.column(0), [scorer.score(t) for t in batch.column(1).to_pylist()]])
 
     scored = docs.select("doc_id", "text").mapInArrow(work, "doc_id long, score double")
@@ -202,7 +202,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*model.value)
-        for batch in batches:
+        for batch in blocks(batches):
             yield batch.filter(pa.array([scorer.score(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)
