@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, packing, periodic, quality, secrets, simhash, substrings, tokens, toxicity, warc
+from . import align, decontaminate, fingerprint, packing, periodic, quality, secrets, simhash, substrings, tokens, toxicity, warc
 from .common import documents
 
 
@@ -58,11 +58,18 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(documents(spark, sf_dir))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    both = align.Alignment(lambda: vocabulary_file("byte_bpe_50k.json"), lambda: vocabulary_file("piece_bpe_32k.model"))
+    counts = both.pair_counts(docs)
+    return align.with_counts(both.documents(docs, counts).withColumn("groups_sha256", align.digest("groups")).drop("groups"), counts)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.find_runs(documents(spark, sf_dir), edit=periodic.planted))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_warc, op4_packing, op5_decontamination, op6_quality, op7_fingerprints, op8_simhash, op9_secrets, op10_substrings, op12_periodic_runs)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_warc, op4_packing, op5_decontamination, op6_quality, op7_fingerprints, op8_simhash, op9_secrets, op10_substrings, op11_token_alignment, op12_periodic_runs)}
 
 WARC_SQL = """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
 g AS (SELECT h, count(*) AS copies, max(page_id) AS response FROM p GROUP BY h)
