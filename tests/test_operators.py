@@ -12,7 +12,7 @@ from tidewater.operators import enrich, evaluate, features, inject, order, seque
 from tidewater.operators.detectors.hst import HalfSpaceTrees
 from tidewater.operators.detectors.iforest import IsolationForest
 from tidewater.operators.ensemble import ensemble_score
-from tidewater.sources import readers, sinks
+from tidewater.sources import readers, sinks, tables
 from tidewater.streaming import pipeline
 
 
@@ -166,12 +166,17 @@ def test_stream_scores_like_the_batch(spark, tmp_path):
     rows = features_frame(spark)
     schema = rows.schema
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    paths = {n: f"file://{tmp_path}/{n}" for n in ("feature_vectors", "anomaly_alerts", "drift_events")}
+    kept = tables.open_tables(spark, f"file://{tmp_path}/tables")
     for k in range(3):
         rows.where((F.col("window_end") >= 30 * k) & (F.col("window_end") < 30 * (k + 1))).coalesce(1).write.parquet(f"file://{tmp_path}/in/{k}")
         stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"file://{tmp_path}/in")
-        pipeline.run_available(pipeline.scored(stream), sinks.scored_batch(paths), f"file://{tmp_path}/checkpoint")
-    got = {(r["ticker"], r["window_end"]): (r["ewma"], r["cep"], r["cep_match"]) for r in spark.read.parquet(paths["feature_vectors"]).collect()}
+        pipeline.run_available(pipeline.scored(stream), tables.scored_batch(kept), f"file://{tmp_path}/checkpoint")
+    # A second stream, from its own start: the same keys.
+    pipeline.run_available(pipeline.scored(stream), tables.scored_batch(kept), f"file://{tmp_path}/another-checkpoint")
+    assert len(kept["feature_vectors"].version().applied) == 2
+    vectors = kept["feature_vectors"].read()
+    got = {(r["ticker"], r["end"]): (r["ewma"], r["cep"], r["cep_match"]) for r in vectors.withColumn("end", F.unix_millis("window_end")).collect()}
+    assert vectors.count() == 160 and kept["anomaly_alerts"].read().count() == vectors.where("is_anomaly").count()
     want = {(r["ticker"], r["window_end"]): (r["ewma"], r["cep"], r["cep_match"]) for r in sequence.replay(rows, ["window_end"]).collect()}
     assert got == want and len(got) == 160
     assert any(v[2] == "flash_reversal" for v in got.values())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.config import SETTINGS
@@ -22,6 +22,18 @@ def sentiment_state(news: DataFrame, total: int = SETTINGS.sentiment_rows, recen
     return news.select("ticker", "ts", "event_id", state.alias("state"))
 
 
+def sentiment_columns(new_sum: str, new_n: str, old_sum: str, old_n: str) -> list[Column]:
+    """avg_sentiment, sentiment_shift and headline_count from sums (in hundredths) and counts of the recent and the older scores."""
+    new = F.col(new_sum) / F.lit(100.0) / F.col(new_n)
+    old = F.when(F.col(old_n) > 0, F.col(old_sum) / F.lit(100.0) / F.col(old_n)).otherwise(new)
+    new, old = (F.when(F.col(new_n) > 0, x) for x in (new, old))
+    return [
+        F.coalesce(rounded(new, 4), F.lit(0.0)).alias("avg_sentiment"),
+        F.coalesce(rounded(new - old, 4), F.lit(0.0)).alias("sentiment_shift"),
+        F.coalesce(F.col(new_n), F.lit(0)).alias("headline_count"),
+    ]
+
+
 def enrich(features: DataFrame, news: DataFrame, total: int = SETTINGS.sentiment_rows, recent: int = SETTINGS.sentiment_recent) -> DataFrame:
     """Adds avg_sentiment, sentiment_shift and headline_count as of window_end; news at that very time count.
 
@@ -33,16 +45,7 @@ def enrich(features: DataFrame, news: DataFrame, total: int = SETTINGS.sentiment
     both = left.unionByName(right, allowMissingColumns=True)
     w = Window.partitionBy("ticker").orderBy("_at", "_side", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     both = both.withColumn("_state", F.last("state", ignorenulls=True).over(w)).where("_side = 1")
-    new = F.col("_state.new_sum") / F.lit(100.0) / F.col("_state.new_n")
-    old = F.when(F.col("_state.old_n") > 0, F.col("_state.old_sum") / F.lit(100.0) / F.col("_state.old_n")).otherwise(new)
-    out = both.withColumns(
-        {
-            "avg_sentiment": F.coalesce(rounded(new, 4), F.lit(0.0)),
-            "sentiment_shift": F.coalesce(rounded(new - old, 4), F.lit(0.0)),
-            "headline_count": F.coalesce(F.col("_state.new_n"), F.lit(0)),
-        }
-    )
-    return out.select(*features.columns, "avg_sentiment", "sentiment_shift", "headline_count")
+    return both.select(*features.columns, *sentiment_columns("_state.new_sum", "_state.new_n", "_state.old_sum", "_state.old_n"))
 
 
 def anchored(features: DataFrame, events: DataFrame, reach: int = 2) -> DataFrame:

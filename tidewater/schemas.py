@@ -17,3 +17,13 @@ TABLES = {
     "model_versions": ("id long, model_name string, version int, trained_at timestamp, training_data_start timestamp, training_data_end timestamp, sample_count long, anomaly_rate double, score_mean double, score_std double, model_path string, is_active boolean, metadata string", None),
     "drift_events": ("id long, detected_at timestamp, ticker string, feature_name string, drift_type string, details map<string,double>", "detected_at"),
 }
+
+#: What tells the rows of each table apart.
+KEYS = {
+    "price_ticks": ["time", "ticker"],
+    "sentiment_scores": ["time", "ticker", "headline"],
+    "feature_vectors": ["window_end", "ticker"],
+    "anomaly_alerts": ["detected_at", "ticker"],
+    "model_versions": ["model_name", "version"],
+    "drift_events": ["detected_at", "ticker", "feature_name"],
+}

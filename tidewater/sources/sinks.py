@@ -1,4 +1,4 @@
-"""Sinks: tables by day, keyed messages, CSV, JSON summaries, and the several tables of a scored batch."""
+"""Sinks: tables by day, keyed messages, CSV, JSON summaries.  Tables that batches are merged into are in `tables`."""
 
 from __future__ import annotations
 
@@ -32,11 +32,6 @@ def append(df: DataFrame, path: str, time: str | None = None) -> None:
         df.write.mode("append").parquet(path)
 
 
-def replace_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """A micro-batch's rows under its own folder, written over if the batch is run again."""
-    df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-
 def messages(df: DataFrame, key: str = "ticker") -> DataFrame:
     """key and value of a topic: the row as JSON."""
     return df.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*df.columns)).alias("value"))
@@ -57,19 +52,3 @@ def write_summary(spark: SparkSession, parts: dict[str, DataFrame | dict], path:
     text = json.dumps(rows, default=str, sort_keys=True)
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
     return text
-
-
-def scored_batch(paths: dict[str, str]):
-    """For foreachBatch: features always, alerts for anomalies, drift where there is any; running a batch again changes nothing."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.dropDuplicates(["ticker", "window_end"]).persist()
-        try:
-            replace_batch(batch, paths["feature_vectors"], batch_id)
-            replace_batch(batch.where("is_anomaly"), paths["anomaly_alerts"], batch_id)
-            drifts = batch.where(F.size("drifted") > 0).select("ticker", "window_end", F.explode("drifted").alias("feature_name"), F.lit("adwin").alias("drift_type"))
-            replace_batch(drifts, paths["drift_events"], batch_id)
-        finally:
-            batch.unpersist()
-
-    return write
