@@ -1,4 +1,4 @@
-"""Sequence autoencoders over the last rows of a key: an LSTM whose weights are given, or a linear one fitted here."""
+"""Sequence autoencoders over the last rows of a key: an LSTM, which `lstm` fits, or a linear one fitted here."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from tidewater.config import FEATURES, SETTINGS
 from .base import Detector, values
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
+def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
@@ -26,15 +26,15 @@ class LstmWeights:
 
     def cell(self, name: str, x: np.ndarray, h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         i, f, g, o = np.split(self.a[f"{name}_x"] @ x + self.a[f"{name}_h"] @ h + self.a[f"{name}_b"], 4)
-        c = _sigmoid(f) * c + _sigmoid(i) * np.tanh(g)
-        return _sigmoid(o) * np.tanh(c), c
+        c = sigmoid(f) * c + sigmoid(i) * np.tanh(g)
+        return sigmoid(o) * np.tanh(c), c
 
     def rebuilt(self, z: np.ndarray) -> np.ndarray:
         n = self.a["enc_h"].shape[1]
         h, c = np.zeros(n), np.zeros(n)
         for x in z:
             h, c = self.cell("enc", x, h, c)
-        code, h, c, out = h, np.zeros(n), np.zeros(n), []
+        code, out = h, []  # the decoder goes on from the encoder's last state
         for _ in z:
             h, c = self.cell("dec", code, h, c)
             out.append(self.a["out_w"] @ h + self.a["out_b"])

@@ -1,4 +1,4 @@
-"""Queries of whole live paths: streams that meet, keyed sinks, pollers."""
+"""Queries of whole live paths: streams that meet, keyed sinks, pollers, and the fit of the sequence model."""
 
 from __future__ import annotations
 
@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions import scalars as S
+from tidewater.operators import lstm, sequence
 from tidewater.scratch import scratch
 from tidewater.sources import market
 from tidewater.sources.tables import open_tables, scored_batch
 from tidewater.streaming import live
 
-from .base import CEP, ENRICHED_SQL, MINUTES, SCORED_SQL, flagged, query, ticks
+from .base import CEP, ENRICHED_SQL, MINUTES, SCORED_SQL, enriched, flagged, query, ticks
 from .models import EWMA_SQL, WINNER_SQL
 
 DAY = 86_400_000
@@ -80,3 +81,26 @@ def _(s, d):
     out = tables["feature_vectors"].read().join(alerts, ["ticker", "window_end"], "left")
     at = F.unix_millis("window_end")
     return out.select("ticker", at.alias("window_end"), "anomaly_score", F.coalesce("alerted", F.lit(False)).alias("alerted"), F.datediff("day", F.lit("1970-01-01").cast("date")).cast("long").alias("day_number"))
+
+
+def fitted_lstm(s: SparkSession, d: str):
+    return lstm.fit_lstm(enriched(s, d), ["window_end"], batch=128, epochs=10)
+
+
+@query("trn02_lstm_fit")
+def _(s, d):
+    """The mean squared error of every epoch."""
+    return s.createDataFrame(list(enumerate(fitted_lstm(s, d)[1])), "epoch int, loss double")
+
+
+@query(
+    "det04_src10_lstm",
+    f"WITH {ENRICHED_SQL} SELECT ticker, window_end, row_number() OVER (PARTITION BY ticker ORDER BY window_end) <= 12 AS silent, TRUE AS in_range, TRUE AS the_same FROM enriched",
+)
+def _(s, d):
+    """Fitted, saved and loaded: silent until the buffer is full, then an error between -1 and 0, the same from both models."""
+    fitted, path = fitted_lstm(s, d)[0], scratch(s, "lstm")
+    lstm.save_lstm(s, fitted, path)
+    scores = lambda model, name: sequence.replay(enriched(s, d), ["window_end"], CEP, autoencoder=model).select("ticker", "window_end", F.col("lstm_ae").alias(name))
+    both = scores(fitted, "one").join(scores(lstm.load_lstm(s, path), "two"), ["ticker", "window_end"])
+    return both.select("ticker", "window_end", (F.col("one") == 0).alias("silent"), F.col("one").between(-1, 0).alias("in_range"), (F.col("one") == F.col("two")).alias("the_same"))
