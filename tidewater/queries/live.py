@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.config import SETTINGS
 from tidewater.functions import scalars as S
 from tidewater.operators import lstm, sequence
 from tidewater.scratch import scratch
-from tidewater.sources import market
+from tidewater.session import table
+from tidewater.sources import market, readers
+from tidewater.sources.market import NEWS_SQL, TICKS_SQL
+from tidewater.sources.poller import TableService, polled
 from tidewater.sources.tables import open_tables, scored_batch
 from tidewater.streaming import live
 
-from .base import CEP, ENRICHED_SQL, MINUTES, SCORED_SQL, enriched, flagged, query, ticks
+from .base import CEP, ENRICHED_SQL, MINUTES, SCORED_SQL, SIZE, enriched, flagged, query, ticks
 from .models import EWMA_SQL, WINNER_SQL
 
 DAY = 86_400_000
@@ -104,3 +112,50 @@ def _(s, d):
     scores = lambda model, name: sequence.replay(enriched(s, d), ["window_end"], CEP, autoencoder=model).select("ticker", "window_end", F.col("lstm_ae").alias(name))
     both = scores(fitted, "one").join(scores(lstm.load_lstm(s, path), "two"), ["ticker", "window_end"])
     return both.select("ticker", "window_end", (F.col("one") == 0).alias("silent"), F.col("one").between(-1, 0).alias("in_range"), (F.col("one") == F.col("two")).alias("the_same"))
+
+
+def prices(batch: pa.RecordBatch) -> Iterator[tuple[str, int, tuple]]:
+    """Price ticks as a service gives them: (ticker, time, row), the row in order of event_id."""
+    for e in batch.to_pylist():
+        if e["event_type"] in ("view", "click", "purchase"):
+            ticker, at = f"T{e['user_id'] % 5}", pa.scalar(e["ts"], pa.timestamp("ms")).value
+            close = (int(e["value"] * 100 + 0.5) * 2 + 1_000_000) / 10_000
+            yield ticker, at, (e["event_id"], ticker, at, close, json.loads(e["props"])["k"])
+
+
+def headlines(batch: pa.RecordBatch) -> Iterator[tuple[str, int, tuple]]:
+    """News items as a service gives them, their content as JSON."""
+    for e in batch.to_pylist():
+        if e["event_type"] in ("error", "signup"):
+            ticker, at = f"T{e['user_id'] % 5}", pa.scalar(e["ts"], pa.timestamp("ms")).value
+            content = {"content": {"title": f"{e['event_type']} {e['user_id']}", "provider": {"displayName": "wire"} if e["event_id"] % 2 else "desk"}}
+            yield ticker, at, (e["event_id"], ticker, at, json.dumps(content))
+
+
+def polled_table(s: SparkSession, d: str, name: str, rows: Callable, schema: str, latest_only: bool) -> DataFrame:
+    """What a poller of the events gives, a poll every six hours, twenty a batch; the stream is stopped half-way and started again."""
+    first, last = table(s, d, "events").agg(F.min(S.to_epoch_millis("ts")), F.max(S.to_epoch_millis("ts"))).first()
+    size = MINUTES * 60_000
+    start, end = (first - 1) // size * size, -(-last // size) * size
+    folder = scratch(s, name)
+    for known in (start + (end - start) // 2, end):
+        service = TableService(f"{d}/events.parquet", "ts", rows, known, latest_only)
+        stream = polled(s, name, service, schema, list(SETTINGS.tickers), f"{folder}/cursor", start, size, 20)
+        running = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").start()
+        try:
+            running.processAllAvailable()
+        finally:
+            running.stop()
+    return s.read.schema(schema).parquet(f"{folder}/out")
+
+
+@query("src01_polled_bars", f"WITH {TICKS_SQL} SELECT ticker, max(ts) AS ts, arg_max(close, ts * 1000000 + event_id) AS close, arg_max(volume, ts * 1000000 + event_id) AS volume FROM ticks GROUP BY ticker, (ts - 1) // {SIZE}")
+def _(s, d):
+    """The latest bar of every ticker at every poll, over a restart."""
+    return polled_table(s, d, "polled_bars", prices, "event_id long, ticker string, ts long, close double, volume long", True).drop("event_id")
+
+
+@query("src02_polled_news", f"WITH {NEWS_SQL} SELECT n.event_id, n.ticker, n.ts, e.event_type || ' ' || CAST(e.user_id AS VARCHAR) AS title, CASE WHEN n.event_id % 2 = 1 THEN 'wire' ELSE 'desk' END AS publisher FROM news n JOIN events e USING (event_id)")
+def _(s, d):
+    """Every news item once, over a restart, with its title and publisher."""
+    return readers.news_items(polled_table(s, d, "polled_news", headlines, "event_id long, ticker string, ts long, item string", False)).drop("item")
