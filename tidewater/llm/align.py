@@ -21,9 +21,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +35,7 @@ from .tokens import by_units, load_tokenizer
 #: Pairs broadcast; the rest is joined by a shuffle.
 HOT_PAIRS = 1 << 18
 #: Bytes of text taken together; units, and their characters, that a task remembers.
-BLOCK_BYTES, KNOWN_UNITS, KNOWN_CHARS = 4 << 20, 150_000, 8 << 20
+BLOCK_BYTES, KNOWN_UNITS, KNOWN_CHARS = 4 << 20, 400_000, 8 << 20
 
 Where = str | Callable[[], str]
 #: What stands for a space in the pieces, and bytes that are pieces of their own.
@@ -85,48 +87,24 @@ def cut(text: str) -> list[str]:
     return parts
 
 
-def ends_of(ids: list[int], sizes) -> dict[int, int]:
-    """The end of each token, in bytes, to its index."""
-    out, end = {}, 0
-    for k, i in enumerate(ids):
-        end += sizes[i]
-        out[end] = k
-    return out
-
-
-def aligned(a: list[int], b: list[int], a_sizes, b_sizes) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]]:
-    """(groups, links) of two lists of ids over the same bytes."""
-    if len(a) == 1 or len(b) == 1:  # one common end
-        return [(a, b)], [(x, y) for x in a for y in b]
-    a_ends, b_ends = ends_of(a, a_sizes), ends_of(b, b_sizes)
-    groups, links, i, j = [], [], 0, 0
-    for end in sorted(a_ends.keys() & b_ends.keys()):
-        m, n = a_ends[end] + 1, b_ends[end] + 1
-        groups.append((a[i:m], b[j:n]))
-        links += overlapping(a[i:m], b[j:n], a_sizes, b_sizes)
-        i, j = m, n
-    return groups, links
-
-
-def overlapping(a: list[int], b: list[int], a_sizes, b_sizes) -> list[tuple[int, int]]:
-    """The pairs of tokens of one group whose bytes overlap: all of them where one side has one token."""
-    if len(a) == 1 or len(b) == 1:
-        return [(x, y) for x in a for y in b]
-    links, i, j = [(a[0], b[0])], 0, 0
-    a_end, b_end = a_sizes[a[0]], b_sizes[b[0]]
-    while i + 1 < len(a) or j + 1 < len(b):  # no inner end is common to both
-        if a_end < b_end:
-            i += 1
-            a_end += a_sizes[a[i]]
-        else:
-            j += 1
-            b_end += b_sizes[b[j]]
-        links.append((a[i], b[j]))
-    return links
-
-
-def written(groups: list[tuple[list[int], list[int]]]) -> str:
-    return ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups)
+def common_ends(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(A's index, B's index) of the tokens that end together, in order."""
+    a_at, b_at = (dict(zip(ends.tolist(), range(len(ends)), strict=True)) for ends in (a_ends, b_ends))
+    both = sorted(a_at.keys() & b_at.keys())
+    return tuple(np.fromiter(map(at.__getitem__, both), np.int64, len(both)) for at in (a_at, b_at))
+
+
+def links_of(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(A's index, B's index, end of the shared bytes) of all tokens that overlap: two of them share what is between two neighbouring ends of either, once."""
+    ends = np.concatenate([a_ends, b_ends])
+    ends.sort(kind="stable")  # merges two runs
+    ends = ends[np.diff(ends, prepend=-1) > 0]
+    return np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends), ends
+
+
+def _written(ids: np.ndarray, last: np.ndarray) -> pa.Array:
+    """The ids of each group as text; `last` are the indexes of the groups' last tokens."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], last + 1]), pa.int32()), pa.array(ids).cast(pa.string())), ",")
 
 
 class _Units(dict):
@@ -149,65 +127,89 @@ class Aligner:
 
     def __init__(self, a_path: str, b_path: str, whole: bool) -> None:
         self.tokenizers, self.whole = Tokenizers(a_path, b_path), whole
-        self.a_sizes = {i: len(x) for i, x in self.tokenizers.a_bytes.items()}
-        self.b_sizes = [len(x) for x in self.tokenizers.b_bytes]
+        t = self.tokenizers
+        self.sizes = (np.array([len(t.a_bytes.get(i, b"")) for i in range(max(t.a_bytes) + 1)]), np.array(list(map(len, t.b_bytes))))
         self.forget()
 
     def forget(self) -> None:
         self.units, self.chars = _Units(), 0
         self.fields = np.zeros((0, self.FIELDS), np.int64)
         self.pairs, self.bounds = np.zeros(0, np.int64), np.zeros(1, np.int64)
-        self.groups: list[str] = []
+        self.groups = pa.array([], pa.string())
 
     def full(self) -> bool:
         return len(self.units) > KNOWN_UNITS or self.chars > KNOWN_CHARS
 
-    def numbers(self, texts: list[str | None]) -> list[list[int]]:
-        """The numbers of each text's units; `fields`, `pairs` and `groups` have what was found for them."""
+    def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers, bounds): the numbers of the texts' units, one text after the other, and where each text's begin; `fields`, `pairs` and `groups` have what was found for them."""
         of = self.units.__getitem__
-        out = [list(map(of, [t] if self.whole else cut(t))) if t else [] for t in texts]
-        for k in range(0, len(self.units.new), 5000):
-            self._align(self.units.new[k : k + 5000])
-        self.units.new = []
-        return out
+        parts = [[t] if self.whole else cut(t) for t in (t or "" for t in texts) if t]
+        counts = np.zeros(len(texts) + 1, np.int64)
+        counts[1:][[bool(t) for t in texts]] = list(map(len, parts))
+        found = np.fromiter(map(of, chain.from_iterable(parts)), np.int64, int(counts.sum()))
+        del parts
+        new, self.units.new = self.units.new, []
+        for k in range(0, len(new), 20_000):
+            self._align(new[k : k + 20_000])
+        return found, np.cumsum(counts)
 
     def _align(self, units: list[str]) -> None:
         t = self.tokenizers
-        a_bytes, b_bytes, a_sizes, b_sizes = t.a_bytes, t.b_bytes, self.a_sizes, self.b_sizes
-        rows, pairs, n_pairs = [], [], []
-        for unit, a, b in zip(units, *t.encoded(units), strict=True):
-            raw = b" " + unit.encode()
-            if b"".join([a_bytes[i] for i in a]) == raw == b"".join([b_bytes[i] for i in b]):
-                groups, links = aligned(a, b, a_sizes, b_sizes)
-                rows.append((len(a), len(b), len(groups), len(links), 0))
-                self.groups.append(written(groups))
-                pairs += [x << 32 | y for x, y in links]
-                n_pairs.append(len(links))
-            else:
-                rows.append((0, 0, 0, 0, 1))
-                self.groups.append("")
-                n_pairs.append(0)
-            self.chars += len(unit)
-        self.fields = np.concatenate([self.fields, np.array(rows, np.int64)])
-        self.pairs = np.concatenate([self.pairs, np.array(pairs, np.int64)])
-        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(n_pairs)])
+        raw = [b" " + u.encode() for u in units]
+        long = np.fromiter(map(len, raw), np.int64, len(raw))
+        lists = t.encoded(units)
+        sides = []
+        wrong = np.zeros(len(units), bool)
+        for ids, sizes, names in zip(lists, self.sizes, (t.a_bytes, t.b_bytes), strict=True):
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum()))
+            ends = np.cumsum(sizes[flat])
+            by_unit = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n)])])
+            if (by_unit != long).any() or b"".join(map(names.__getitem__, flat.tolist())) != b"".join(raw):
+                wrong |= [b"".join([names[i] for i in x]) != r for x, r in zip(ids, raw, strict=True)]
+            sides.append((flat, n))
+        n_tokens = []
+        kept = []
+        for (flat, n), sizes in zip(sides, self.sizes, strict=True):
+            if wrong.any():
+                flat, n = flat[~np.repeat(wrong, n)], np.where(wrong, 0, n)
+            n_tokens.append(n)
+            kept.append((flat, np.cumsum(sizes[flat])))
+        (a, a_ends), (b, b_ends) = kept
+        # The units' bytes follow each other on both sides, so that all are aligned at once.
+        unit_ends = np.cumsum(np.where(wrong, 0, long))
+        a_last, b_last = common_ends(a_ends, b_ends)
+        x, y, ends = links_of(a_ends, b_ends)
+        count = lambda ends: np.diff(np.searchsorted(ends, unit_ends, "right"), prepend=0)
+        n_groups, n_links = count(a_ends[a_last]), count(ends)
+        groups = pc.binary_join_element_wise(_written(a, a_last), _written(b, b_last), "|")
+        groups = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_groups)]), pa.int32()), groups), ";")
+        self.groups = pa.concat_arrays([self.groups, groups])
+        self.fields = np.concatenate([self.fields, np.stack([*n_tokens, n_groups, n_links, wrong], axis=1)])
+        self.pairs = np.concatenate([self.pairs, a[x] << 32 | b[y]])
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(n_links)])
+        self.chars += sum(map(len, units))
 
     def pair_sums(self, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(pairs, links) of the units, each taken so many times."""
         links = np.repeat(times, np.diff(self.bounds)[: len(times)])
-        pairs, of = np.unique(self.pairs[: len(links)], return_inverse=True)
-        sums = np.zeros(len(pairs), np.int64)
-        np.add.at(sums, of, links)
+        pairs = self.pairs[: len(links)]
+        order = np.argsort(pairs)
+        pairs, first = pairs[order], np.flatnonzero(np.diff(pairs[order], prepend=-1))
+        sums = np.add.reduceat(links[order], first) if len(first) else np.zeros(0, np.int64)
         some = sums > 0
-        return pairs[some], sums[some]
+        return pairs[first][some], sums[some]
+
+    def said(self, numbers: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        """The groups of each text."""
+        lists = pa.LargeListArray.from_arrays(pa.array(bounds, pa.int64()), self.groups.take(pa.array(numbers)))
+        return pc.binary_join(lists, ";")
 
 
-def by_text(values: np.ndarray, numbers: list[list[int]]) -> np.ndarray:
+def by_text(values: np.ndarray, numbers: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """The sums of the units' values over each text."""
-    flat = np.fromiter((i for n in numbers for i in n), np.int64)
-    sums = np.concatenate([np.zeros((1, values.shape[1]), np.int64), np.cumsum(values[flat], axis=0)])
-    ends = np.cumsum([0, *map(len, numbers)])
-    return sums[ends[1:]] - sums[ends[:-1]]
+    sums = np.concatenate([np.zeros((1, values.shape[1]), np.int64), np.cumsum(values[numbers], axis=0)])
+    return np.diff(sums[bounds], axis=0)
 
 
 class Alignment:
@@ -231,10 +233,11 @@ class Alignment:
                     yield records(schema, [pa.array(x) for x in aligner.pair_sums(times)])
                     aligner.forget()
                     times = np.zeros(0, np.int64)
-                numbers = aligner.numbers(batch.column(0).to_pylist())
-                wrong = by_text(aligner.fields[:, 4:], numbers)[:, 0]
-                flat = [i for n, w in zip(numbers, wrong.tolist(), strict=True) if not w for i in n]
-                found = np.bincount(np.array(flat, np.int64), minlength=len(aligner.units))
+                numbers, bounds = aligner.numbers(batch.column(0).to_pylist())
+                wrong = by_text(aligner.fields[:, 4:], numbers, bounds)[:, 0] > 0
+                if wrong.any():
+                    numbers = numbers[~np.repeat(wrong, np.diff(bounds))]
+                found = np.bincount(numbers, minlength=len(aligner.units))
                 found[: len(times)] += times
                 times = found
             yield records(schema, [pa.array(x) for x in aligner.pair_sums(times)])
@@ -256,43 +259,49 @@ class Alignment:
             names = ("doc_id", "ref", "n_a", "n_b", "n_groups", "n_links", "groups", "hot_best", "hot_sum", "cold", "times")
             kinds = (*[pa.int64()] * 6, pa.string(), *[pa.int64()] * 2, pa.list_(pa.int64()), pa.list_(pa.int64()))
             schema, (known, n, best) = pa.schema(list(zip(names, kinds, strict=True))), hot.value
-            aligner, looked, cold = self.aligner(), np.zeros((0, 2), np.int64), {}
+            aligner, looked = self.aligner(), np.zeros((0, 3), np.int64)
             for batch in blocks(batches, "text", BLOCK_BYTES):
                 if aligner.full():
                     aligner.forget()
-                    looked, cold = np.zeros((0, 2), np.int64), {}
-                numbers = aligner.numbers(batch.column(1).to_pylist())
+                    looked = np.zeros((0, 3), np.int64)
+                numbers, bounds = aligner.numbers(batch.column(1).to_pylist())
                 # The links of the new units.
                 first = len(looked)
                 new = aligner.pairs[aligner.bounds[first] :]
-                at = np.minimum(np.searchsorted(known, new), max(len(known) - 1, 0))
-                there = known[at] == new if len(known) else np.zeros(len(new), bool)
-                values = np.stack([best[at] * there, n[at] * there], axis=1) if len(known) else np.zeros((len(new), 2), np.int64)
-                of = np.repeat(np.arange(first, len(aligner.units)), np.diff(aligner.bounds[first:]))
-                sums = np.concatenate([np.zeros((1, 2), np.int64), np.cumsum(values, axis=0)])
-                ends = aligner.bounds[first:] - aligner.bounds[first]
-                looked = np.concatenate([looked, sums[ends[1:]] - sums[ends[:-1]]])
-                for unit, pair in zip(of[~there].tolist(), new[~there].tolist(), strict=True):
-                    cold.setdefault(unit, []).append(pair)
-                every = by_text(np.concatenate([aligner.fields, looked], axis=1), numbers)
-                every[every[:, 4] > 0] = 0
-                groups, others, times, lists = aligner.groups, [], [], [0]
-                for text, n_links in zip(numbers, every[:, 3].tolist(), strict=True):
-                    if cold and n_links:
-                        rare = [p for i in text if i in cold for p in cold[i]]
-                        found, k = np.unique(np.array(rare, np.int64), return_counts=True)
-                        others += found.tolist()
-                        times += k.tolist()
-                    lists.append(len(others))
-                said = [";".join([groups[i] for i in text]) if n_links else "" for text, n_links in zip(numbers, every[:, 3].tolist(), strict=True)]
+                at, there = looked_up(known, new)
+                values = np.stack([best[at] * there, n[at] * there, ~there], axis=1) if len(known) else np.ones((len(new), 3), np.int64) * [0, 0, 1]
+                sums = np.concatenate([np.zeros((1, 3), np.int64), np.cumsum(values, axis=0)])
+                looked = np.concatenate([looked, np.diff(sums[aligner.bounds[first:] - aligner.bounds[first]], axis=0)])
+                every = by_text(np.concatenate([aligner.fields, looked], axis=1), numbers, bounds)
+                wrong = every[:, 4] > 0
+                every[wrong] = 0
+                others, times, lists = [], [], [0]
+                for k, rare in enumerate((every[:, 7] > 0).tolist()):
+                    if rare:
+                        of = numbers[bounds[k] : bounds[k + 1]]
+                        pairs = np.concatenate([aligner.pairs[aligner.bounds[i] : aligner.bounds[i + 1]] for i in of.tolist()])
+                        pairs, found = np.unique(pairs[~looked_up(known, pairs)[1]], return_counts=True)
+                        others.append(pairs)
+                        times.append(found)
+                    lists.append(lists[-1] + (len(others[-1]) if rare else 0))
+                groups = aligner.said(numbers, bounds)
+                if wrong.any():
+                    groups = pc.if_else(pa.array(wrong), "", groups)
                 offsets = pa.array(lists, pa.int32())
-                rest = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int64())) for x in (others, times)]
-                yield records(schema, [batch.column(0), batch.column(2), *(pa.array(np.ascontiguousarray(every[:, k])) for k in range(4)), said, *(pa.array(np.ascontiguousarray(every[:, k])) for k in (5, 6)), *rest])
+                rest = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *x]))) for x in (others, times)]
+                column = lambda k: pa.array(np.ascontiguousarray(every[:, k]))
+                yield records(schema, [batch.column(0), batch.column(2), *map(column, range(4)), groups, *map(column, (5, 6)), *rest])
 
         rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("ref"))
         return rows.mapInArrow(work, "doc_id long, ref long, n_a long, n_b long, n_groups long, n_links long, groups string, hot_best long, hot_sum long, cold array<long>, times array<long>")
 
 
+def looked_up(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, whether it is there) of each wanted value in sorted ones."""
+    at = np.minimum(np.searchsorted(known, wanted), max(len(known) - 1, 0))
+    return at, known[at] == wanted if len(known) else np.zeros(len(wanted), bool)
+
+
 def most_frequent(counts: DataFrame, most: int) -> DataFrame:
     """The rows of the highest levels of n, a sixteenth of a power of two each, that are `most` at most."""
     level = F.floor(16 * F.log2("n"))
