@@ -1,7 +1,8 @@
-"""One grouped operator that hosts every per-key kernel: one shuffle on the ticker, whatever runs in it."""
+"""The operators that host every per-key kernel, in blocks of rows of a bounded size."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.config import FEATURES, SETTINGS, Settings
+from tidewater.scratch import stored
 
+from .cep.automata import Run
 from .cep.detector import CepDetector
 from .detectors.adwin import DriftMonitor
 from .detectors.autoencoder import Autoencoder
@@ -26,8 +29,8 @@ REPLAY = "ewma double, lstm_ae double, cep double, cep_match string, events arra
 class Key:
     """All kernels of one key.  A row is scored by all, then learned by all."""
 
-    def __init__(self, s: Settings = SETTINGS, autoencoder: Autoencoder | None = None, make_cep: Callable[[], CepDetector] | None = None) -> None:
-        self.ewma, self.cep, self.drift = Ewma(s.ewma_span), make_cep() if make_cep else CepDetector(s), DriftMonitor(s.drift_delta)
+    def __init__(self, s: Settings = SETTINGS, autoencoder: Autoencoder | None = None, make_cep: Callable[[], CepDetector] | None = None, drift: bool = True) -> None:
+        self.ewma, self.cep, self.drift = Ewma(s.ewma_span), make_cep() if make_cep else CepDetector(s), DriftMonitor(s.drift_delta) if drift else None
         base = autoencoder or Autoencoder()
         self.lstm = Autoencoder(base.weights, base.mean, base.std, base.length)
 
@@ -37,7 +40,7 @@ class Key:
         self.ewma.update(row)
         self.lstm.update(row)
         self.cep.update(row)
-        return *scores, self.cep.match, events, {k: float(v) for k, v in self.cep.severities.items() if v > 0}, self.drift.update(row), baseline
+        return *scores, self.cep.match, events, {k: float(v) for k, v in self.cep.severities.items() if v > 0}, self.drift.update(row) if self.drift else [], baseline
 
     def warm(self, row: dict) -> None:
         """Learns without scoring: the automata and the drift monitor stay where they are."""
@@ -45,28 +48,121 @@ class Key:
         self.lstm.update(row)
         self.cep.update(row)
 
+    def state(self) -> bytes:
+        """All that later scores depend on but the drift monitor: equal states score equal rows alike."""
+        events = self.cep.events
+        # Of births only the order counts.
+        runs = [[(r.state, r.age, r.absent, r.repeats, sorted(x.born for x in m.runs).index(r.born)) for r in m.runs] for m in (*self.cep.base, *self.cep.meta)]
+        said = {"ewma": self.ewma.state, "buffer": [list(x) for x in self.lstm.buffer], "baseline": events.baseline, "seen": min(events.seen, max(1, events.s.baseline_min_windows)), "runs": runs}
+        return json.dumps(said).encode()
 
-def replay(features: DataFrame, order: list[str], s: Settings = SETTINGS, autoencoder: Autoencoder | None = None, make_cep: Callable[[], CepDetector] | None = None, warm: str | None = None) -> DataFrame:
-    """Every row scored, then learned, in the order of its ticker.  Rows where the column `warm` is true only warm up and don't come out."""
+    def resume(self, state: bytes) -> Key:
+        said = json.loads(state)
+        self.ewma.state = said["ewma"] and [tuple(x) for x in said["ewma"]]
+        self.lstm.buffer.extend(said["buffer"])
+        self.cep.events.baseline, self.cep.events.seen = said["baseline"], said["seen"]
+        for m, runs in zip((*self.cep.base, *self.cep.meta), said["runs"], strict=True):
+            m.runs = [Run(state, age, born, absent, repeats) for state, age, absent, repeats, born in runs]
+            m.clock = 1 + max((r.born for r in m.runs), default=-1)
+        return self
+
+
+#: Rows of a block, and rows before it that its kernels are run through first.
+BLOCK, HALO = 1 << 15, 1 << 10
+
+
+def blocked(features: DataFrame, order: list[str], block: int = BLOCK, halo: int = HALO) -> DataFrame:
+    """Adds _place, the row's place in the order of ticker and then `order`, and _block; a block's last `halo` rows are in the next one too."""
+    own = F.floor(F.col("_place") / block)
+    rows = positions(features, ["ticker", *order], "_place")
+    return rows.withColumn("_block", F.explode(F.when(F.col("_place") % block >= block - halo, F.array(own, own + 1)).otherwise(F.array(own))))
+
+
+def with_drift(rows: DataFrame, s: Settings = SETTINGS, warm: str | None = None) -> DataFrame:
+    """Adds `drifted` to rows with a `_place`.
+
+    A monitor's window reaches as far back as nothing drifts, so a ticker is followed in one task; rows stream through it, and
+    what is kept of them is logarithmic.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ticker, monitor = object(), None
+        for pdf in batches:
+            out = []
+            for row in pdf[["ticker", *FEATURES, *([warm] if warm else [])]].to_dict("records"):
+                if row["ticker"] != ticker:
+                    ticker, monitor = row["ticker"], DriftMonitor(s.drift_delta)
+                learns = not (warm and row[warm])
+                out.append(monitor.update({f: 0.0 if row[f] is None or row[f] != row[f] else row[f] for f in FEATURES}) if learns else [])
+            yield pdf.assign(drifted=out)
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.repartition(n, "ticker").sortWithinPartitions("ticker", "_place").mapInPandas(run, f"{schema}, drifted array<string>")
+
+
+def replay(features: DataFrame, order: list[str], s: Settings = SETTINGS, autoencoder: Autoencoder | None = None, make_cep: Callable[[], CepDetector] | None = None, warm: str | None = None, drift: bool = True, block: int = BLOCK, halo: int = HALO) -> DataFrame:
+    """Every row scored, then learned, in the order of its ticker.  Rows where the column `warm` is true only warm up and don't come out.
+
+    A long ticker is many blocks, each a task's group of a bounded size.  A block guesses the state that it starts from by
+    running through the `halo` rows before it; averages forget and matches expire, so the guess is nearly always the state
+    in which the block before it ended, to the last bit.  Where it isn't, the block is run again from that state, until all
+    agree: the result is that of one pass in order, whatever the guesses.  `drifted` (empty unless `drift`) can't be guessed
+    so; see `with_drift`.
+    """
     names = features.columns
+    added = [c.split()[0] for c in REPLAY.split(", ")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        key, out, kept = Key(s, autoencoder, make_cep), [], []
-        pdf = pdf.sort_values(order, kind="stable", ignore_index=True)
+        pdf = pdf.sort_values("_place", ignore_index=True)
+        own = (pdf["_place"] // block == pdf["_block"]).tolist()
         columns = {f: pdf[f].tolist() for f in FEATURES if f in pdf}
-        warming = pdf[warm].tolist() if warm else [False] * len(pdf)
-        for i, w in enumerate(warming):
-            row = {f: (0.0 if v[i] != v[i] else v[i]) for f, v in columns.items()}
-            if w:
+        warming, tickers = pdf[warm].tolist() if warm else [False] * len(pdf), pdf["ticker"].tolist()
+        seed = pdf["_seed"].iloc[0] if "_seed" in pdf else None
+        fresh = lambda: Key(s, autoencoder, make_cep, False)
+        key, ticker, started, out, kept = None, object(), None, [], []
+        for i, ticker_now in enumerate(tickers):
+            row = {f: (0.0 if v[i] is None or v[i] != v[i] else v[i]) for f, v in columns.items()}
+            if ticker_now != ticker:
+                key, ticker = fresh(), ticker_now
+                if seed is not None and not i:
+                    key, started = fresh().resume(seed), seed
+            elif own[i] and not own[i - 1]:
+                started = key.state()
+            if warming[i]:
                 key.warm(row)
-            else:
+            elif own[i]:
                 kept.append(i)
                 out.append(key.step(row))
-        scored = pd.DataFrame(out, columns=[c.split()[0] for c in REPLAY.split(", ")])
-        return pd.concat([pdf.loc[kept].reset_index(drop=True), scored], axis=1)
-
+            else:
+                key.step(row)
+        scored = pd.DataFrame(out, columns=added)
+        rows = pd.concat([pdf.loc[kept].reset_index(drop=True), scored], axis=1)
+        rows["drifted"] = pdf.loc[kept, "_drifted"].tolist() if "_drifted" in pdf else rows["drifted"]
+        rows = rows.assign(_starts=None, _ends=None)[[*names, *added, "_place", "_block", "_starts", "_ends"]]
+        if not kept:  # a row without a place carries the states of a block that only warms up
+            rows = pd.DataFrame([[None] * len(rows.columns)], columns=rows.columns).assign(_block=pdf["_block"].iloc[0])
+        rows["_starts"], rows["_ends"] = ([None] * (len(rows) - 1) + [state] for state in (started, key.state()))
+        return rows
+
+    rows = blocked(features, order, block, max(1, halo))  # a block must see whether its ticker goes on
+    if drift:
+        own = with_drift(rows.where(F.floor(F.col("_place") / block) == F.col("_block")), s, warm).select("_place", F.col("drifted").alias("_drifted"))
+        rows = rows.join(own, "_place", "left")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in features.schema.fields)
-    return features.groupBy("ticker").applyInPandas(run, f"{schema}, {REPLAY}").select(*names, *(c.split()[0] for c in REPLAY.split(", ")))
+    schema = f"{schema}, {REPLAY}, _place long, _block long, _starts binary, _ends binary"
+    done = rows.groupBy("_block").applyInPandas(run, schema)
+    if rows.agg(F.max("_block")).first()[0]:
+        rows, done = stored(rows, "blocks"), stored(done, "replayed")
+        while True:
+            states = done.where("_ends is not null").select("_block", "_starts", "_ends")
+            before = states.select((F.col("_block") + 1).alias("_block"), F.col("_ends").alias("_seed"))
+            wrong = stored(states.join(before, "_block").where("_starts is not null and _starts != _seed").select("_block", "_seed"), "wrong")
+            if not wrong.limit(1).count():
+                break
+            again = rows.where(F.floor(F.col("_place") / block) == F.col("_block")).join(wrong, "_block").groupBy("_block").applyInPandas(run, schema)
+            done = stored(done.join(wrong, "_block", "left_anti").select(*done.columns).unionByName(again), "replayed")
+    return done.where("_place is not null").select(*names, *added)
 
 
 def with_hst(features: DataFrame, order: list[str], s: Settings = SETTINGS, warm: str | None = None, windows: int = 64) -> DataFrame:
@@ -124,12 +220,16 @@ def timed_replay(features: DataFrame, order: list[str], s: Settings = SETTINGS,
     from time import perf_counter
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        scorer, out = make() if make else CepDetector(s), []
-        for row in pdf.sort_values(order, kind="stable").to_dict("records"):
+        out, scorer, ticker = [], None, object()
+        for row in pdf.sort_values("_place").to_dict("records"):
+            if row["ticker"] != ticker:
+                ticker, scorer = row["ticker"], make() if make else CepDetector(s)
             began = perf_counter()
             scorer.score(row)
-            out.append((row["ticker"], (perf_counter() - began) * 1000))
+            took = (perf_counter() - began) * 1000
+            if row["_place"] // BLOCK == row["_block"]:
+                out.append((ticker, took))
             scorer.update(row)
         return pd.DataFrame(out, columns=["ticker", "latency_ms"])
 
-    return features.groupBy("ticker").applyInPandas(run, "ticker string, latency_ms double")
+    return blocked(features, order).groupBy("_block").applyInPandas(run, "ticker string, latency_ms double")

@@ -43,7 +43,7 @@ def hourly(s: SparkSession, d: str) -> DataFrame:
 
 
 def replayed(s: SparkSession, d: str, **kwargs) -> DataFrame:
-    return sequence.replay(enriched(s, d), ["window_end"], CEP, **kwargs)
+    return sequence.replay(enriched(s, d), ["window_end"], CEP, drift=False, **kwargs)
 
 
 #: The kernel's state after each row, and the score of the next one.
@@ -76,7 +76,7 @@ def _(s, d):
 @query("det04_trn02_autoencoder")
 def _(s, d):
     rows = enriched(s, d)
-    return sequence.replay(rows, ["window_end"], CEP, autoencoder=training.fit_autoencoder(rows, ["window_end"])).select("ticker", "window_end", "lstm_ae")
+    return sequence.replay(rows, ["window_end"], CEP, autoencoder=training.fit_autoencoder(rows, ["window_end"]), drift=False).select("ticker", "window_end", "lstm_ae")
 
 
 @query("det05_ensemble", f"WITH {SCORED_SQL} SELECT ticker, window_end, anomaly_score, is_anomaly FROM flagged")
@@ -95,7 +95,7 @@ def full_scores(s: SparkSession, d: str) -> DataFrame:
     """All detectors, the ensemble and its flag."""
     rows = enriched(s, d)
     names = rows.columns
-    out = sequence.replay(rows, ["window_end"], CEP, autoencoder=training.fit_autoencoder(rows, ["window_end"])).select(*names, "ewma", "lstm_ae", "cep", "cep_match", "drifted")
+    out = sequence.replay(rows, ["window_end"], CEP, autoencoder=training.fit_autoencoder(rows, ["window_end"]), drift=False).select(*names, "ewma", "lstm_ae", "cep", "cep_match")
     out = sequence.with_iforest(sequence.with_hst(out, ["window_end", "ticker"]), training.fit_iforest(rows))
     scores = {n: F.col(n) for n in SETTINGS.weights}
     out = out.withColumn("anomaly_score", ensemble_score(scores, SETTINGS.weights)).withColumn("is_anomaly", F.col("anomaly_score") < SETTINGS.threshold)
@@ -244,7 +244,7 @@ def _(s, d):
     rows = feature_ops.temporal_split(injected(s, d), ["window_end"])
     last = feature_ops.last_rows(rows.where("is_train"), SETTINGS.warmup_rows, ["window_end"])
     rows = last.unionByName(rows.where("not is_train"))
-    return sequence.replay(rows, ["window_end"], CEP, warm="is_train").select("ticker", "window_end", "ewma", "cep", "cep_match", "anomaly_type")
+    return sequence.replay(rows, ["window_end"], CEP, warm="is_train", drift=False).select("ticker", "window_end", "ewma", "cep", "cep_match", "anomaly_type")
 
 
 @query("evl10_timed_replay")
@@ -264,8 +264,8 @@ def _(s, d):
 @query("evl13_method_comparison")
 def _(s, d):
     rows = injected(s, d)
-    scored = sequence.replay(rows, ["window_end"], CEP).select(*rows.columns, "ewma", "cep")
-    only = sequence.replay(rows, ["window_end"], CEP, make_cep=lambda: CepDetector(CEP, point_severity=0.0)).select("row_id", F.col("cep").alias("automata"))
+    scored = sequence.replay(rows, ["window_end"], CEP, drift=False).select(*rows.columns, "ewma", "cep")
+    only = sequence.replay(rows, ["window_end"], CEP, make_cep=lambda: CepDetector(CEP, point_severity=0.0), drift=False).select("row_id", F.col("cep").alias("automata"))
     scored = scored.join(only, "row_id")
     position = stored(inject.positions(stored(scored, "scored"), ["ticker", "window_end"]), "positions")
     n = position.count()
