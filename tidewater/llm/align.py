@@ -41,6 +41,10 @@ Where = str | Callable[[], str]
 #: What stands for a space in the pieces, and bytes that are pieces of their own.
 SPACE, _BYTE = "▁", re.compile(r"<0x([0-9A-F]{2})>")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: A space beside white space, in ASCII; the last four count as white space here only, which makes longer units.
+_BESIDE = ("  ", *(x for c in "\t\n\v\f\r\x1c\x1d\x1e\x1f" for x in (f"{c} ", f" {c}")))
+#: Units that A encodes as one text: it ends a token at each of their spaces.
+TOGETHER = 500
 
 
 def byte_letters() -> dict[str, int]:
@@ -73,14 +77,19 @@ class Tokenizers:
         inside = any(x != SPACE and y == SPACE for p in self._pieces for x, y in zip(p, p[1:], strict=False))
         return by_units(self.a) and not inside and self.b.encode("a", out_type=str)[0].startswith(SPACE)
 
-    def encoded(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """A's ids of each unit after a space, B's of each unit, before which it puts a space of its own."""
-        return [e.ids for e in self.a.encode_batch_fast([f" {u}" for u in units], add_special_tokens=False)], self.b.encode(units, num_threads=1)
+    def by_a(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def by_b(self, texts: list[str]) -> list[list[int]]:
+        """B puts a space of its own before each text."""
+        return self.b.encode(texts, num_threads=1)
 
 
 def cut(text: str) -> list[str]:
     """The units of a text: what is between single spaces that have no white space beside them."""
     parts = text.split(" ")
+    if text.isascii() and text[0] != " " and text[-1] != " " and not any(x in text for x in _BESIDE):
+        return parts
     for p in parts:
         if not p or p[0].isspace() or p[-1].isspace():
             return _CUT.split(text)
@@ -157,16 +166,18 @@ class Aligner:
         t = self.tokenizers
         raw = [b" " + u.encode() for u in units]
         long = np.fromiter(map(len, raw), np.int64, len(raw))
-        lists = t.encoded(units)
-        sides = []
         wrong = np.zeros(len(units), bool)
-        for ids, sizes, names in zip(lists, self.sizes, (t.a_bytes, t.b_bytes), strict=True):
+        sides = []
+        for ids, sizes, names in ((self._by_a(units, long), self.sizes[0], t.a_bytes), (t.by_b(units), self.sizes[1], t.b_bytes)):
             n = np.fromiter(map(len, ids), np.int64, len(ids))
             flat = np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum()))
             ends = np.cumsum(sizes[flat])
+            if len(ids) < len(units):  # of several units together
+                n = np.diff(np.searchsorted(ends, np.cumsum(long), "right"), prepend=0)
             by_unit = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n)])])
             if (by_unit != long).any() or b"".join(map(names.__getitem__, flat.tolist())) != b"".join(raw):
-                wrong |= [b"".join([names[i] for i in x]) != r for x, r in zip(ids, raw, strict=True)]
+                lists = np.split(flat, np.cumsum(n)[:-1])
+                wrong |= [b"".join([names[i] for i in x.tolist()]) != r for x, r in zip(lists, raw, strict=True)]
             sides.append((flat, n))
         n_tokens = []
         kept = []
@@ -190,6 +201,15 @@ class Aligner:
         self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(n_links)])
         self.chars += sum(map(len, units))
 
+    def _by_a(self, units: list[str], long: np.ndarray) -> list[list[int]]:
+        """A's ids of the units, after a space each: of many together where that gives their bytes, else of each."""
+        if not self.whole:
+            ids = self.tokenizers.by_a([" " + " ".join(units[k : k + TOGETHER]) for k in range(0, len(units), TOGETHER)])
+            ends = np.cumsum(self.sizes[0][np.fromiter(chain.from_iterable(ids), np.int64)])
+            if len(ids) < len(units) and np.isin(np.cumsum(long), ends, assume_unique=True).all():
+                return ids
+        return self.tokenizers.by_a([f" {u}" for u in units])
+
     def pair_sums(self, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(pairs, links) of the units, each taken so many times."""
         links = np.repeat(times, np.diff(self.bounds)[: len(times)])
