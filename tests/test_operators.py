@@ -244,3 +244,19 @@ def test_states_of_kernels_come_back(spark):
             for later in rows[k : k + 15]:
                 assert one.step(later) == two.step(later)
         assert other.step(row) == key.step(row) and other.state() == key.state()
+
+
+def test_rounding_is_that_of_python(spark):
+    """A million values with ties, near ties, ends of ranges and what isn't finite."""
+    import math
+
+    rng = np.random.default_rng(6)
+    k = rng.integers(-(10**8), 10**8, 250_000)
+    values = np.concatenate([k / 1e4 + 0.00005, (2 * k + 1) / 2 / 1e4, k / 2.0 ** rng.integers(1, 30, len(k)), np.ldexp(rng.normal(size=len(k)), rng.integers(-30, 60, len(k)))])
+    values = [*values.tolist(), 0.0, -0.0, 0.5, 2.5, 1.005, 2.675, 1e300, -1e300, math.inf, -math.inf, float(2**52) / 1e4, float(2**53) / 1e4, float(2**53 - 1) / 1e4, 5e-324, -0.00004]
+    df = spark.createDataFrame(__import__("pandas").DataFrame({"x": values}))
+    for digits in (0, 2, 4, 6):
+        got = df.select("x", S.rounded("x", digits).alias("y")).toPandas()
+        assert len(got) == len(values) and all(y == round(x, digits) for x, y in zip(got["x"].tolist(), got["y"].tolist(), strict=True))
+        assert not any(math.copysign(1, y) < 0 for y in got["y"].tolist() if y == 0)
+    assert df.select(S.rounded(F.lit(None).cast("double"), 4).alias("y")).where("y is not null").count() == 0

@@ -12,10 +12,35 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: Splits a double into two halves of 26 bits (Dekker); from here on doubles have no fractions.
+_SPLIT, _WHOLE = float(2**27 + 1), float(2**52)
+
+
+def _halves(x):
+    t = x * _SPLIT
+    high = t - (t - x)
+    return high, x - high
+
+
 def rounded(x: Column | str, digits: int) -> Column:
-    """Half up in binary: floor(x * 10**digits + 0.5) / 10**digits, the same on every engine."""
-    scale = float(10**digits)
-    return F.floor(col(x) * scale + F.lit(0.5)) / F.lit(scale)
+    """To so many digits, the nearest of the exact binary value and half to even, as Python's `round` and C's printf have it.
+
+    The product with 10**digits is rounded itself; where it comes out as a tie, its error, which two halves of each factor
+    give exactly, says on which side the value is.  No negative zero.
+    """
+    x, scale = col(x).cast("double"), float(10**digits)
+    size = F.abs(x)
+    product = size * scale
+    (high, low), (scale_high, scale_low) = _halves(size), _halves(scale)
+    error = low * scale_low - (((product - high * scale_high) - low * scale_high) - high * scale_low)
+    whole = F.floor(product)
+    beyond = product - whole - 0.5
+    odd = whole % 2 == 1
+    up = (beyond > 0) | ((beyond == 0) & ((error > 0) | ((error == 0) & odd)))
+    # Products without a fraction may be half a step from the value.
+    far = F.when((product >= _WHOLE) & (F.abs(error) == 0.5) & odd, F.signum(error)).otherwise(F.lit(0.0))
+    near = (whole + up.cast("int") + far) / F.lit(scale)
+    return F.when(product < 2 * _WHOLE, F.when(x < 0, -near).otherwise(near) + F.lit(0.0)).otherwise(x)
 
 
 def price_change_rate(first: Column | str, last: Column | str) -> Column:

@@ -46,12 +46,21 @@ CEP = replace(SETTINGS, volume_surge_ratio=1.5)
 WEIGHTS = {"price": 0.40, "volume": 0.45, "lstm_ae": 0.10}
 
 
+def R(x: str, digits: int) -> str:
+    """What `rounded` gives: formatting rounds the exact binary value, half to even."""
+    return f"(CAST(format('{{:.{digits}f}}', CAST({x} AS DOUBLE)) AS DOUBLE) + 0::DOUBLE)"
+
+
+def R2(x: str) -> str:
+    return R(x, 2)
+
+
 def R4(x: str) -> str:
-    return f"floor(({x}) * 10000::DOUBLE + 0.5::DOUBLE) / 10000::DOUBLE"
+    return R(x, 4)
 
 
 def R6(x: str) -> str:
-    return f"floor(({x}) * 1000000::DOUBLE + 0.5::DOUBLE) / 1000000::DOUBLE"
+    return R(x, 6)
 
 
 FEATURES_SQL = f"""{TICKS_SQL},

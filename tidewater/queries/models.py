@@ -20,7 +20,7 @@ from tidewater.session import table
 from tidewater.sources import market
 from tidewater.streaming import pipeline
 
-from .base import CEP, ENRICHED_SQL, FEATURES_SQL, R4, R6, SCORED_SQL, enriched, feats, flagged, query, ticks
+from .base import CEP, ENRICHED_SQL, FEATURES_SQL, R2, R4, R6, SCORED_SQL, enriched, feats, flagged, query, ticks
 from .relational import GREEDY_SQL, VERSIONS_SQL, daily, study_events, versions
 
 ALPHA = "(2::DOUBLE / 21::DOUBLE)"
@@ -176,7 +176,7 @@ LABEL_COUNTS = "(SELECT count(*) FILTER (WHERE quality = 0) AS dn, count(*) FILT
 @query(
     "evl01_metrics",
     f"""SELECT dn AS detections, tp, dn - tp AS fp, g - tp AS fn, {R4("p")} AS precision, {R4("r")} AS recall, {R4("CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END")} AS f1,
-floor((dn - tp) / (n - g) * 1000000::DOUBLE + 0.5::DOUBLE) / 1000000::DOUBLE AS fp_rate, 0::DOUBLE AS latency_mean, 0::DOUBLE AS latency_median FROM (SELECT *, tp / dn AS p, tp / g AS r FROM {LABEL_COUNTS})""",
+{R6('(dn - tp) / (n - g)')} AS fp_rate, 0::DOUBLE AS latency_mean, 0::DOUBLE AS latency_median FROM (SELECT *, tp / dn AS p, tp / g AS r FROM {LABEL_COUNTS})""",
 )
 def _(s, d):
     rows = table(s, d, "labels")
@@ -189,7 +189,7 @@ def _(s, d):
 c AS (SELECT (SELECT count(*) FROM det) AS d, (SELECT count(*) FROM truth) AS g, (SELECT count(*) FROM labels) AS n, count(*) AS tp, avg(latency) AS mean, median(latency) AS middle FROM m),
 r AS (SELECT *, CASE WHEN d > 0 THEN tp / d ELSE 0 END AS p, CASE WHEN g > 0 THEN tp / g ELSE 0 END AS q FROM c)
 SELECT d AS detections, tp, d - tp AS fp, g - tp AS fn, {R4("p")} AS precision, {R4("q")} AS recall, {R4("CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END")} AS f1, {R6("(d - tp) / (n - g)")} AS fp_rate,
-coalesce(floor(mean * 100::DOUBLE + 0.5::DOUBLE) / 100::DOUBLE, 0) AS latency_mean, coalesce(floor(middle * 100::DOUBLE + 0.5::DOUBLE) / 100::DOUBLE, 0) AS latency_median FROM r""",
+coalesce({R2('mean')}, 0) AS latency_mean, coalesce({R2('middle')}, 0) AS latency_median FROM r""",
 )
 def _(s, d):
     rows = table(s, d, "labels")

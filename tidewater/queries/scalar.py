@@ -10,10 +10,10 @@ from tidewater.session import table
 from tidewater.sources import market
 from tidewater.sources.market import NEWS_SQL, TICKS_SQL
 
-from .base import ASOF, ENRICHED_SQL, FEATURES_SQL, R4, SCORED_SQL, enriched, feats, flagged, query, ticks
+from .base import ASOF, ENRICHED_SQL, FEATURES_SQL, R2, R4, R6, SCORED_SQL, enriched, feats, flagged, query, ticks
 
 
-@query("fea01_price_change_rate", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity - 1 = 0 THEN 0::DOUBLE ELSE floor(((l_tax * 100 - (l_quantity - 1)) / (l_quantity - 1)) * 1000000::DOUBLE + 0.5::DOUBLE) / 1000000::DOUBLE END AS rate FROM lineitem")
+@query("fea01_price_change_rate", f"SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity - 1 = 0 THEN 0::DOUBLE ELSE {R6('(l_tax * 100 - (l_quantity - 1)) / (l_quantity - 1)')} END AS rate FROM lineitem")
 def _(s, d):
     return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", S.price_change_rate(F.col("l_quantity") - 1, F.col("l_tax") * 100).alias("rate"))
 
@@ -28,10 +28,10 @@ def _(s, d):
     return market.news(s, d).select("event_id", S.sentiment_shift("score", F.lit(0.25)).alias("shift"))
 
 
-@query("fea04_rounding", "SELECT l_orderkey, l_linenumber, floor(l_extendedprice / 7 * 100::DOUBLE + 0.5::DOUBLE) / 100::DOUBLE AS two, floor(l_extendedprice / 7 * 1000000::DOUBLE + 0.5::DOUBLE) / 1000000::DOUBLE AS six FROM lineitem")
+@query("fea04_rounding", f"SELECT l_orderkey, l_linenumber, {R2('l_extendedprice / 7')} AS two, {R6('l_extendedprice / 7')} AS six, {R2('l_extendedprice / 8')} AS tied FROM lineitem")
 def _(s, d):
     x = F.col("l_extendedprice") / 7
-    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", S.rounded(x, 2).alias("two"), S.rounded(x, 6).alias("six"))
+    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", S.rounded(x, 2).alias("two"), S.rounded(x, 6).alias("six"), S.rounded(F.col("l_extendedprice") / 8, 2).alias("tied"))
 
 
 @query("scl01_signed_sentiment", f"WITH {NEWS_SQL} SELECT event_id, label, CASE label WHEN 'negative' THEN -(abs(score_c) / 100::DOUBLE) WHEN 'positive' THEN abs(score_c) / 100::DOUBLE ELSE 0::DOUBLE END AS signed FROM news")
@@ -48,9 +48,9 @@ def _(s, d):
     "scl03_reason",
     f"""WITH {ENRICHED_SQL}, x AS (SELECT *, total_volume * 2500 AS v, window_end % 7 / 10::DOUBLE AS score FROM enriched)
 SELECT ticker, window_end, CASE WHEN t = '' THEN printf('anomaly score=%.4f', score) ELSE t END AS reason FROM (SELECT *, concat_ws('; ',
-  CASE WHEN abs(price_change_rate) > 0.02::DOUBLE THEN printf('large price move (%.2f%%)', floor(price_change_rate * 100 * 100::DOUBLE + 0.5::DOUBLE) / 100::DOUBLE) END,
+  CASE WHEN abs(price_change_rate) > 0.02::DOUBLE THEN printf('large price move (%.2f%%)', {R2('price_change_rate * 100')}) END,
   CASE WHEN v > 1000000 THEN format('high volume ({{:,}})', v) END,
-  CASE WHEN abs(sentiment_shift) > 0.3::DOUBLE THEN printf('sentiment shift (%.2f)', floor(sentiment_shift * 100::DOUBLE + 0.5::DOUBLE) / 100::DOUBLE) END) AS t FROM x)""",
+  CASE WHEN abs(sentiment_shift) > 0.3::DOUBLE THEN printf('sentiment shift (%.2f)', {R2('sentiment_shift')}) END) AS t FROM x)""",
 )
 def _(s, d):
     rows = enriched(s, d).withColumn("total_volume", F.col("total_volume") * 2500).withColumn("score", F.col("window_end") % 7 / F.lit(10.0))
