@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewater.config import SETTINGS
 from tidewater.functions import scalars as S
-from tidewater.operators import enrich, evaluate, features, inject, order, sequence, training
+from tidewater.operators import enrich, evaluate, features, inject, order, seen, sequence, training
 from tidewater.operators.detectors.hst import HalfSpaceTrees
 from tidewater.operators.detectors.iforest import IsolationForest
 from tidewater.operators.ensemble import ensemble_score
@@ -260,3 +260,14 @@ def test_rounding_is_that_of_python(spark):
         assert len(got) == len(values) and all(y == round(x, digits) for x, y in zip(got["x"].tolist(), got["y"].tolist(), strict=True))
         assert not any(math.copysign(1, y) < 0 for y in got["y"].tolist() if y == 0)
     assert df.select(S.rounded(F.lit(None).cast("double"), 4).alias("y")).where("y is not null").count() == 0
+
+
+@pytest.mark.parametrize(("block", "halo", "most"), [(40, 1, 15), (64, 60, 15), (1000, 10, 40)])
+def test_a_bounded_memory_in_blocks(spark, block, halo, most):
+    rng = random.Random(block)
+    titles = [f"t{int(60 * rng.random() ** 2)}" for _ in range(300)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(titles)] + [(300, None, "x")], "at long, title string, fresh_title string").repartition(5)
+    got = seen.seen_lately(df, ["at"], most=most, block=block, halo=halo)
+    assert got.columns == ["at", "title", "fresh_title", "fresh"]
+    assert [r["fresh"] for r in got.orderBy("at").collect()] == readers.bounded_first_seen(titles, most)
+    assert seen.seen_lately(df.where("at < 0"), ["at"]).count() == 0

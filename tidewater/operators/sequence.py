@@ -72,12 +72,33 @@ BLOCK, HALO = 1 << 15, 1 << 10
 
 
 def blocked(features: DataFrame, order: list[str], block: int = BLOCK, halo: int = HALO) -> DataFrame:
-    """Adds _place, the row's place in the order of ticker and then `order`, and _block; a block's last `halo` rows are in the next one too."""
+    """Adds _place, the row's place in the order, and _block; a block's last `halo` rows are in the next one too."""
     own = F.floor(F.col("_place") / block)
-    rows = positions(features, ["ticker", *order], "_place")
+    rows = positions(features, order, "_place")
     return rows.withColumn("_block", F.explode(F.when(F.col("_place") % block >= block - halo, F.array(own, own + 1)).otherwise(F.array(own))))
 
 
+def settled(rows: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], schema: str, block: int) -> DataFrame:
+    """What `run` makes of each block of `blocked` rows, once every block has started from the state in which the one before it ended.
+
+    run: the rows of a block to those of its own, with `_place`, `_block`, `_starts` (the guessed state at its first own row, null
+    where there is nothing to guess) and `_ends`, the last two on one row of the block.  A column `_seed`, where there is one,
+    holds the state to start from, and there are no rows before the block's own then.
+    """
+    done = rows.groupBy("_block").applyInPandas(run, schema)
+    if rows.agg(F.max("_block")).first()[0]:
+        rows, done = stored(rows, "blocks"), stored(done, "settled")
+        while True:
+            states = done.where("_ends is not null").select("_block", "_starts", "_ends")
+            before = states.select((F.col("_block") + 1).alias("_block"), F.col("_ends").alias("_seed"))
+            wrong = stored(states.join(before, "_block").where("_starts is not null and _starts != _seed").select("_block", "_seed"), "wrong")
+            if not wrong.limit(1).count():
+                break
+            again = rows.where(F.floor(F.col("_place") / block) == F.col("_block")).join(wrong, "_block").groupBy("_block").applyInPandas(run, schema)
+            done = stored(done.join(wrong, "_block", "left_anti").select(*done.columns).unionByName(again), "settled")
+    return done.where("_place is not null")
+
+
 def with_drift(rows: DataFrame, s: Settings = SETTINGS, warm: str | None = None) -> DataFrame:
     """Adds `drifted` to rows with a `_place`.
 
@@ -145,24 +166,13 @@ def replay(features: DataFrame, order: list[str], s: Settings = SETTINGS, autoen
         rows["_starts"], rows["_ends"] = ([None] * (len(rows) - 1) + [state] for state in (started, key.state()))
         return rows
 
-    rows = blocked(features, order, block, max(1, halo))  # a block must see whether its ticker goes on
+    rows = blocked(features, ["ticker", *order], block, max(1, halo))  # a block must see whether its ticker goes on
     if drift:
         own = with_drift(rows.where(F.floor(F.col("_place") / block) == F.col("_block")), s, warm).select("_place", F.col("drifted").alias("_drifted"))
         rows = rows.join(own, "_place", "left")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in features.schema.fields)
     schema = f"{schema}, {REPLAY}, _place long, _block long, _starts binary, _ends binary"
-    done = rows.groupBy("_block").applyInPandas(run, schema)
-    if rows.agg(F.max("_block")).first()[0]:
-        rows, done = stored(rows, "blocks"), stored(done, "replayed")
-        while True:
-            states = done.where("_ends is not null").select("_block", "_starts", "_ends")
-            before = states.select((F.col("_block") + 1).alias("_block"), F.col("_ends").alias("_seed"))
-            wrong = stored(states.join(before, "_block").where("_starts is not null and _starts != _seed").select("_block", "_seed"), "wrong")
-            if not wrong.limit(1).count():
-                break
-            again = rows.where(F.floor(F.col("_place") / block) == F.col("_block")).join(wrong, "_block").groupBy("_block").applyInPandas(run, schema)
-            done = stored(done.join(wrong, "_block", "left_anti").select(*done.columns).unionByName(again), "replayed")
-    return done.where("_place is not null").select(*names, *added)
+    return settled(rows, run, schema, block).select(*names, *added)
 
 
 def with_hst(features: DataFrame, order: list[str], s: Settings = SETTINGS, warm: str | None = None, windows: int = 64) -> DataFrame:
@@ -232,4 +242,4 @@ def timed_replay(features: DataFrame, order: list[str], s: Settings = SETTINGS,
             scorer.update(row)
         return pd.DataFrame(out, columns=["ticker", "latency_ms"])
 
-    return blocked(features, order).groupBy("_block").applyInPandas(run, "ticker string, latency_ms double")
+    return blocked(features, ["ticker", *order]).groupBy("_block").applyInPandas(run, "ticker string, latency_ms double")

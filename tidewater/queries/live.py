@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 
 from tidewater.config import SETTINGS
 from tidewater.functions import scalars as S
-from tidewater.operators import lstm, sequence
+from tidewater.operators import lstm, seen, sequence
 from tidewater.scratch import scratch
 from tidewater.session import table
 from tidewater.sources import market, readers
 from tidewater.sources.market import NEWS_SQL, TICKS_SQL
 from tidewater.sources.poller import TableService, polled
 from tidewater.sources.tables import open_tables, scored_batch
-from tidewater.streaming import live
+from tidewater.streaming import live, pipeline
 
 from .base import CEP, ENRICHED_SQL, MINUTES, SCORED_SQL, SIZE, enriched, flagged, query, ticks
 from .models import EWMA_SQL, WINNER_SQL
@@ -33,7 +33,8 @@ def in_parts(rows: DataFrame, parts: int, late_hours: int = 20) -> list[DataFram
     first, last = rows.agg(F.min("ts"), F.max("ts")).first()
     if first is None:
         return [rows]
-    arrival = F.col("ts") + F.pmod(F.xxhash64("event_id", F.lit(7)), F.lit(late_hours * 3_600_000)) - first
+    late = F.pmod(F.xxhash64("event_id", F.lit(7)), F.lit(late_hours * 3_600_000)) if late_hours else F.lit(0)
+    arrival = F.col("ts") + late - first
     part = F.least(F.floor(arrival / ((last - first) // parts + 1)), F.lit(parts - 1))
     return [rows.where(part == k) for k in range(parts)]
 
@@ -159,3 +160,35 @@ def _(s, d):
 def _(s, d):
     """Every news item once, over a restart, with its title and publisher."""
     return readers.news_items(polled_table(s, d, "polled_news", headlines, "event_id long, ticker string, ts long, item string", False)).drop("item")
+
+
+#: Titles of news that come again, also after more than 1,000 others.
+TITLED_SQL = "items AS (SELECT event_id, epoch_us(ts) // 1000 AS ts, 'user ' || CAST(user_id AS VARCHAR) || ' ' || CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 AS VARCHAR) AS title FROM events WHERE event_type IN ('error', 'signup'))"
+SEEN_SQL = f"""WITH RECURSIVE {TITLED_SQL}, numbered AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS rn FROM items),
+m AS (SELECT 0::BIGINT AS rn, []::VARCHAR[] AS seen, NULL::BIGINT AS event_id, FALSE AS fresh UNION ALL
+  SELECT i.rn, CASE WHEN list_contains(m.seen, i.title) THEN m.seen WHEN len(m.seen) >= 1000 THEN list_append(m.seen[2:], i.title) ELSE list_append(m.seen, i.title) END, i.event_id, NOT list_contains(m.seen, i.title)
+  FROM m JOIN numbered i ON i.rn = m.rn + 1) SELECT event_id, fresh FROM m WHERE rn > 0"""
+
+
+def titled(s: SparkSession, d: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("long") % 10
+    rows = table(s, d, "events").where(F.col("event_type").isin("error", "signup"))
+    return rows.select("event_id", S.to_epoch_millis("ts").alias("ts"), F.concat_ws(" ", F.lit("user"), F.col("user_id").cast("string"), k.cast("string")).alias("title"))
+
+
+@query("flt10_bounded_first_seen", SEEN_SQL)
+def _(s, d):
+    return seen.seen_lately(titled(s, d), ["ts", "event_id"], block=2048).select("event_id", "fresh")
+
+
+@query("flt10_bounded_first_seen_stream", SEEN_SQL)
+def _(s, d):
+    """The same memory as the state of a stream, over two restarts."""
+    live.use_state_store(s)
+    source, out, state = scratch(s, "titles"), scratch(s, "fresh"), scratch(s, "checkpoint")
+    rows = titled(s, d)
+    for k, part in enumerate(in_parts(rows, 3, 0)):
+        part.write.parquet(f"{source}/part={k}")
+        stream = pipeline.seen_lately(s.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(source))
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(stream.schema).parquet(out).select("event_id", "fresh")

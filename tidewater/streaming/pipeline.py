@@ -37,6 +37,47 @@ def unseen(items: DataFrame, key: str = "title", time: str = "time", within: str
     return items.withWatermark(time, within).dropDuplicatesWithinWatermark([key])
 
 
+class Memory(StatefulProcessor):
+    """A ring of the last `most` titles that were new, over all tickers: two maps, by title and by place, and a counter."""
+
+    def __init__(self, most: int) -> None:
+        self.most = most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.count = handle.getValueState("count", "n long")
+        self.known = handle.getMapState("known", "title string", "n long")
+        self.ring = handle.getMapState("ring", "place long", "title string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        pdf = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable", ignore_index=True)
+        n = self.count.get()[0] if self.count.exists() else 0
+        fresh = []
+        for title in pdf["title"].tolist():
+            fresh.append(not self.known.containsKey((title,)))
+            if fresh[-1]:
+                place = (n % self.most,)
+                if n >= self.most:
+                    self.known.removeKey(self.ring.getValue(place))
+                self.ring.updateValue(place, (title,))
+                self.known.updateValue((title,), (n,))
+                n += 1
+        self.count.update((n,))
+        yield pdf[["ts", "event_id", "title"]].assign(fresh=fresh)
+
+    def close(self) -> None:
+        pass
+
+
+def seen_lately(items: DataFrame, most: int = SETTINGS.seen_titles) -> DataFrame:
+    """ts, event_id, title and fresh: whether the title isn't among the last `most` that were fresh, over all tickers.
+
+    A repeat doesn't refresh its place, and a title that was pushed out is fresh again.  Micro-batches in the order of ts and
+    event_id; the one memory makes it one key.  Items without a title go.
+    """
+    rows = items.where("title is not null").select("ts", "event_id", "title", F.lit(0).alias("all"))
+    return rows.groupBy("all").transformWithStateInPandas(Memory(most), outputStructType="ts long, event_id long, title string, fresh boolean", outputMode="append", timeMode="None")
+
+
 class Scoring(StatefulProcessor):
     """The kernels of a key live in the state store; a micro-batch's rows are scored and learned in the order of window_end."""
 
