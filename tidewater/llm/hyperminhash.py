@@ -6,14 +6,15 @@ Bands of `BAND` registers are keys under which sets meet.  Of two sets with a si
 a probability of 8e-14.  Sets of `SMALL` shingles and fewer meet by a prefix of their shingles as well, which is exact:
 two of them that are similar enough share one of the first n - ceil(4 n / 5) + 1 of each in the order of the hashes.
 
-Where sets meet, their sizes and two bits of every register (`CODES`) bound what is worth a look.  The registers of what is
-left are compared: of the share of equal ones the share that equal by accident (a closed form of the two sizes) is taken
-off, and a pair goes on if its estimate is no more than `SIGMAS` deviations below what is asked.  Then the whole sets decide.
+Where sets meet, their sizes bound what is worth a look.  The registers of what is left are compared: of the share of equal
+ones the share that equal by accident (a closed form of the two sizes) is taken off, and a pair goes on if its estimate is no
+more than `SIGMAS` deviations below what is asked.  Then the whole sets decide.
 
-Large classes: a set is compared with one of every bucket first, that with the least hash.  After that only sets of a
-bucket that aren't in one component are compared, and buckets of more than `BLOCK` sets are dealt out in pairs of blocks,
+Large classes: a set is compared with one of every bucket first, the one that meets most others in all its buckets: what
+near copies were copied from is in the most.  After that only sets of a bucket that aren't in one component are compared, by
+a byte of every register before any pair is written, and buckets of more than `BLOCK` sets are dealt out in pairs of blocks,
 each of which is a task's group, so that no task holds more than two blocks.  Equal sets count as one, copies cost nothing.
-No pair is dropped but by the bounds above, and links are complete up to the two probabilities.
+No pair is dropped but by the bounds above, and links are complete up to their probabilities.
 
 Lower-casing and splitting touch ASCII only.  Texts with fewer words than a shingle make one; null, empty and white texts
 have no set and are linked with nothing.  A null doc_id is larger than all others; a class of such rows has a null
@@ -42,13 +43,12 @@ BITS, MANTISSA, BAND = 7, 10, 3
 REGISTERS = 1 << BITS
 #: Shingles up to which a set emits a prefix of them; covers every pair in which one set has 32 or fewer.
 SMALL = 40
-#: Deviations below the asked similarity that an estimate, or the number of equal codes, may be.
+#: Deviations below the asked similarity that an estimate may be.
 SIGMAS = 6
 #: Sets of a bucket that meet in one block; pairs that a task gathers before it hands them on.
 BLOCK, PAIRS = 2048, 1 << 15
 #: Slots of the sketch of keys for each key, and at most; with fewer more keys are shuffled.
 SLOTS, MAX_BITS = 4, 1 << 30
-CODES = tuple(f"c{i}" for i in range(REGISTERS // 32))
 
 
 def set_of(text: str | None, words: int = WORDS, hashes: dict | None = None) -> np.ndarray:
@@ -71,16 +71,9 @@ def registers(every: np.ndarray) -> np.ndarray:
     return np.where(filled, (zeros << MANTISSA | mantissa) + 1, 0).astype(np.uint16)
 
 
-def codes_of(regs: np.ndarray) -> np.ndarray:
-    """Two bits of every register, 32 registers in a word: (sets, words) of int64."""
-    low = ((regs ^ (regs >> np.uint16(MANTISSA))) & np.uint16(3)).astype(np.uint64).reshape(len(regs), -1, 32)
-    return (low << (2 * np.arange(32, dtype=np.uint64))).sum(axis=2, dtype=np.uint64).view(np.int64)
-
-
-def max_codes_apart(least: tuple[int, int] = SIMILAR) -> int:
-    """How many codes of sets that are similar enough may differ: three quarters of the registers that do, and `SIGMAS` deviations."""
-    p = 0.75 * (1 - least[0] / least[1])
-    return int(REGISTERS * p + SIGMAS * np.sqrt(REGISTERS * p * (1 - p))) + 1
+def bytes_of(regs: np.ndarray) -> np.ndarray:
+    """A byte of every register: 0 for an empty one, else one of 255, equal for equal registers."""
+    return np.where(regs > 0, regs % 255 + 1, 0).astype(np.uint8)
 
 
 def bands(regs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,11 +106,16 @@ def estimated(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> tup
     return np.clip((equal - by_accident(n, m)) / np.maximum(either, 1), 0, 1), either
 
 
+def least_estimate(either: np.ndarray, least: tuple[int, int] = SIMILAR) -> np.ndarray:
+    """The estimate from so many registers below which a pair isn't looked at."""
+    asked = least[0] / least[1]
+    return asked - SIGMAS * np.sqrt(asked * (1 - asked) / np.maximum(either, 1))
+
+
 def near(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, least: tuple[int, int] = SIMILAR) -> np.ndarray:
     """Whether pairs may be similar enough, by their estimates."""
     guess, either = estimated(x, y, n, m)
-    asked = least[0] / least[1]
-    return guess >= asked - SIGMAS * np.sqrt(asked * (1 - asked) / np.maximum(either, 1))
+    return guess >= least_estimate(either, least)
 
 
 def _rows(docs: DataFrame, words: int, least: tuple[int, int]) -> DataFrame:
@@ -143,15 +141,15 @@ def _text_hash() -> Column:
 
 
 def _keys(sets: DataFrame) -> DataFrame:
-    """key, node, size and codes of every band, and of the shingles of small sets' prefixes, that a sketch has seen more than once."""
-    schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), *((c, pa.int64()) for c in CODES)])
+    """key, node and size of every band, and of the shingles of small sets' prefixes, that a sketch has seen more than once."""
+    schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("size", pa.int32())])
 
-    def keyed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def keyed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         regs = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, REGISTERS)
         row, key = bands(regs)
         prefixes = [np.frombuffer(p or b"", np.uint64) for p in batch.column(3).to_pylist()]
         n = np.array([len(p) for p in prefixes])
-        return regs, np.concatenate([row, np.repeat(np.arange(len(n)), n)]), np.concatenate([key, *(mixed(p + np.uint64(1)) for p in prefixes)])
+        return np.concatenate([row, np.repeat(np.arange(len(n)), n)]), np.concatenate([key, *(mixed(p + np.uint64(1)) for p in prefixes)])
 
     every = sets.select("node", "size", "regs", "prefix")
     n_keys = (REGISTERS // BAND) * sets.count()
@@ -161,7 +159,7 @@ def _keys(sets: DataFrame) -> DataFrame:
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield records(PARTS_SCHEMA, slot_parts(np.sort(slot_of(keyed(batch)[2])).astype(np.int64), CHUNK))
+                yield records(PARTS_SCHEMA, slot_parts(np.sort(slot_of(keyed(batch)[1])).astype(np.int64), CHUNK))
 
     shared = every.sparkSession.sparkContext.broadcast(merged(every.mapInArrow(partial, PARTS), slots, CHUNK))
 
@@ -169,23 +167,13 @@ def _keys(sets: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            regs, row, key = keyed(batch)
+            row, key = keyed(batch)
             several = in_bits(shared.value, slot_of(key))
             row, key = row[several], key[several]
             node, size = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            codes = codes_of(regs)
-            yield records(schema, [pa.array(key.view(np.int64)), pa.array(node[row]), pa.array(size[row]), *(pa.array(np.ascontiguousarray(codes[row, i])) for i in range(len(CODES)))])
-
-    return every.mapInArrow(emit, f"key long, node long, size int, {', '.join(f'{c} long' for c in CODES)}")
+            yield records(schema, [pa.array(key.view(np.int64)), pa.array(node[row]), pa.array(size[row])])
 
-
-def _codes_apart(x: str, y: str) -> Column:
-    """How many of two sets' codes differ."""
-    total = F.lit(0)
-    for c in CODES:
-        differ = F.col(f"{x}{c}").bitwiseXOR(F.col(f"{y}{c}"))
-        total = total + F.bit_count(differ.bitwiseOR(F.shiftrightunsigned(differ, 1)).bitwiseAND(0x5555555555555555))
-    return total
+    return every.mapInArrow(emit, "key long, node long, size int")
 
 
 def _both(pairs: DataFrame, of: DataFrame, *columns: str) -> DataFrame:
@@ -237,24 +225,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, le
     return saved(_both(pairs, texts, "packed").mapInArrow(compare, "a long, b long"), "similar")
 
 
-def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
-    """The pairs whose sets aren't in one component."""
-    of = lambda end: joined.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
-    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("of_a is null or of_b is null or of_a != of_b").select("a", "b")
-
-
-def _other_pairs(met: DataFrame, joined: DataFrame, least: tuple[int, int], block: int = BLOCK) -> DataFrame:
-    """Pairs of sets that meet in a bucket, may be similar by sizes and codes and aren't in one component."""
-    rows = saved(met.where("several > 2").join(joined, "node", "left").select("key", "node", "size", *CODES, F.coalesce("component", "node").alias("of")), "met")
+def _other_pairs(met: DataFrame, sets: DataFrame, joined: DataFrame, least: tuple[int, int], block: int = BLOCK) -> DataFrame:
+    """Pairs of sets that meet in a bucket, may be similar by sizes and bytes of registers and aren't in one component."""
+    rows = saved(met.where("several > 2").join(joined, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("of")), "met")
     mixed_keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("of").alias("low"), F.max("of").alias("high")).where("low != high")
     rows = rows.join(mixed_keys.select("key", F.ceil(F.col("n") / block).cast("int").alias("cuts")), "key")
+
+    def in_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("node", pa.int64()), ("bytes", pa.binary())])
+        for batch in batches:
+            yield records(schema, [batch.column(0), [bytes_of(np.frombuffer(r, np.uint16)).tobytes() for r in batch.column(1).to_pylist()]])
+
+    rows = rows.join(sets.select("node", "regs").mapInArrow(in_bytes, "node long, bytes binary"), "node")
     # A row of block i goes to the pairs (0, i), ..., (i, i), (i, i + 1), ...: every two rows meet once.
     own = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "size", "of", *CODES)
-    most = max_codes_apart(least)
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "size", "of", "bytes")
     p, q = least
-    ones = np.uint64(0x5555555555555555)
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by (key, i, j, own)."""
@@ -263,19 +250,22 @@ def _other_pairs(met: DataFrame, joined: DataFrame, least: tuple[int, int], bloc
         held = 0
         rest: list[np.ndarray] | None = None
 
-        def bucket(i: int, j: int, own: np.ndarray, node: np.ndarray, size: np.ndarray, of: np.ndarray, *codes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def bucket(i: int, j: int, own: np.ndarray, node: np.ndarray, size: np.ndarray, of: np.ndarray, regs: np.ndarray) -> Iterator[pa.RecordBatch]:
             nonlocal held
-            size, codes = size.astype(np.int64), np.stack(codes, axis=1).view(np.uint64)
+            if (of == of[0]).all():
+                return
+            size, regs = size.astype(np.int64), np.frombuffer(b"".join(regs), np.uint8).reshape(len(regs), -1)
+            filled = regs > 0
             first = int(np.searchsorted(own, i, "right"))  # rows of block i
             for k in range(first):
                 others = slice(k + 1, None) if i == j else slice(first, None)
-                wanted = (of[others] != of[k]) & (q * np.minimum(size[others], size[k]) >= p * np.maximum(size[others], size[k]))
-                at = np.flatnonzero(wanted)
+                at = np.flatnonzero((of[others] != of[k]) & (q * np.minimum(size[others], size[k]) >= p * np.maximum(size[others], size[k])))
                 if not len(at):
                     continue
                 at += others.start
-                differ = codes[at] ^ codes[k]
-                at = at[np.bitwise_count((differ | differ >> np.uint64(1)) & ones).sum(axis=1) <= most]
+                either = (filled[at] | filled[k]).sum(axis=1)
+                equal = ((regs[at] == regs[k]) & filled[k]).sum(axis=1)
+                at = at[equal >= either * least_estimate(either, least)]
                 out[0].append(np.minimum(node[at], node[k]))
                 out[1].append(np.maximum(node[at], node[k]))
                 held += len(at)
@@ -292,9 +282,10 @@ def _other_pairs(met: DataFrame, joined: DataFrame, least: tuple[int, int], bloc
             key, i, j = columns[:3]
             cuts = [0, *(np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1).tolist()]
             for a, b in zip(cuts, cuts[1:], strict=False):
-                yield from bucket(int(i[a]), int(j[a]), *(c[a:b] for c in columns[3:]))
+                if b - a > 1:
+                    yield from bucket(int(i[a]), int(j[a]), *(c[a:b] for c in columns[3:]))
             rest = [c[cuts[-1] :].copy() for c in columns]
-        if rest is not None:
+        if rest is not None and len(rest[0]) > 1:
             yield from bucket(int(rest[1][0]), int(rest[2][0]), *rest[3:])
         if out[0]:
             yield records(schema, [pa.array(np.concatenate(x)) for x in out])
@@ -309,16 +300,17 @@ def linked_sets(docs: DataFrame, rows: DataFrame, words: int = WORDS, least: tup
     of = rows.where("size > 0").groupBy("node").agg(F.min(F.struct("text_hash", "size", "regs", "prefix")).alias("of"))
     sets = saved(of.select("node", "of.*"), "distinct-sets")
     keys = saved(_keys(sets), "keys")
-    hubs = keys.groupBy("key").agg(F.min(F.struct("node", "size", *CODES)).alias("hub"), F.count(F.lit(1)).alias("several")).where("several > 1")
-    hubs = hubs.select("key", "several", F.col("hub.node").alias("hub"), F.col("hub.size").alias("hub_size"), *(F.col(f"hub.{c}").alias(f"hub_{c}") for c in CODES))
+    counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("several")).where("several > 1")
+    met = saved(keys.join(counts, "key"), "met")
+    met = saved(met.join(met.groupBy("node").agg(F.sum("several").alias("weight")), "node"), "meetings")
+    hubs = met.groupBy("key").agg(F.max(F.struct("weight", "node", "size")).alias("hub"))
     p, q = least
-    met = saved(keys.join(hubs, "key"), "meetings")
-    may = (F.col("node") != F.col("hub")) & (q * F.least("size", "hub_size") >= p * F.greatest("size", "hub_size")) & (_codes_apart("", "hub_") <= max_codes_apart(least))
-    first = saved(met.where(may).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs")
+    may = (F.col("node") != F.col("hub.node")) & (q * F.least("size", "hub.size") >= p * F.greatest("size", "hub.size"))
+    first = met.join(hubs, "key").where(may).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+    first = saved(first, "pairs")
     known = _verified(first, sets, docs, words, least)
     joined = connected_components(known)
-    others = _other_pairs(met.select("key", "several", "node", "size", *CODES), joined, least, block).join(first, ["a", "b"], "left_anti")
-    others = saved(others, "pairs")
+    others = saved(_other_pairs(met, sets, joined, least, block).join(first, ["a", "b"], "left_anti"), "pairs")
     if others.limit(1).count():
         joined = connected_components(known.union(_verified(others, sets, docs, words, least)))
     return joined
