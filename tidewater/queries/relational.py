@@ -20,7 +20,8 @@ from .base import ASOF, ENRICHED_SQL, FEATURES_SQL, R4, R6, SCORED_SQL, enriched
 
 @query("src01_latest_bar", f"WITH {TICKS_SQL} SELECT ticker, arg_max(ts, ts * 1000000 + event_id) AS ts, arg_max(close, ts * 1000000 + event_id) AS close, arg_max(volume, ts * 1000000 + event_id) AS volume FROM ticks GROUP BY 1")
 def _(s, d):
-    return ticks(s, d).groupBy("ticker").agg(F.max_by(F.struct("ts", "close", "volume"), F.struct("ts", "event_id")).alias("b")).select("ticker", "b.*")
+    bars = ticks(s, d).select("ticker", F.col("ts").alias("time"), "event_id", "close", "volume")
+    return readers.latest_bar(bars, "event_id").withColumnRenamed("time", "ts")
 
 
 @query("src02_news_items", "SELECT event_id, event_type || ' ' || CAST(user_id AS VARCHAR) AS title, CASE WHEN event_id % 3 = 0 THEN 'wire' WHEN event_id % 3 = 1 THEN 'desk' ELSE 'unknown' END AS publisher FROM events WHERE event_type IN ('error', 'signup') AND event_id % 7 <> 0")
@@ -39,10 +40,13 @@ def _(s, d):
     return rows.select("ticker", "close", F.coalesce("volume", F.lit(-1)).alias("volume"), F.col("_corrupt").isNotNull().alias("corrupt"))
 
 
-@query("src06_ohlcv_scan", f"WITH {TICKS_SQL} SELECT ticker, ts, close AS open, close, volume FROM ticks WHERE ticker IN ('T0', 'T1') UNION ALL SELECT ticker, ts, close AS open, close, volume FROM ticks WHERE ticker = 'T2'")
+@query("src06_ohlcv_scan", f"WITH {TICKS_SQL} SELECT ticker, ts, close AS open, close, volume FROM ticks WHERE ticker IN ('T0', 'T1') AND ts >= 1704153600000 AND ts < 1706140800000 UNION ALL SELECT ticker, ts, close AS open, close, volume FROM ticks WHERE ticker = 'T2'")
 def _(s, d):
-    rows = ticks(s, d).select("ticker", F.col("ts").alias("Datetime"), F.col("close").alias("open"), "close", "volume").withColumnRenamed("Datetime", "ts")
-    return readers.union_bars([rows.where(F.col("ticker").isin("T0", "T1")), rows.where("ticker = 'T2'")])
+    """Bars from a file, by tickers and from one day to another, beside those of another ticker."""
+    path = scratch(s, "bars")
+    ticks(s, d).select("ticker", S.from_epoch_millis("ts").alias("Datetime"), F.col("close").alias("open"), "close", "volume").write.parquet(path)
+    rows = readers.union_bars([readers.ohlcv(s, path, ["T0", "T1"], "2024-01-02", "2024-01-25"), readers.ohlcv(s, path, ["T2"])])
+    return rows.select("ticker", S.to_epoch_millis("timestamp").alias("ts"), "open", "close", "volume")
 
 
 @query("src07_daily_range", f"WITH {BARS_SQL} SELECT * FROM bars WHERE ticker = '1-URGENT' AND day >= 9000 AND day < 9500")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.config import SETTINGS
+from tidewater.functions.scalars import rounded
 from tidewater.schemas import RAW_NEWS, RAW_PRICES, STREAM_FEATURES
 
 T = TypeVar("T")
@@ -57,11 +58,11 @@ def stream_features(values: DataFrame) -> DataFrame:
     return parsed(values, STREAM_FEATURES)
 
 
-def latest_bar(bars: DataFrame) -> DataFrame:
-    """The last bar of every ticker, prices to four digits."""
-    rest = [c for c in bars.columns if c not in ("ticker", "time")]
-    last = bars.groupBy("ticker").agg(F.max_by(F.struct("time", *rest), "time").alias("b"))
-    return last.select("ticker", "b.time", *(F.round(f"b.{c}", 4).alias(c) if c != "volume" else F.col("b.volume").cast("long").alias("volume") for c in rest))
+def latest_bar(bars: DataFrame, tie: str | None = None) -> DataFrame:
+    """The last bar of every ticker, prices to four digits; of bars of one time that with the greatest `tie`, or else the greatest of all by its columns."""
+    rest = [c for c in bars.columns if c not in ("ticker", "time", tie)]
+    last = bars.groupBy("ticker").agg(F.max_by(F.struct("time", *rest), F.struct("time", *([tie] if tie else []), *rest)).alias("b"))
+    return last.select("ticker", "b.time", *(rounded(f"b.{c}", 4).alias(c) if c != "volume" else F.col("b.volume").cast("long").alias("volume") for c in rest))
 
 
 def news_items(raw: DataFrame, column: str = "item") -> DataFrame:
