@@ -84,7 +84,12 @@ def test_injection_is_the_same_again(spark):
     block = inject.inject_drift(a, "T", "window_end").where("anomaly_type = 'subtle_drift'")
     places = sorted(r["window_end"] for r in block.collect())
     assert all((r["price_change_rate"], r["total_volume"], r["avg_sentiment"], r["sentiment_shift"]) == (0.01 + 0.02, 15.0, -0.2, 0.0) for r in block.collect())
-    assert len(places) == 15 and places[-1] - places[0] == 14 and places[0] >= 50
+    assert len(places) == inject.drift_length("T") == places[-1] - places[0] + 1 and places[0] >= 50
+
+
+def test_lengths_of_drift_blocks():
+    drawn = {inject.drift_length(f"T{k}") for k in range(300)}
+    assert drawn == set(range(10, 21)) and inject.drift_length("T1", 1) == inject.drift_length("T1", 1)
 
 
 def test_positions(spark):

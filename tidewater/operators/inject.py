@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from random import Random
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,8 +51,14 @@ def inject_points(df: DataFrame, rate: float = SETTINGS.injection_rate, seed: in
     )
 
 
-def inject_drift(df: DataFrame, ticker: str, order: str, length: int = 15) -> DataFrame:
-    """A block of `length` rows of a ticker is shifted: the first one free of other anomalies from the ticker's middle on; none if there is none."""
+def drift_length(ticker: str, seed: int = SETTINGS.seed) -> int:
+    """10 to 20 rows, drawn from the seed and the ticker."""
+    return Random(f"{seed} {ticker}").randint(10, 20)
+
+
+def inject_drift(df: DataFrame, ticker: str, order: str, length: int | None = None) -> DataFrame:
+    """A block of `length` rows of a ticker (`drift_length` by default) is shifted: the first one free of other anomalies from the ticker's middle on; none if there is none."""
+    length = length or drift_length(ticker)
     w = Window.partitionBy("ticker").orderBy(order)
     rows = df.withColumns({"_rn": F.row_number().over(w) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy("ticker"))})
     ahead = w.rowsBetween(0, length - 1)

@@ -233,7 +233,7 @@ def _(s, d):
     return injected(s, d).select("ticker", "window_end", *FEATURES, "anomaly_type")
 
 
-@query("evl08_drift_block", f"WITH {ENRICHED_SQL} SELECT ticker, window_end, hit, CASE WHEN hit THEN price_change_rate + 0.02::DOUBLE ELSE price_change_rate END AS price_change_rate, CASE WHEN hit THEN total_volume * 1.5::DOUBLE ELSE CAST(total_volume AS DOUBLE) END AS total_volume, CASE WHEN hit THEN avg_sentiment - 0.2::DOUBLE ELSE avg_sentiment END AS avg_sentiment, CAST(sentiment_shift AS DOUBLE) AS sentiment_shift FROM (SELECT *, r >= n // 2 AND r < n // 2 + 15 AND ticker = 'T1' AS hit FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY window_end) - 1 AS r, count(*) OVER (PARTITION BY ticker) AS n FROM enriched))")
+@query("evl08_drift_block", f"WITH {ENRICHED_SQL} SELECT ticker, window_end, hit, CASE WHEN hit THEN price_change_rate + 0.02::DOUBLE ELSE price_change_rate END AS price_change_rate, CASE WHEN hit THEN total_volume * 1.5::DOUBLE ELSE CAST(total_volume AS DOUBLE) END AS total_volume, CASE WHEN hit THEN avg_sentiment - 0.2::DOUBLE ELSE avg_sentiment END AS avg_sentiment, CAST(sentiment_shift AS DOUBLE) AS sentiment_shift FROM (SELECT *, r >= n // 2 AND r < n // 2 + {inject.drift_length('T1')} AND ticker = 'T1' AS hit FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY window_end) - 1 AS r, count(*) OVER (PARTITION BY ticker) AS n FROM enriched))")
 def _(s, d):
     rows = enriched(s, d).withColumns({"total_volume": F.col("total_volume").cast("double"), "anomaly_type": F.lit(None).cast("string")})
     return inject.inject_drift(rows, "T1", "window_end").select("ticker", "window_end", F.col("anomaly_type").isNotNull().alias("hit"), *FEATURES)
