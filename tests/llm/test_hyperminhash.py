@@ -100,8 +100,6 @@ def test_estimates_are_near_and_corrected_for_accidents():
         assert abs(guess.mean() - shared / (4000 - shared)) < 0.012 and (either == 128).all()
         if shared == 1778:  # 0.8
             assert hyperminhash.near(x, y, n, n).all()
-            bytes_equal = ((b := hyperminhash.bytes_of(x)) == hyperminhash.bytes_of(y)).sum(axis=1)
-            assert (b > 0).all() and (bytes_equal >= (x == y).sum(axis=1)).all()
         if not shared:
             assert not hyperminhash.near(x, y, n, n).any()
     # Few bits of mantissa make accidents common: their number follows the closed form.
@@ -114,5 +112,36 @@ def test_estimates_are_near_and_corrected_for_accidents():
 def test_bands_of_empty_registers_are_no_keys():
     regs = np.zeros((2, 128), np.uint16)
     regs[1, 5] = 9
-    row, key = hyperminhash.bands(regs)
-    assert row.tolist() == [1] and len(key) == 1
+    row, band, key = hyperminhash.bands(regs)
+    assert row.tolist() == [1] and band.tolist() == [1] and len(key) == 1
+
+
+@pytest.mark.parametrize("columns", [1024, 3])
+def test_links_of_a_bucket_join_what_all_links_join(monkeypatch, columns):
+    monkeypatch.setattr(hyperminhash, "COLUMNS", columns)
+    rng = random.Random(columns)
+    base = [rng.sample(range(400), 60) for _ in range(4)]
+    sets = []
+    for _ in range(70):
+        s = rng.choice(base)[:]
+        for k in rng.sample(range(60), rng.choice([0, 2, 4, 7, 12])):
+            s[k] = 1000 + rng.randrange(10_000)
+        sets.append(np.unique(np.array(s, np.uint64)))
+    of = np.array([rng.randrange(200) for _ in sets])
+    similar = lambda a, b: 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b])) and of[a] != of[b]
+    links = hyperminhash.spanning_links(sets, of)
+    assert links and all(similar(a, b) for a, b in links) and len(links) < len(sets)
+    known = {frozenset(x) for x in links}
+    everyone = list(range(len(sets)))
+    assert reachable(everyone, similar) == reachable(everyone, lambda a, b: frozenset((a, b)) in known)
+
+
+def test_partners_are_looked_at_in_the_first_band_that_they_share():
+    rng = np.random.default_rng(3)
+    sets = random_sets(rng, 900, 850)
+    regs = np.stack([hyperminhash.registers(s) for s in sets])
+    both = np.flatnonzero((regs[0] == regs[1])[:126].reshape(42, 3).all(axis=1)).tolist()
+    looked = [b for b in both if hyperminhash.with_partners(b, 0, 0, np.zeros(2, int), np.array([900, 900]), np.array([1, 2]), regs, (4, 5)).all()]
+    assert len(both) > 10 and looked == both[:1]
+    assert hyperminhash.with_partners(hyperminhash.NO_BAND, 0, 0, np.zeros(2, int), np.array([900, 900]), np.array([1, 2]), regs, (4, 5)).all()
+    assert not hyperminhash.with_partners(both[0], 0, 0, np.zeros(2, int), np.array([900, 900]), np.array([1, 1]), regs, (4, 5)).any()

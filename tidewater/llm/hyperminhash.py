@@ -11,10 +11,12 @@ ones the share that equal by accident (a closed form of the two sizes) is taken
 more than `SIGMAS` deviations below what is asked.  Then the whole sets decide.
 
 Large classes: a set is compared with one of every bucket first, the one that meets most others in all its buckets: what
-near copies were copied from is in the most.  After that only sets of a bucket that aren't in one component are compared, by
-a byte of every register before any pair is written, and buckets of more than `BLOCK` sets are dealt out in pairs of blocks,
-each of which is a task's group, so that no task holds more than two blocks.  Equal sets count as one, copies cost nothing.
-No pair is dropped but by the bounds above, and links are complete up to their probabilities.
+near copies were copied from is in the most.  After that only sets of a bucket that aren't in one component are compared,
+and no pair of them is ever written: a task finds the members of a bucket that have a likely partner in it with which they
+share no earlier band, the members get their texts, and a task that has all of a bucket's counts what they share in one
+product of matrices and hands on no more links than join them.  Buckets of more than `BLOCK` sets, or of more than
+`BLOCK_SHINGLES` shingles, are dealt out in pairs of blocks, so that no task holds more than two blocks.  Equal sets count as
+one, copies cost nothing.  No pair is dropped but by the bounds above, and links are complete up to their probabilities.
 
 Lower-casing and splitting touch ASCII only.  Texts with fewer words than a shingle make one; null, empty and white texts
 have no set and are linked with nothing.  A null doc_id is larger than all others; a class of such rows has a null
@@ -45,8 +47,10 @@ REGISTERS = 1 << BITS
 SMALL = 40
 #: Deviations below the asked similarity that an estimate may be.
 SIGMAS = 6
-#: Sets of a bucket that meet in one block; pairs that a task gathers before it hands them on.
-BLOCK, PAIRS = 2048, 1 << 15
+#: Sets, and shingles, of a bucket that meet in one block; shingles that are counted at a time.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 2048, 1 << 20, 1024
+#: Stands for the band of keys that are shingles.
+NO_BAND = 127
 #: Slots of the sketch of keys for each key, and at most; with fewer more keys are shuffled.
 SLOTS, MAX_BITS = 4, 1 << 30
 
@@ -71,20 +75,15 @@ def registers(every: np.ndarray) -> np.ndarray:
     return np.where(filled, (zeros << MANTISSA | mantissa) + 1, 0).astype(np.uint16)
 
 
-def bytes_of(regs: np.ndarray) -> np.ndarray:
-    """A byte of every register: 0 for an empty one, else one of 255, equal for equal registers."""
-    return np.where(regs > 0, regs % 255 + 1, 0).astype(np.uint8)
-
-
-def bands(regs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of all bands of some sets' registers that aren't empty."""
+def bands(regs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, band, key) of all bands of some sets' registers that aren't empty."""
     n = REGISTERS // BAND
     parts = regs[:, : n * BAND].reshape(len(regs), n, BAND).astype(np.uint64)
     key = np.arange(1, n + 1, dtype=np.uint64)[None, :].repeat(len(regs), 0)
     for k in range(BAND):
         key = mixed(key * np.uint64(0xD6E8FEB86659FD93) + parts[:, :, k])
     row, band = np.nonzero(parts.any(axis=2))
-    return row, key[row, band]
+    return row, band, key[row, band]
 
 
 def by_accident(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -141,15 +140,15 @@ def _text_hash() -> Column:
 
 
 def _keys(sets: DataFrame) -> DataFrame:
-    """key, node and size of every band, and of the shingles of small sets' prefixes, that a sketch has seen more than once."""
-    schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("size", pa.int32())])
+    """key, band, node and size of every band, and of the shingles of small sets' prefixes, that a sketch has seen more than once."""
+    schema = pa.schema([("key", pa.int64()), ("band", pa.int8()), ("node", pa.int64()), ("size", pa.int32())])
 
-    def keyed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    def keyed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         regs = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        row, key = bands(regs)
+        row, band, key = bands(regs)
         prefixes = [np.frombuffer(p or b"", np.uint64) for p in batch.column(3).to_pylist()]
         n = np.array([len(p) for p in prefixes])
-        return np.concatenate([row, np.repeat(np.arange(len(n)), n)]), np.concatenate([key, *(mixed(p + np.uint64(1)) for p in prefixes)])
+        return np.concatenate([row, np.repeat(np.arange(len(n)), n)]), np.concatenate([band, np.full(n.sum(), NO_BAND)]), np.concatenate([key, *(mixed(p + np.uint64(1)) for p in prefixes)])
 
     every = sets.select("node", "size", "regs", "prefix")
     n_keys = (REGISTERS // BAND) * sets.count()
@@ -159,7 +158,7 @@ def _keys(sets: DataFrame) -> DataFrame:
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield records(PARTS_SCHEMA, slot_parts(np.sort(slot_of(keyed(batch)[1])).astype(np.int64), CHUNK))
+                yield records(PARTS_SCHEMA, slot_parts(np.sort(slot_of(keyed(batch)[2])).astype(np.int64), CHUNK))
 
     shared = every.sparkSession.sparkContext.broadcast(merged(every.mapInArrow(partial, PARTS), slots, CHUNK))
 
@@ -167,13 +166,13 @@ def _keys(sets: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            row, key = keyed(batch)
+            row, band, key = keyed(batch)
             several = in_bits(shared.value, slot_of(key))
-            row, key = row[several], key[several]
+            row, band, key = row[several], band[several], key[several]
             node, size = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            yield records(schema, [pa.array(key.view(np.int64)), pa.array(node[row]), pa.array(size[row])])
+            yield records(schema, [pa.array(key.view(np.int64)), pa.array(band.astype(np.int8)), pa.array(node[row]), pa.array(size[row])])
 
-    return every.mapInArrow(emit, "key long, node long, size int")
+    return every.mapInArrow(emit, "key long, band byte, node long, size int")
 
 
 def _both(pairs: DataFrame, of: DataFrame, *columns: str) -> DataFrame:
@@ -185,6 +184,24 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
 
 
+def _packed_texts(nodes: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """node and its text, packed."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("node", pa.int64()), ("packed", pa.binary())])
+        for batch in batches:
+            yield records(schema, [batch.column(0), [zlib.compress((t or "").encode("utf-8", "surrogatepass"), 1) for t in batch.column(1).to_pylist()]])
+
+    of = saved(sets.join(nodes, "node", "left_semi").select("node", "text_hash"), "wanted")
+    hashed = docs.select("text", _text_hash().alias("text_hash"))
+    texts = marked(hashed, marks(of, "text_hash"), "text_hash").join(of, "text_hash").select("node", "text").dropDuplicates(["node"])
+    return saved(texts.mapInArrow(pack, "node long, packed binary"), "packed")
+
+
+def _unpacked(packed: bytes, words: int, hashes: dict) -> np.ndarray:
+    return set_of(zlib.decompress(packed).decode("utf-8", "surrogatepass"), words, hashes)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, least: tuple[int, int]) -> DataFrame:
     """Of (a, b) pairs of sets those that are similar: by their registers, then by their texts, which are shuffled packed."""
     pair_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -197,102 +214,133 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, le
                 good = pa.array(near(*regs, n.to_numpy(), m.to_numpy(), least))
                 yield records(pair_schema, [a.filter(good), b.filter(good)])
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("node", pa.int64()), ("packed", pa.binary())])
-        for batch in batches:
-            yield records(schema, [batch.column(0), [zlib.compress((t or "").encode("utf-8", "surrogatepass"), 1) for t in batch.column(1).to_pylist()]])
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
-        whole_set = lambda packed: set_of(zlib.decompress(packed).decode("utf-8", "surrogatepass"), words, hashes)
         for batch in batches:
             a, b, x, y = (c.to_pylist() for c in batch.columns)
             last, known = None, np.empty(0, np.uint64)
             good = []
             for i in range(len(a)):
                 if x[i] != last:
-                    last, known = x[i], whole_set(x[i])
-                if similar(known, whole_set(y[i]), least):
+                    last, known = x[i], _unpacked(x[i], words, hashes)
+                if similar(known, _unpacked(y[i], words, hashes), least):
                     good.append(i)
             yield records(pair_schema, [[a[i] for i in good], [b[i] for i in good]])
 
     pairs = saved(_both(pairs, sets, "size", "regs").mapInArrow(estimate, "a long, b long"), "pairs")
-    ends = _ends(pairs)
-    of = saved(sets.join(ends, "node", "left_semi").select("node", "text_hash"), "wanted")
-    hashed = docs.select("text", _text_hash().alias("text_hash"))
-    texts = marked(hashed, marks(of, "text_hash"), "text_hash").join(of, "text_hash").select("node", "text").dropDuplicates(["node"])
-    texts = saved(texts.mapInArrow(pack, "node long, packed binary"), "packed")
+    texts = _packed_texts(_ends(pairs), sets, docs)
     return saved(_both(pairs, texts, "packed").mapInArrow(compare, "a long, b long"), "similar")
 
 
-def _other_pairs(met: DataFrame, sets: DataFrame, joined: DataFrame, least: tuple[int, int], block: int = BLOCK) -> DataFrame:
-    """Pairs of sets that meet in a bucket, may be similar by sizes and bytes of registers and aren't in one component."""
-    rows = saved(met.where("several > 2").join(joined, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("of")), "met")
-    mixed_keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("of").alias("low"), F.max("of").alias("high")).where("low != high")
-    rows = rows.join(mixed_keys.select("key", F.ceil(F.col("n") / block).cast("int").alias("cuts")), "key")
-
-    def in_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("node", pa.int64()), ("bytes", pa.binary())])
-        for batch in batches:
-            yield records(schema, [batch.column(0), [bytes_of(np.frombuffer(r, np.uint16)).tobytes() for r in batch.column(1).to_pylist()]])
-
-    rows = rows.join(sets.select("node", "regs").mapInArrow(in_bytes, "node long, bytes binary"), "node")
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """The columns of each run of rows that agree in the first so many columns; rows come sorted by them, and a run may go on in the next batch."""
+    rest: list[np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if rest is not None:
+            columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
+        new = np.any([np.diff(c) != 0 for c in columns[:keys]], axis=0)
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist()]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield [c[a:b] for c in columns]
+        rest = [c[cuts[-1] :].copy() for c in columns]
+    if rest is not None:
+        yield rest
+
+
+def with_partners(band: int, i: int, j: int, own: np.ndarray, size: np.ndarray, of: np.ndarray, regs: np.ndarray, least: tuple[int, int]) -> np.ndarray:
+    """Which sets of a block pair of a bucket have one there that may be similar, is of another component and shares no band before."""
+    p, q = least
+    found = np.zeros(len(own), bool)
+    first = int(np.searchsorted(own, i, "right"))  # rows of block i
+    filled, n_bands = regs > 0, REGISTERS // BAND
+    for k in range(first):
+        start = k + 1 if i == j else first
+        at = np.flatnonzero((of[start:] != of[k]) & (q * np.minimum(size[start:], size[k]) >= p * np.maximum(size[start:], size[k]))) + start
+        if not len(at):
+            continue
+        same = (regs[at] == regs[k]) & filled[k]
+        either = (filled[at] | filled[k]).sum(axis=1)
+        good = same.sum(axis=1) >= either * least_estimate(either, least)
+        at, same = at[good], same[good]
+        if len(at) and band < NO_BAND and band:
+            # A band is shared where its registers are equal, be they empty or not, and one isn't empty.
+            equal = (regs[at, : band * BAND] == regs[k, : band * BAND]).reshape(len(at), -1, BAND).all(axis=2)
+            at = at[~(equal & same[:, : n_bands * BAND].reshape(len(at), n_bands, BAND)[:, :band].any(axis=2)).any(axis=1)]
+        if len(at):
+            found[k] = True
+            found[at] = True
+    return found
+
+
+def spanning_links(sets: list[np.ndarray], of: np.ndarray, least: tuple[int, int] = SIMILAR) -> list[tuple[int, int]]:
+    """Links (by index) between similar sets of different components, as few as join what all of them join.
+
+    What two sets share is counted in products of matrices of sets by shingles, so many shingles at a time.
+    """
+    p, q = least
+    n = np.array([len(s) for s in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), n)
+    shared = times[column] > 1
+    row, column = row[shared], (np.cumsum(times > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)  # whole numbers below 2**24
+    for k in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (k, k + COLUMNS))
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[row[a:b], column[a:b] - k] = 1
+        both += part @ part.T
+    linked = ((p + q) * both >= p * (n[:, None] + n[None, :])) & (of[:, None] != of[None, :])
+    out, left = [], np.ones(len(sets), bool)
+    for start in range(len(sets)):
+        front = [start] if left[start] else []
+        left[start] = False
+        while front:
+            k = front.pop()
+            near_k = np.flatnonzero(linked[k] & left)
+            left[near_k] = False
+            out += [(k, x) for x in near_k.tolist()]
+            front += near_k.tolist()
+    return out
+
+
+def _other_links(met: DataFrame, sets: DataFrame, joined: DataFrame, docs: DataFrame, words: int, least: tuple[int, int], block: int = BLOCK) -> DataFrame:
+    """Links between sets that meet in a bucket, are similar and aren't in one component, enough to join what all join."""
+    rows = saved(met.where("several > 2").join(joined, "node", "left").select("key", "band", "node", "size", F.coalesce("component", "node").alias("of")), "met")
+    mixed_keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"), F.min("of").alias("low"), F.max("of").alias("high")).where("low != high")
+    cuts = F.ceil(F.greatest(F.col("n") / block, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    rows = rows.join(mixed_keys.select("key", cuts.alias("cuts")), "key").join(sets.select("node", "regs"), "node")
     # A row of block i goes to the pairs (0, i), ..., (i, i), (i, i + 1), ...: every two rows meet once.
     own = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "size", "of", "bytes")
-    p, q = least
-
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by (key, i, j, own)."""
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        out: list[list[np.ndarray]] = [[], []]
-        held = 0
-        rest: list[np.ndarray] | None = None
-
-        def bucket(i: int, j: int, own: np.ndarray, node: np.ndarray, size: np.ndarray, of: np.ndarray, regs: np.ndarray) -> Iterator[pa.RecordBatch]:
-            nonlocal held
-            if (of == of[0]).all():
-                return
-            size, regs = size.astype(np.int64), np.frombuffer(b"".join(regs), np.uint8).reshape(len(regs), -1)
-            filled = regs > 0
-            first = int(np.searchsorted(own, i, "right"))  # rows of block i
-            for k in range(first):
-                others = slice(k + 1, None) if i == j else slice(first, None)
-                at = np.flatnonzero((of[others] != of[k]) & (q * np.minimum(size[others], size[k]) >= p * np.maximum(size[others], size[k])))
-                if not len(at):
-                    continue
-                at += others.start
-                either = (filled[at] | filled[k]).sum(axis=1)
-                equal = ((regs[at] == regs[k]) & filled[k]).sum(axis=1)
-                at = at[equal >= either * least_estimate(either, least)]
-                out[0].append(np.minimum(node[at], node[k]))
-                out[1].append(np.maximum(node[at], node[k]))
-                held += len(at)
-                if held > PAIRS:
-                    yield records(schema, [pa.array(np.concatenate(x)) for x in out])
-                    out[0], out[1], held = [], [], 0
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if rest is not None:
-                columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
-            key, i, j = columns[:3]
-            cuts = [0, *(np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1).tolist()]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if b - a > 1:
-                    yield from bucket(int(i[a]), int(j[a]), *(c[a:b] for c in columns[3:]))
-            rest = [c[cuts[-1] :].copy() for c in columns]
-        if rest is not None and len(rest[0]) > 1:
-            yield from bucket(int(rest[1][0]), int(rest[2][0]), *rest[3:])
-        if out[0]:
-            yield records(schema, [pa.array(np.concatenate(x)) for x in out])
-
-    n = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ("key", "i", "j")
-    return rows.repartition(n, *order).sortWithinPartitions(*order, "own").mapInArrow(pair, "a long, b long").distinct()
+    place = ("key", "i", "j")
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "node", "size", "of", "regs")
+    shuffles = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("node", pa.int64()), ("of", pa.int64())])
+        for key, i, j, own, band, node, size, of, regs in _groups(batches, 3):
+            if len(key) > 1 and (of != of[0]).any():
+                whole = np.frombuffer(b"".join(regs), np.uint16).reshape(len(regs), -1)
+                at = with_partners(int(band[0]), int(i[0]), int(j[0]), own, size.astype(np.int64), of, whole, least)
+                if at.any():
+                    yield records(schema, [pa.array(np.ascontiguousarray(c[at])) for c in (key, i, j, node, of)])
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, hashes = pa.schema([("a", pa.int64()), ("b", pa.int64())]), _Hashes()
+        for _, _, _, node, of, packed in _groups(batches, 3):
+            links = spanning_links([_unpacked(x, words, hashes) for x in packed], of, least)
+            yield records(schema, [[int(node[a]) for a, _ in links], [int(node[b]) for _, b in links]])
+
+    found = rows.repartition(shuffles, *place).sortWithinPartitions(*place, "own").mapInArrow(members, "key long, i int, j int, node long, of long")
+    found = saved(found, "members")
+    texts = _packed_texts(found.select("node").distinct(), sets, docs)
+    rows = found.join(texts, "node").select(*place, "node", "of", "packed")
+    return saved(rows.repartition(shuffles, *place).sortWithinPartitions(*place).mapInArrow(link, "a long, b long").distinct(), "links")
 
 
 def linked_sets(docs: DataFrame, rows: DataFrame, words: int = WORDS, least: tuple[int, int] = SIMILAR, block: int = BLOCK) -> DataFrame:
@@ -310,10 +358,8 @@ def linked_sets(docs: DataFrame, rows: DataFrame, words: int = WORDS, least: tup
     first = saved(first, "pairs")
     known = _verified(first, sets, docs, words, least)
     joined = connected_components(known)
-    others = saved(_other_pairs(met, sets, joined, least, block).join(first, ["a", "b"], "left_anti"), "pairs")
-    if others.limit(1).count():
-        joined = connected_components(known.union(_verified(others, sets, docs, words, least)))
-    return joined
+    others = _other_links(met, sets, joined, docs, words, least, block)
+    return connected_components(known.union(others)) if others.limit(1).count() else joined
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, least: tuple[int, int] = SIMILAR, block: int = BLOCK) -> DataFrame:
