@@ -24,7 +24,7 @@ def changed(rng, text, n):
 
 @pytest.mark.parametrize("common", [8, 2])
 def test_near_copies_at_four_fifths(spark, monkeypatch, common):
-    """Every pair with 0.8 of its five-word shingles in common is linked, and none below (but by SimHash)."""
+    """Every pair with 0.8 of its five-word shingles in common is linked, and none below."""
     monkeypatch.setattr(similar, "COMMON", common)
     rng = random.Random(3)
     rows = odd_rows()
@@ -32,7 +32,7 @@ def test_near_copies_at_four_fifths(spark, monkeypatch, common):
         base = words(rng, rng.choice([30, 90, 300]))
         rows += [(1000 + 20 * k + i, changed(rng, base, rng.choice([0, 1, 2, len(base.split()) // 40, len(base.split()) // 20]))) for i in range(12)]
     sets, fps = [plain_set(t) for _, t in rows], [plain_fingerprint(t) for _, t in rows]
-    near = lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 3 or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    near = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
     label = reachable(list(range(len(rows))), near)
     least = [min((i for (i, _), m in zip(rows, label, strict=True) if m == k and i is not None), default=None) for k in set(label)]
     kept = similar.keep_one_of_similar(frame(spark, rows))
@@ -53,3 +53,10 @@ def test_the_stage_takes_out_near_copies(spark):
     base = words(rng, 300)
     rows = [(1, base), (2, changed(rng, base, 6)), (3, words(rng, 300))]
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, frame(spark, rows), "").collect()) == [1, 3]
+
+
+def test_short_texts_that_are_not_similar_stay(spark):
+    """SimHashes of short texts are often near by chance: of 4,000 texts of 11 words that share 0.4 of their shingles all stay."""
+    rng = random.Random(9)
+    rows = [(i, " ".join([f"common{k}" for k in range(8)] + [f"own{rng.random()}" for _ in range(3)])) for i in range(4000)]
+    assert similar.keep_one_of_similar(frame(spark, rows)).count() == 4000

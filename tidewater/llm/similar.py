@@ -8,7 +8,7 @@ and what is left is verified on the whole sets.  Shingles that many documents of
 that boilerplate makes no large buckets; the sample changes the order only, not what is found.
 
 Large classes: first each set is compared with one of the bucket, its likely middle, then what that hasn't joined pair by pair.
-Equal sets count as one.  A class is whatever SimHash or the similarity joins.
+Equal sets count as one.  A class is whatever the similarity joins: SimHash's pairs are verified too.
 
 Shingles, and sets, are told apart by 64-bit hashes.  Lower-casing and splitting touch ASCII only.  Fewer than five words
 make one shingle; null, empty and white texts are all the same.
@@ -303,8 +303,8 @@ def _other_pairs(meetings: DataFrame, joined: DataFrame, least: tuple[int, int])
 def keep_one_of_similar(docs: DataFrame, words: int = WORDS, least: tuple[int, int] = SIMILAR, radius: int = RADIUS) -> DataFrame:
     """Of each class of near-copies one document, that with the smallest doc_id (and then hash of its text).
 
-    Linked are documents whose SimHash is within `radius` bits, and those with a similarity of `least` (p, q) or more over
-    shingles of `words` words.  A null doc_id is larger than all others.  Different texts under one doc_id are documents of
+    Linked are documents with a similarity of `least` (p, q) or more over shingles of `words` words; what SimHash finds within
+    `radius` bits is verified like all else.  A null doc_id is larger than all others.  Different texts under one doc_id are documents of
     their own; of equal rows one stays.
     """
     common = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, words))
@@ -314,7 +314,8 @@ def keep_one_of_similar(docs: DataFrame, words: int = WORDS, least: tuple[int, i
     end = lambda name: of_fp.select(F.col("fp").alias(name), F.col("least").alias(f"{name}_node"))
     by_bits = links(of_fp, radius).join(end("a"), "a").join(end("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
     same_bits = rows.select("fp", "node").distinct().join(of_fp, "fp").where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    known = saved(by_bits.union(same_bits), "links")
+    near_bits = by_bits.union(same_bits).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    known = _verified(saved(near_bits, "pairs"), rows, keyed, common, words, least)
     joined = connected_components(known).select("node", "component")
     meetings = saved(_meetings(rows, least), "meetings")
     first = meetings.where("with != node").select(F.least("node", "with").alias("a"), F.greatest("node", "with").alias("b")).distinct()
