@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, marked, marks, records, saved
+from .common import blocks, drop_saved, marked, marks, records, saved
 from .components import connected_components
 from .similar import _Hashes, node_of, shingles, similar
 from .substrings import CHUNK, PARTS, PARTS_SCHEMA, in_bits, merged, mixed, slot_parts
@@ -229,7 +229,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, le
 
     pairs = saved(_both(pairs, sets, "size", "regs").mapInArrow(estimate, "a long, b long"), "pairs")
     texts = _packed_texts(_ends(pairs), sets, docs)
-    return saved(_both(pairs, texts, "packed").mapInArrow(compare, "a long, b long"), "similar")
+    out = saved(_both(pairs, texts, "packed").mapInArrow(compare, "a long, b long"), "similar")
+    drop_saved(pairs, texts)
+    return out
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
@@ -310,7 +312,7 @@ def spanning_links(sets: list[np.ndarray], of: np.ndarray, least: tuple[int, int
 
 def _other_links(met: DataFrame, sets: DataFrame, joined: DataFrame, docs: DataFrame, words: int, least: tuple[int, int], block: int = BLOCK) -> DataFrame:
     """Links between sets that meet in a bucket, are similar and aren't in one component, enough to join what all join."""
-    rows = saved(met.where("several > 2").join(joined, "node", "left").select("key", "band", "node", "size", F.coalesce("component", "node").alias("of")), "met")
+    rows = stored = saved(met.where("several > 2").join(joined, "node", "left").select("key", "band", "node", "size", F.coalesce("component", "node").alias("of")), "met")
     mixed_keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"), F.min("of").alias("low"), F.max("of").alias("high")).where("low != high")
     cuts = F.ceil(F.greatest(F.col("n") / block, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     rows = rows.join(mixed_keys.select("key", cuts.alias("cuts")), "key").join(sets.select("node", "regs"), "node")
@@ -338,9 +340,12 @@ def _other_links(met: DataFrame, sets: DataFrame, joined: DataFrame, docs: DataF
 
     found = rows.repartition(shuffles, *place).sortWithinPartitions(*place, "own").mapInArrow(members, "key long, i int, j int, node long, of long")
     found = saved(found, "members")
+    drop_saved(stored)
     texts = _packed_texts(found.select("node").distinct(), sets, docs)
     rows = found.join(texts, "node").select(*place, "node", "of", "packed")
-    return saved(rows.repartition(shuffles, *place).sortWithinPartitions(*place).mapInArrow(link, "a long, b long").distinct(), "links")
+    out = saved(rows.repartition(shuffles, *place).sortWithinPartitions(*place).mapInArrow(link, "a long, b long").distinct(), "links")
+    drop_saved(found, texts)
+    return out
 
 
 def linked_sets(docs: DataFrame, rows: DataFrame, words: int = WORDS, least: tuple[int, int] = SIMILAR, block: int = BLOCK) -> DataFrame:
@@ -350,7 +355,10 @@ def linked_sets(docs: DataFrame, rows: DataFrame, words: int = WORDS, least: tup
     keys = saved(_keys(sets), "keys")
     counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("several")).where("several > 1")
     met = saved(keys.join(counts, "key"), "met")
-    met = saved(met.join(met.groupBy("node").agg(F.sum("several").alias("weight")), "node"), "meetings")
+    drop_saved(keys)
+    weighed = saved(met.join(met.groupBy("node").agg(F.sum("several").alias("weight")), "node"), "meetings")
+    drop_saved(met)
+    met = weighed
     hubs = met.groupBy("key").agg(F.max(F.struct("weight", "node", "size")).alias("hub"))
     p, q = least
     may = (F.col("node") != F.col("hub.node")) & (q * F.least("size", "hub.size") >= p * F.greatest("size", "hub.size"))
@@ -359,6 +367,7 @@ def linked_sets(docs: DataFrame, rows: DataFrame, words: int = WORDS, least: tup
     known = _verified(first, sets, docs, words, least)
     joined = connected_components(known)
     others = _other_links(met, sets, joined, docs, words, least, block)
+    drop_saved(met, first)
     return connected_components(known.union(others)) if others.limit(1).count() else joined
 
 
