@@ -60,3 +60,20 @@ def test_short_texts_that_are_not_similar_stay(spark):
     rng = random.Random(9)
     rows = [(i, " ".join([f"common{k}" for k in range(8)] + [f"own{rng.random()}" for _ in range(3)])) for i in range(4000)]
     assert similar.keep_one_of_similar(frame(spark, rows)).count() == 4000
+
+
+def test_every_document_is_counted_for_the_order(spark):
+    """A passage in one of a hundred documents comes last, wherever in the table it is: here, in no document that one in three, by hash, would draw."""
+    texts = [f"a{i} b{i} c{i} d{i} e{i} f{i} g{i} h{i} i{i} j{i} k{i} l{i}" for i in range(40_010)]
+    docs = frame(spark, list(enumerate(texts)))
+    drawn = {r["doc_id"] for r in docs.selectExpr("doc_id", "pmod(xxhash64(concat(text, ' and terms of use are here'), 1), 3) as k").where("k = 0").collect()}
+    at = [i for i in range(len(texts)) if i not in drawn][:400]
+    for i in at:
+        texts[i] += " and terms of use are here"
+    docs = frame(spark, list(enumerate(texts)))
+    common = spark.sparkContext.broadcast(similar._common_shingles(docs, similar.WORDS))
+    key = similar.shingles("terms of use are here")[0]
+    rows = similar._rows(similar.with_row_key(docs), common, similar.WORDS, similar.SIMILAR).where("size = 14")
+    prefixes = [similar.np.frombuffer(r["prefix"], similar.np.uint64) for r in rows.collect()]
+    assert len(prefixes) == 400
+    assert not any(key in p for p in prefixes)

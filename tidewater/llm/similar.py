@@ -4,8 +4,9 @@ SimHash links, by ball hashing, what differs in few bits.  Of what is left, two
 more share an element among the first n - ceil(p n / q) + 1 of each, in any order that is the same for all.  Those
 prefixes meet by shingle: a sketch of one bit a slot tells which shingles may be in two of them, and only those are
 shuffled.  Of two sets that meet, first their sizes and places and then their whole prefixes bound what they can share,
-and what is left is verified on the whole sets.  Shingles that many documents of a sample have come last in the order, so
-that boilerplate makes no large buckets; the sample changes the order only, not what is found.
+and what is left is verified on the whole sets.  Shingles that many documents have come last in the order, so that
+boilerplate makes no large buckets.  All documents are counted, in a fixed number of slots: no shingle is counted too low,
+and rare ones that share a slot with a frequent one come last with it, which changes the order only, not what is found.
 
 Large classes: first each set is compared with one of the bucket, its likely middle, then what that hasn't joined pair by pair.
 Equal sets count as one.  A class is whatever the similarity joins: SimHash's pairs are verified too.
@@ -31,10 +32,10 @@ from .simhash import RADIUS, fingerprint, links
 from .substrings import CHUNK, PARTS, PARTS_SCHEMA, in_bits, merged, mixed, slot_parts
 
 WORDS, SIMILAR = 5, (4, 5)
-#: Documents in the sample for the order, and how many of them a shingle of the end of it is in.
-SAMPLE, COMMON = 20_000, 8
-#: Shingles at the end of the order at most, the most frequent.
-MAX_COMMON = 1 << 20
+#: A slot is at the end of the order if it is met by one in RARE documents and COMMON at least, over the mean of all slots.
+COMMON, RARE = 8, 2_500
+#: Slots in which the documents of each shingle are counted, and how many go together.
+COUNTERS, COUNTERS_TOGETHER = 1 << 22, 1 << 17
 #: Slots of the sketch for each shingle of a prefix, and at most; with fewer more shingles are shuffled.
 SLOTS, MAX_BITS = 4, 1 << 30
 #: Rows of buckets, or pairs, that a task gathers before it hands them on; words and sets that it remembers.
@@ -78,19 +79,34 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x, np.uint64).view(np.int64)
 
 
+def _counter_of(keys: np.ndarray) -> np.ndarray:
+    return mixed(keys) % np.uint64(COUNTERS)
+
+
 def _common_shingles(docs: DataFrame, words: int) -> np.ndarray:
-    rows = docs.count()
-    part = docs if rows <= SAMPLE else docs.where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(-(-rows // SAMPLE))) == 0)
+    """A bit for each slot: whether its shingles are at the end of the order.  Every document is counted."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, counts = _Hashes(), np.zeros(COUNTERS, np.uint32)
         for batch in blocks(batches):
-            found = [shingles(t, words, hashes) for t in batch.column(0).to_pylist()]
-            yield records(pa.schema([("key", pa.int64())]), [pa.array(_signed(np.concatenate(found)))])
+            found = np.concatenate([shingles(t, words, hashes) for t in batch.column(0).to_pylist()])
+            counts += np.bincount(_counter_of(found).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+        parts = [(k, zlib.compress(c.tobytes(), 1)) for k, c in enumerate(np.split(counts, COUNTERS // COUNTERS_TOGETHER)) if c.any()]
+        yield records(pa.schema([("part", pa.int32()), ("counts", pa.binary())]), [list(c) for c in zip(*parts, strict=True)] if parts else [[]] * 2)
 
-    counts = part.select("text").distinct().mapInArrow(work, "key long").groupBy("key").count().where(F.col("count") >= COMMON)
-    found = counts.orderBy(F.desc("count"), "key").limit(MAX_COMMON).select("key").toArrow()
-    return np.sort(found.column(0).to_numpy().astype(np.int64).view(np.uint64))
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sums[part] = sums.get(part, 0) + np.frombuffer(zlib.decompress(data), np.uint32).astype(np.int64)
+        yield records(pa.schema([("part", pa.int32()), ("counts", pa.binary())]), [list(sums), [c.tobytes() for c in sums.values()]])
+
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = docs.select("text").mapInArrow(count, "part int, counts binary").repartition(n, "part").mapInArrow(add, "part int, counts binary").toArrow()
+    counts = np.zeros((COUNTERS // COUNTERS_TOGETHER, COUNTERS_TOGETHER), np.int64)
+    for part, data in zip(whole.column(0).to_pylist(), whole.column(1).to_pylist(), strict=True):
+        counts[part] = np.frombuffer(data, np.int64)
+    return np.packbits(counts.ravel() >= max(COMMON, docs.count() / RARE) + counts.mean())
 
 
 def _rows(keyed: DataFrame, common, words: int, least: tuple[int, int]) -> DataFrame:
@@ -105,7 +121,7 @@ def _rows(keyed: DataFrame, common, words: int, least: tuple[int, int]) -> DataF
             for text in batch.column(2).to_pylist():
                 every = shingles(text, words, hashes)
                 n = len(every)
-                late = _in(last, every)
+                late = in_bits(last, _counter_of(every))
                 fps.append(fingerprint(text))
                 nodes.append(node_of(every))
                 sizes.append(n)
@@ -115,10 +131,6 @@ def _rows(keyed: DataFrame, common, words: int, least: tuple[int, int]) -> DataF
     return saved(keyed.select(*ROW_KEY, "text").mapInArrow(work, f"{ROW_KEY[0]} long, {ROW_KEY[1]} binary, fp long, node long, size int, prefix binary"), "nodes")
 
 
-def _in(ordered: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x if len(ordered) else np.zeros(len(x), bool)
-
-
 def _new_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(node, size, at, key) of all shingles of the prefixes of each batch; a set that the task has had lately is left out."""
     known: set[int] = set()
@@ -226,7 +238,7 @@ def _may_by_prefix(sizes: tuple[int, int], prefixes: tuple[np.ndarray, np.ndarra
     Of the two prefixes that which ends first in the order holds all that the sets share up to its end; behind it are
     as many shingles as its set has left.
     """
-    ends = [(bool(_in(last, x[-1:])[0]), int(x[-1])) for x in prefixes]
+    ends = [(bool(in_bits(last, _counter_of(x[-1:]))[0]), int(x[-1])) for x in prefixes]
     first = 0 if ends[0] <= ends[1] else 1
     both = len(np.intersect1d(*prefixes, assume_unique=True)) + sizes[first] - len(prefixes[first])
     return (least[0] + least[1]) * both >= least[0] * sum(sizes)
