@@ -126,3 +126,21 @@ def test_the_plan_is_what_single_placements_give():
 
 def test_packing_of_nothing(spark):
     assert packing.pack(frame(spark, []), lambda: file("word_bpe_49k.json")).count() == 0
+
+
+def test_a_task_encodes_each_of_many_words_once():
+    """A task of 16 MB meets some 500,000 words: all are remembered.  Very long ones aren't, so that the memory is bounded."""
+    from types import SimpleNamespace
+
+    from tidewater.llm import packing
+
+    asked = []
+    model = SimpleNamespace(tokenize=lambda part: asked.append(part) or [SimpleNamespace(id=len(part))])
+    words = packing.WordIds(SimpleNamespace(model=model))
+    of = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(5))
+    for _ in range(2):
+        for i in range(300_000):
+            assert words[of(i)] == b"\5\0\0\0"
+    assert len(asked) == 300_000
+    assert words["x" * 500] == b"\xf4\1\0\0"
+    assert "x" * 500 not in words

@@ -20,6 +20,7 @@ take one token, the end mark.  Repeated rows are packed each.  Other columns are
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
@@ -35,8 +36,8 @@ from .tokens import load_tokenizer
 MAX_TOKENS, END_ID, SHARDS = 4096, 1, 128
 #: tokens, documents, attention cost
 WEIGHTS = (1.0, 0.01, 0.01)
-#: Words whose ids a task remembers.
-KNOWN_WORDS = 150_000
+#: Words, and parts of words, whose ids a task remembers; longer words aren't remembered.
+KNOWN_WORDS, LONG = 600_000, 64
 
 _UNSAFE = re.compile(r"[^\t\n\r -~À-ÖØ-öø-ÿ]")
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
@@ -50,24 +51,34 @@ class WordIds(dict):
     """
 
     def __init__(self, tokenizer) -> None:
-        self.model, self.parts = tokenizer.model, {}
+        self.tokenize, self.parts = tokenizer.model.tokenize, {}
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in visible]
         self.letters = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
     def __missing__(self, word: str) -> bytes:
-        found = b""
         lower = word.lower()
-        for part in (lower,) if lower.isalpha() else _PARTS.findall(lower):
-            # Words that differ in case or punctuation share their parts.
-            if (ids := self.parts.get(part)) is None:
+        if lower.isalpha():
+            found = self.of_part(lower)
+        else:
+            found = b"".join([self.of_part(part) for part in _PARTS.findall(lower)])
+        if len(word) <= LONG:
+            if len(self) > KNOWN_WORDS:
+                self.clear()
+            self[word] = found
+        return found
+
+    def of_part(self, part: str) -> bytes:
+        """The ids of a part; words that differ in case or punctuation share their parts."""
+        if (found := self.parts.get(part)) is None:
+            # Letters of ASCII stand for themselves.
+            letters = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+            ids = [t.id for t in self.tokenize(letters)]
+            found = struct.pack(f"<{len(ids)}I", *ids)
+            if len(part) <= LONG:
                 if len(self.parts) > KNOWN_WORDS:
                     self.parts.clear()
-                ids = self.parts[part] = np.fromiter((t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))), "<u4").tobytes()
-            found += ids
-        if len(self) > KNOWN_WORDS:
-            self.clear()
-        self[word] = found
+                self.parts[part] = found
         return found
 
 
