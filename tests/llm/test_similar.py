@@ -77,3 +77,62 @@ def test_every_document_is_counted_for_the_order(spark):
     prefixes = [similar.np.frombuffer(r["prefix"], similar.np.uint64) for r in rows.collect()]
     assert len(prefixes) == 400
     assert not any(key in p for p in prefixes)
+
+
+def test_what_a_bucket_leaves_is_not_written_as_pairs(spark, monkeypatch):
+    """300 texts of which any two share about 0.7 of their shingles: next to none goes, and no table has a row for each two."""
+    rng = random.Random(6)
+    base = words(rng, 300)
+    rows = [(i, changed(rng, base, 6)) for i in range(300)]
+    sets = [plain_set(t) for _, t in rows]
+    label = reachable(list(range(300)), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    saved, sizes = similar.saved, {}
+
+    def counted(df, name):
+        out = saved(df, name)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(similar, "saved", counted)
+    assert similar.keep_one_of_similar(frame(spark, rows)).count() == len(set(label)) > 200
+    rows_of = {k: v for k, v in sizes.items() if k not in ("meetings", "members")}
+    assert max(rows_of.values()) < 300 * 20, sizes
+
+
+@pytest.mark.parametrize("block", [2, 1024])
+def test_what_a_middle_has_not_joined_is_linked(spark, monkeypatch, block):
+    """Chains, in which neighbours are similar and others aren't, become one class each, in blocks of any size."""
+    monkeypatch.setattr(similar, "BLOCK", block)
+    rng = random.Random(12)
+    rows = []
+    for k in range(4):
+        parts = words(rng, 200).split()
+        for i in range(25):
+            parts = changed(rng, " ".join(parts), rng.choice([2, 3, 4])).split()
+            rows.append((100 * k + i, " ".join(parts)))
+    rng.shuffle(rows)
+    sets = [plain_set(t) for _, t in rows]
+    label = reachable(list(range(len(rows))), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    least = sorted(min(i for (i, _), m in zip(rows, label, strict=True) if m == k) for k in set(label))
+    assert sorted(r["doc_id"] for r in similar.keep_one_of_similar(frame(spark, rows)).collect()) == least
+    assert 4 <= len(least) < 90
+
+
+def test_sketches_never_turn_similar_sets_away():
+    np, rng = similar.np, random.Random(5)
+    turned_away = 0
+    for n in (1, 4, 9, 90, 900, 2040, 9000):
+        a = np.array(sorted(rng.sample(range(2**62), n)), np.uint64)
+        for gone in (0, n // 20, n // 9, n // 9 + 1, n // 2):
+            for new in (0, gone, n // 9):
+                b = np.unique(np.concatenate([a[gone:], np.array(rng.sample(range(2**62), new), np.uint64)]))
+                sketches = similar.Sketches([similar.sketch_of(s) for s in (a, b, b)])
+                bits = sketches.differ(0, np.array([1, 2]))
+                assert (bits <= len(np.setxor1d(a, b))).all()
+                near = similar._near_by_bits(bits, len(a), np.array([len(b)] * 2), similar.SIMILAR)
+                assert near.all() or not similar.similar(a, b)
+                turned_away += not near.any()
+    assert turned_away > 5
+    for n in (300, 1500, 3000, 9000):
+        far = similar.Sketches([similar.sketch_of(np.array(sorted(rng.sample(range(2**62), k)), np.uint64)) for k in (n, n + 30)])
+        assert not similar._near_by_bits(far.differ(0, np.array([1])), n, np.array([n + 30]), similar.SIMILAR).any()

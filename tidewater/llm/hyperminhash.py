@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import blocks, drop_saved, marked, marks, records, saved
 from .components import connected_components
-from .similar import _Hashes, node_of, shingles, similar
+from .shingles import _Hashes, node_of, shingles, similar
 from .substrings import CHUNK, PARTS, PARTS_SCHEMA, in_bits, merged, mixed, slot_parts
 
 WORDS, SIMILAR = 4, (4, 5)
@@ -310,17 +310,22 @@ def spanning_links(sets: list[np.ndarray], of: np.ndarray, least: tuple[int, int
     return out
 
 
+def in_block_pairs(rows: DataFrame) -> DataFrame:
+    """Rows of key, node and cuts, the key's number of blocks, once for each pair of blocks (i, j) that its block, own, is in."""
+    # A row of block i goes to the pairs (0, i), ..., (i, i), (i, i + 1), ...: every two rows meet once.
+    own = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    return rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+
+
 def _other_links(met: DataFrame, sets: DataFrame, joined: DataFrame, docs: DataFrame, words: int, least: tuple[int, int], block: int = BLOCK) -> DataFrame:
     """Links between sets that meet in a bucket, are similar and aren't in one component, enough to join what all join."""
     rows = stored = saved(met.where("several > 2").join(joined, "node", "left").select("key", "band", "node", "size", F.coalesce("component", "node").alias("of")), "met")
     mixed_keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"), F.min("of").alias("low"), F.max("of").alias("high")).where("low != high")
     cuts = F.ceil(F.greatest(F.col("n") / block, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     rows = rows.join(mixed_keys.select("key", cuts.alias("cuts")), "key").join(sets.select("node", "regs"), "node")
-    # A row of block i goes to the pairs (0, i), ..., (i, i), (i, i + 1), ...: every two rows meet once.
-    own = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     place = ("key", "i", "j")
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "node", "size", "of", "regs")
+    rows = in_block_pairs(rows).select(*place, "own", "band", "node", "size", "of", "regs")
     shuffles = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
