@@ -139,3 +139,15 @@ def test_groups_are_real_and_nothing_has_no_rows(spark):
     empty = frame(spark, [])
     none = both.pair_counts(empty)
     assert none.count() == 0 and both.documents(empty, none).count() == 0
+
+
+def test_pairs_are_counted_without_groups():
+    """The first pass needs no groups: it finds the same pairs without writing any."""
+    both = align.Alignment(vocabulary_file("byte_bpe_50k.json"), vocabulary_file("piece_bpe_32k.model"))
+    texts = [t for _, t in odd_rows() + ODD] + [words(random.Random(3), 200)]
+    pairs, plain = both.aligner(with_groups=False), both.aligner()
+    numbers, bounds = pairs.numbers(texts)
+    assert [x.tolist() for x in (numbers, bounds)] == [x.tolist() for x in plain.numbers(texts)]
+    assert len(pairs.groups) == 0 and len(plain.groups) == len(plain.units)
+    assert pairs.pairs.tolist() == plain.pairs.tolist() and pairs.bounds.tolist() == plain.bounds.tolist()
+    assert pairs.fields[:, [0, 1, 3, 4]].tolist() == plain.fields[:, [0, 1, 3, 4]].tolist()

@@ -8,8 +8,8 @@ token, whatever stands around it, so the tokens, groups and links of a text are
 A task aligns each unit that it meets once, as long as it remembers it.  Where the tokenizers' files don't promise this,
 a text is one unit.
 
-Two passes: (1) every task sums the links of each id pair over the documents that it reads, and the sums are grouped by
-pair; (2) the documents are read again and look their links up.  The `hot_pairs` most frequent pairs, a fixed number, are
+Two passes: (1) every task sums the links of each id pair over the documents that it reads, without their groups, and the
+sums are grouped by pair; (2) the documents are read again and look their links up.  The `hot_pairs` most frequent pairs, a fixed number, are
 broadcast in sorted arrays; documents with others send those to a join, by themselves, and get back two numbers.  Groups
 are never shuffled.
 
@@ -129,13 +129,13 @@ class _Units(dict):
 
 
 class Aligner:
-    """Aligns units and remembers what came out."""
+    """Aligns units and remembers what came out; the groups, too, unless only pairs are asked for."""
 
     #: n_a, n_b, n_groups, n_links, whether the bytes aren't those of the unit.
     FIELDS = 5
 
-    def __init__(self, a_path: str, b_path: str, whole: bool) -> None:
-        self.tokenizers, self.whole = Tokenizers(a_path, b_path), whole
+    def __init__(self, a_path: str, b_path: str, whole: bool, with_groups: bool = True) -> None:
+        self.tokenizers, self.whole, self.with_groups = Tokenizers(a_path, b_path), whole, with_groups
         t = self.tokenizers
         self.sizes = (np.array([len(t.a_bytes.get(i, b"")) for i in range(max(t.a_bytes) + 1)]), np.array(list(map(len, t.b_bytes))))
         self.forget()
@@ -189,13 +189,15 @@ class Aligner:
         (a, a_ends), (b, b_ends) = kept
         # The units' bytes follow each other on both sides, so that all are aligned at once.
         unit_ends = np.cumsum(np.where(wrong, 0, long))
-        a_last, b_last = common_ends(a_ends, b_ends)
         x, y, ends = links_of(a_ends, b_ends)
         count = lambda ends: np.diff(np.searchsorted(ends, unit_ends, "right"), prepend=0)
-        n_groups, n_links = count(a_ends[a_last]), count(ends)
-        groups = pc.binary_join_element_wise(_written(a, a_last), _written(b, b_last), "|")
-        groups = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_groups)]), pa.int32()), groups), ";")
-        self.groups = pa.concat_arrays([self.groups, groups])
+        n_groups, n_links = np.zeros(len(units), np.int64), count(ends)
+        if self.with_groups:
+            a_last, b_last = common_ends(a_ends, b_ends)
+            n_groups = count(a_ends[a_last])
+            groups = pc.binary_join_element_wise(_written(a, a_last), _written(b, b_last), "|")
+            groups = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_groups)]), pa.int32()), groups), ";")
+            self.groups = pa.concat_arrays([self.groups, groups])
         self.fields = np.concatenate([self.fields, np.stack([*n_tokens, n_groups, n_links, wrong], axis=1)])
         self.pairs = np.concatenate([self.pairs, a[x] << 32 | b[y]])
         self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(n_links)])
@@ -239,15 +241,15 @@ class Alignment:
         self.where = [p if callable(p) else (lambda p=p: p) for p in (a_path, b_path)]
         self.whole = not Tokenizers(*(w() for w in self.where)).cuts_at_spaces()
 
-    def aligner(self) -> Aligner:
-        return Aligner(*(w() for w in self.where), self.whole)
+    def aligner(self, with_groups: bool = True) -> Aligner:
+        return Aligner(*(w() for w in self.where), self.whole, with_groups)
 
     def pair_counts(self, docs: DataFrame) -> DataFrame:
         """pair (A's id in the upper half, B's in the lower), n, the links of all documents that hold it, and best, whether no pair of its B id has more."""
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             schema = pa.schema([("pair", pa.int64()), ("n", pa.int64())])
-            aligner, times = self.aligner(), np.zeros(0, np.int64)
+            aligner, times = self.aligner(with_groups=False), np.zeros(0, np.int64)
             for batch in blocks(batches, "text", BLOCK_BYTES):
                 if aligner.full():
                     yield records(schema, [pa.array(x) for x in aligner.pair_sums(times)])
