@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -107,3 +108,27 @@ def test_labelled_rows_are_bounded_after_the_join(spark):
     docs = frame(spark, [(1, f"text {i}") for i in range(50)] + [(2, "two"), (3, "three")])
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, toxic int")
     assert toxicity.labelled(docs, labels, "toxic", 5, 0, 10).count() <= 10
+
+
+def test_the_fit_holds_little_beside_its_rows(monkeypatch):
+    """Six million features of rows: two numbers of 4 bytes each, and what a piece takes."""
+    monkeypatch.setattr(toxicity, "STEPS", 2)
+    texts = [np.arange(i % 7, 3000 + i % 7, dtype=np.int32) for i in range(2000)]
+    tracemalloc.start()
+    toxicity.fit(texts, np.arange(2000) % 2 * 1.0, [])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+
+
+@pytest.mark.parametrize("piece", [1, 7, 1 << 20])
+def test_products_in_pieces(monkeypatch, piece):
+    monkeypatch.setattr(toxicity, "PIECE", piece, raising=False)
+    rng = np.random.default_rng(4)
+    lists = [np.unique(rng.integers(0, 40, n)) for n in (5, 0, 30, 1, 0, 25, 12, 3)]
+    x = toxicity.Sparse(lists)
+    dense = np.array([[int(k in row) for k in x.known] for row in lists])
+    assert x.known.tolist() == [k for k in range(40) if sum(k in row for row in lists) >= toxicity.MIN_TEXTS]
+    w, v = rng.normal(size=len(x.known)), rng.normal(size=len(lists))
+    assert np.allclose(x.times(w), dense @ w) and np.allclose(x.transposed(v), dense.T @ v)
+    assert toxicity.Sparse([], x.known).times(w).tolist() == []

@@ -73,6 +73,14 @@ def test_components(spark, edges):
     assert got == {n: nodes[m] for n, m in zip(nodes, label, strict=True)}
 
 
+def test_components_count_what_is_left_as_it_is_written(spark, monkeypatch):
+    """No job of its own asks whether a round was the last."""
+    chain = spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long")
+    for name in ("count", "limit"):
+        monkeypatch.setattr(type(chain), name, lambda *_: pytest.fail("a job of its own"))
+    assert {r["component"] for r in components.connected_components(chain).collect()} == {0}
+
+
 def plain_removal(rows, window):
     first: dict[tuple, float] = {}
     split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]

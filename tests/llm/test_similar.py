@@ -135,3 +135,16 @@ def test_sketches_never_turn_similar_sets_away():
     for n in (300, 1500, 3000, 9000):
         far = similar.Sketches([similar.sketch_of(np.array(sorted(rng.sample(range(2**62), k)), np.uint64)) for k in (n, n + 30)])
         assert not similar._near_by_bits(far.differ(0, np.array([1])), n, np.array([n + 30]), similar.SIMILAR).any()
+
+
+def test_the_driver_gets_a_bit_for_each_slot_not_its_count(spark, monkeypatch):
+    rng = random.Random(8)
+    docs = frame(spark, [(i, words(rng, 300)) for i in range(60)] + [(100 + i, "terms of use are here") for i in range(30)] + [(200, None)])
+    got, collect = [], type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda df: got.append(collect(df)) or got[-1])
+    bits = similar._common_shingles(docs, similar.WORDS)
+    assert 0 < sum(t.nbytes for t in got) < 1 << 20
+    counts = similar.np.zeros(similar.COUNTERS, int)
+    for r in docs.collect():
+        counts[similar._counter_of(similar.shingles(r["text"])).astype(int)] += 1
+    assert similar.np.unpackbits(bits).tolist() == (counts >= max(similar.COMMON, len(docs.collect()) / similar.RARE) + counts.mean()).astype(int).tolist()

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Stands for a null doc_id where keys are compared.
@@ -52,6 +52,13 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def saved_and_counted(df: DataFrame, name: str, what: Column) -> tuple[DataFrame, int]:
+    """`df` saved, and for how many rows `what` holds: counted as they are written, without a job of its own."""
+    seen = Observation()
+    out = saved(df.observe(seen, F.count_if(what).alias("n")), name)
+    return out, seen.get["n"]
+
+
 def drop_saved(*tables: DataFrame) -> None:
     """Deletes the files of `saved` tables that nothing reads any more: what came of them must be saved itself."""
     for df in tables:

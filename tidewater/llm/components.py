@@ -11,16 +11,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, saved_and_counted
 
 
 def _roots(hooks: DataFrame) -> DataFrame:
     """(node, parent) with parent <= node, followed to the parent that is its own parent."""
     while True:
         up = hooks.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
-        longer = saved(hooks.join(up, "parent", "left").select("node", F.coalesce("grand", "parent").alias("parent"), (F.coalesce("grand", "parent") != F.col("parent")).alias("moved")), "hooks")
+        longer, moved = saved_and_counted(hooks.join(up, "parent", "left").select("node", F.coalesce("grand", "parent").alias("parent"), (F.coalesce("grand", "parent") != F.col("parent")).alias("moved")), "hooks", F.col("moved"))
         hooks = longer.select("node", "parent")
-        if longer.where("moved").limit(1).count() == 0:
+        if not moved:
             return hooks
 
 
@@ -38,6 +38,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         labels = hooks if labels is None else saved(labels.join(hooks.select(F.col("node").alias("parent"), F.col("parent").alias("root")), "parent", "left").select("node", F.coalesce("root", "parent").alias("parent")), "labels")
         to = lambda end: hooks.select(F.col("node").alias(end), F.col("parent").alias(f"{end}_root"))
         edges = edges.join(to("a"), "a").join(to("b"), "b").where("a_root != b_root")
-        edges = saved(edges.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct(), "edges")
-        if edges.limit(1).count() == 0:
+        edges, left = saved_and_counted(edges.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct(), "edges", F.lit(True))
+        if not left:
             return labels.select("node", F.col("parent").alias("component"))

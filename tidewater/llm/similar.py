@@ -122,14 +122,26 @@ def _common_shingles(docs: DataFrame, words: int) -> np.ndarray:
         for batch in batches:
             for part, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 sums[part] = sums.get(part, 0) + np.frombuffer(zlib.decompress(data), np.uint32).astype(np.int64)
-        yield records(pa.schema([("part", pa.int32()), ("counts", pa.binary())]), [list(sums), [c.tobytes() for c in sums.values()]])
+        schema = pa.schema([("part", pa.int32()), ("total", pa.int64()), ("counts", pa.binary())])
+        yield records(schema, [list(sums), [int(c.sum()) for c in sums.values()], [zlib.compress(c.tobytes(), 1) for c in sums.values()]])
 
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    whole = docs.select("text").mapInArrow(count, "part int, counts binary").repartition(n, "part").mapInArrow(add, "part int, counts binary").toArrow()
-    counts = np.zeros((COUNTERS // COUNTERS_TOGETHER, COUNTERS_TOGETHER), np.int64)
+    spark = docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counted = saved(docs.select("text").mapInArrow(count, "part int, counts binary").repartition(n, "part").mapInArrow(add, "part int, total long, counts binary"), "counts")
+    total = counted.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n")).first()["n"]
+    least = max(COMMON, docs.count() / RARE) + total / COUNTERS
+
+    def late(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts, counts = (c.to_pylist() for c in batch.columns)
+            yield records(pa.schema([("part", pa.int32()), ("bits", pa.binary())]), [parts, [np.packbits(np.frombuffer(zlib.decompress(c), np.int64) >= least).tobytes() for c in counts]])
+
+    whole = counted.select("part", "counts").mapInArrow(late, "part int, bits binary").toArrow()  # a bit a slot, not its count
+    bits = np.zeros((COUNTERS // COUNTERS_TOGETHER, COUNTERS_TOGETHER // 8), np.uint8)
     for part, data in zip(whole.column(0).to_pylist(), whole.column(1).to_pylist(), strict=True):
-        counts[part] = np.frombuffer(data, np.int64)
-    return np.packbits(counts.ravel() >= max(COMMON, docs.count() / RARE) + counts.mean())
+        bits[part] = np.frombuffer(data, np.uint8)
+    drop_saved(counted)
+    return bits.ravel()
 
 
 def _rows(keyed: DataFrame, common, words: int, least: tuple[int, int]) -> DataFrame:

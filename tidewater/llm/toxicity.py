@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ from .common import blocks, records
 MAX_ROWS, BITS, MIN_TEXTS = 10_000, 22, 3
 L1, COUNTERFACTUAL, POSITIVE_WEIGHT, STEPS = 3e-4, 1.0, 2.0, 250
 THRESHOLD = 0.5
+#: Features of a piece in which the fit goes through its rows.
+PIECE = 1 << 20
 #: Units whose active features a task remembers.
 KNOWN_UNITS = 100_000
 
@@ -91,32 +94,44 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: i
 
 
 class Sparse:
-    """Rows of feature numbers, each 1."""
+    """Rows of feature numbers, each 1.  Products go through it in pieces of whole rows: beside two numbers of 4 bytes for each feature of a row little is held."""
 
     def __init__(self, lists: list[np.ndarray], known: np.ndarray | None = None) -> None:
-        flat = np.concatenate([np.empty(0, np.int64), *lists]).astype(np.int64)
-        row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
         self.rows = len(lists)
+        sizes = np.array([len(x) for x in lists], np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // PIECE)) + 1).tolist(), len(lists)]
+        pieces = [slice(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+        flat = lambda piece: np.concatenate([np.empty(0, np.int64), *lists[piece]], dtype=np.int64)
         if known is None:
-            known, n = np.unique(flat, return_counts=True)
-            known = known[n >= MIN_TEXTS]
-        at = np.minimum(np.searchsorted(known, flat), max(0, len(known) - 1))
-        keep = known[at] == flat if len(known) else np.zeros(len(flat), bool)
-        self.known, self.at, self.row = known, at[keep], row[keep]
+            n = np.zeros(1 << BITS, np.int32)
+            for piece in pieces:
+                n += np.bincount(flat(piece), minlength=len(n)).astype(np.int32)
+            known = np.flatnonzero(n >= MIN_TEXTS)
+            del n
+        self.known, self.pieces = known, []
+        for piece in pieces:
+            features = flat(piece)
+            at = np.minimum(np.searchsorted(known, features), max(0, len(known) - 1))
+            keep = known[at] == features if len(known) else np.zeros(len(features), bool)
+            row = np.repeat(np.arange(piece.stop - piece.start), sizes[piece])
+            self.pieces.append((piece, at[keep].astype(np.int32), row[keep].astype(np.int32)))
 
     def times(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, weights=w[self.at], minlength=self.rows)
+        return np.concatenate([np.empty(0), *(np.bincount(row, weights=w[at], minlength=piece.stop - piece.start) for piece, at, row in self.pieces)])
 
     def transposed(self, v: np.ndarray) -> np.ndarray:
-        return np.bincount(self.at, weights=v[self.row], minlength=len(self.known))
+        out = np.zeros(len(self.known))
+        for piece, at, row in self.pieces:
+            out += np.bincount(at, weights=v[piece][row], minlength=len(out))
+        return out
 
 
-def fit(texts: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], l1: float = L1, counterfactual: float = COUNTERFACTUAL) -> tuple[dict[int, float], float]:
+def fit(texts: list[np.ndarray] | Sparse, y: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], l1: float = L1, counterfactual: float = COUNTERFACTUAL) -> tuple[dict[int, float], float]:
     """Weights by feature and intercept, by accelerated proximal gradient steps."""
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return {}, float(np.clip(np.log((share + 1e-6) / (1 - share + 1e-6)), -14, 14))
-    x = Sparse(texts)
+    x = texts if isinstance(texts, Sparse) else Sparse(texts)
     lost, gained = (Sparse([np.asarray(p[i]) for p in pairs], x.known) for i in (0, 1))
     weight = np.where(y == 1, POSITIVE_WEIGHT, 1.0) / len(y)
     pull = counterfactual / max(1, len(pairs))
@@ -153,11 +168,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
             yield records(schema, [batch.column(1).cast(pa.int32()), batch.column(2), [sorted(features(words_of(t))) for t in texts], [[{"lost": a, "gained": b} for a, b in counterfactuals(t)] for t in texts]])
 
     rows = labelled(docs, labels, label, folds, fold, max_rows).mapInArrow(work, "y int, h long, features array<int>, pairs array<struct<lost:array<int>,gained:array<int>>>").toArrow()
-    rows = rows.sort_by([("h", "ascending"), ("y", "ascending")]).combine_chunks()
-    lists = rows.column("features")
-    texts = [x.values.to_numpy() for x in lists] if rows.num_rows else []
-    pairs = [(np.array(p["lost"], np.int64), np.array(p["gained"], np.int64)) for row in rows.column("pairs").to_pylist() for p in row]
-    return fit(texts, rows.column("y").to_numpy().astype(float), pairs, counterfactual=counterfactual)
+    order = pc.sort_indices(rows.select(["h", "y"]), sort_keys=[("h", "ascending"), ("y", "ascending")]).to_pylist()
+    y = rows.column("y").to_numpy().astype(float)[order]
+    pairs = rows.column("pairs").to_pylist()
+    pairs = [(np.array(p["lost"], np.int64), np.array(p["gained"], np.int64)) for i in order for p in pairs[i]]
+    lists = [x.values.to_numpy() for chunk in rows.column("features").chunks for x in chunk]  # where they are, not copied
+    texts = Sparse([lists[i] for i in order])
+    del rows, lists
+    pa.default_memory_pool().release_unused()
+    return fit(texts, y, pairs, counterfactual=counterfactual)
 
 
 class Scorer:
