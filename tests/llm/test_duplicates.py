@@ -115,6 +115,37 @@ def test_substrings_of_nothing(spark):
     assert substrings.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_blocks_of_a_task_share_a_sketch(spark, monkeypatch):
+    """A task sends a chunk once for all the windows that it holds, not once a block: slots lie denser and take fewer bytes."""
+    monkeypatch.setattr(substrings, "BLOCK_BYTES", 2000)
+    rng = random.Random(4)
+    rows = [(i, words(rng, 60)) for i in range(200)]
+    parts, merged = [], substrings.merged
+    monkeypatch.setattr(substrings, "merged", lambda sent, *rest: parts.append(sent.count()) or merged(sent, *rest))
+    docs = frame(spark, rows, 1)
+    substrings.merged_sketch(docs, 13, 2, substrings.CHUNK)
+    assert parts == [2]
+    monkeypatch.setattr(substrings, "SKETCH_WINDOWS", 100)
+    monkeypatch.setattr(substrings, "ASKED_WINDOWS", 100)
+    monkeypatch.setattr(substrings, "PACKED_SLOTS", 7)
+    monkeypatch.setattr(substrings, "CHUNK", 1 << 10)
+    rows += [(1000 - i, t) for i, t in rows[:50]]
+    assert collected(substrings.remove_repeats(frame(spark, rows, 2), with_text=True)) == plain_removal(rows, 13)
+
+
+def test_packed_runs_of_documents():
+    """Beside hashes (12 bytes) and reference (8) a document's only window in a part takes few bytes, and comes back."""
+    rng = np.random.default_rng(5)
+    docs = np.cumsum(rng.integers(1, 200, 2000)) + 10**12
+    docs[-1] = substrings.NO_ID
+    refs, h1 = rng.integers(-(1 << 63), 1 << 63, 2000), rng.integers(0, 1 << 64, 2000, dtype=np.uint64)
+    pos, h2 = rng.integers(0, 600, 2000).astype(np.int32), rng.integers(0, 1 << 32, 2000).astype(np.uint32)
+    data = substrings.pack(docs, refs, pos, h1, h2)
+    assert len(data) < 2000 * (20 + 4.5)
+    back = substrings.unpack(data, True)
+    assert all((x == y).all() for x, y in zip(back, (docs, refs, np.ones(2000), pos, h1, h2), strict=True))
+
+
 def test_packed_gaps():
     slots = np.array([0, 1, 254, 255, 256, 1000, 1001, 65535], np.int64)
     assert substrings.unpacked(substrings.packed(slots)).tolist() == slots.tolist()

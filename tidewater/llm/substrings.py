@@ -1,11 +1,11 @@
 """Substring dedup with a count-min prefilter: only windows estimated repeated are grouped exactly.
 
 Pass 1: every task hashes its word windows to the slots of a count-min sketch and sends, for each
-chunk of slots, which slots it has seen and which more than once; the partition sketches are
-merged chunk by chunk.  A merged estimate is never below the true count, so a window that repeats is
+chunk of slots, which slots it has seen and which more than once, for as many windows at once as it can
+hold (the denser they lie, the fewer bytes each takes); the partition sketches are merged chunk by chunk.  A merged estimate is never below the true count, so a window that repeats is
 always estimated repeated.  Pass 2: windows with an estimate of two or more in every row of the sketch
 are grouped by a 96-bit hash of their words.  A task settles what it can: windows whose words also
-start in a smaller doc_id of the same block are removed at once, and only the block's first document
+start in a smaller doc_id of those that it holds are removed at once, and only the first document
 of each window is shuffled, so a passage in a third of all documents sends a few rows a task.
 
 The sketch has `slots` slots a window and row, at most `max_bits` in all; it is broadcast as one bit a
@@ -20,7 +20,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +33,10 @@ from .common import NO_ID, blocks, count_bytes, records
 WINDOW, DEPTH, SLOTS, MAX_BITS = 13, 2, 3, 1 << 30
 #: Bytes of text whose windows a task holds at a time.
 BLOCK_BYTES = 6 << 20
-#: For the sketch, where denser blocks take fewer bytes a slot and no merged sketch is held beside them.
-SKETCH_BLOCK_BYTES = 2 * BLOCK_BYTES
+#: Windows that a task gathers from its blocks before it sends their slots, and windows that passed the filter before it settles them.
+SKETCH_WINDOWS, ASKED_WINDOWS = 4_000_000, 2_000_000
+#: Sorted slots that are packed in one go, about.
+PACKED_SLOTS = 500_000
 #: Bytes of text for a window at least, to size the sketch before reading it.
 BYTES_A_WORD = 6
 #: Slots of the sketch that are merged at a time.
@@ -164,15 +166,37 @@ def in_bits(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
 
 
+def gathered(found: Iterator, most: int, size: Callable = len) -> Iterator[list]:
+    """Lists of what comes, each of about `most` windows (one block at least)."""
+    held, n = [], 0
+    for x in found:
+        if held and n + size(x) > most:
+            yield held
+            held, n = [], 0
+        held.append(x)
+        n += size(x)
+        del x
+    if held:
+        yield held
+
+
 def merged_sketch(docs: DataFrame, window: int, depth: int, width: int) -> np.ndarray:
     """One bit for each slot of each row of the sketch: whether its merged count is two or more."""
 
+    def sent(h: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for row in range(depth if len(h) else 0):
+            slots = slots_of(h, row, width)
+            slots.sort()
+            # A chunk isn't split: its slots seen twice must be seen together.
+            ends = np.searchsorted(slots, (slots[PACKED_SLOTS::PACKED_SLOTS] // np.uint64(CHUNK) + np.uint64(1)) * np.uint64(CHUNK))
+            for some in np.split(slots, np.unique(ends)):
+                if len(some):
+                    yield records(PARTS_SCHEMA, slot_parts(some.astype(np.int64), CHUNK))
+
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in blocks(batches, "text", SKETCH_BLOCK_BYTES):
-            h = Windows(batch.column(0).to_pylist(), window, hashes).hash(1)
-            for row in range(depth if len(h) else 0):
-                yield records(PARTS_SCHEMA, slot_parts(np.sort(slots_of(h, row, width)).astype(np.int64), CHUNK))
+        for held in gathered((Windows(b.column(0).to_pylist(), window, hashes).hash(1) for b in blocks(batches, "text", BLOCK_BYTES)), SKETCH_WINDOWS):
+            yield from sent(np.concatenate(held))
 
     return merged(docs.select("text").mapInArrow(partial, PARTS), depth * width, CHUNK)
 
@@ -198,13 +222,14 @@ def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
 
 
 def pack(docs: np.ndarray, refs: np.ndarray, pos: np.ndarray, h1: np.ndarray | None = None, h2: np.ndarray | None = None) -> bytes:
-    """Positions of rows in order of (doc, ref): each run's ids once, steps of the positions by byte planes; hashes as they are."""
+    """Positions of rows in order of (doc, ref): each run's ids once, steps of doc_ids and positions by byte planes; hashes as they are."""
     new = np.ones(len(docs), bool)
     new[1:] = (docs[1:] != docs[:-1]) | (refs[1:] != refs[:-1])
     at = np.flatnonzero(new)
     runs = np.diff(at, append=len(docs)).astype(np.int32)
-    planes = np.diff(pos.astype(np.int32), prepend=np.int32(0)).view(np.uint8).reshape(-1, 4).T
-    rest = zlib.compress(docs[at].tobytes() + refs[at].tobytes() + runs.tobytes() + np.ascontiguousarray(planes).tobytes(), 1)
+    planes = lambda x: np.ascontiguousarray(np.diff(x, prepend=x.dtype.type(0)).view(np.uint8).reshape(-1, x.dtype.itemsize).T).tobytes()
+    # References don't get shorter.
+    rest = refs[at].tobytes() + zlib.compress(planes(docs[at]) + runs.tobytes() + planes(pos.astype(np.int32)), 1)
     hashes = b"" if h1 is None else h1.tobytes() + h2.tobytes()
     return struct.pack("<II", len(docs), len(at)) + hashes + rest
 
@@ -213,11 +238,10 @@ def unpack(data: bytes, hashed: bool) -> tuple[np.ndarray, ...]:
     """(docs, refs, runs, pos) and, if hashed, (h1, h2); docs and refs once a run."""
     n, m = struct.unpack_from("<II", data)
     at = 8 + 12 * n * hashed
-    rest = zlib.decompress(data[at:])
-    docs, refs = np.frombuffer(rest, np.int64, m), np.frombuffer(rest, np.int64, m, 8 * m)
-    runs = np.frombuffer(rest, np.int32, m, 16 * m)
-    planes = np.frombuffer(rest, np.uint8, 4 * n, 20 * m).reshape(4, n)
-    pos = np.cumsum(np.ascontiguousarray(planes.T).view(np.int32).ravel(), dtype=np.int32)
+    refs = np.frombuffer(data, np.int64, m, at)
+    rest = zlib.decompress(memoryview(data)[at + 8 * m :])
+    summed = lambda k, kind, start: np.cumsum(np.ascontiguousarray(np.frombuffer(rest, np.uint8, k * kind().itemsize, start).reshape(-1, k).T).view(kind).ravel(), dtype=kind)
+    docs, runs, pos = summed(m, np.int64, 0), np.frombuffer(rest, np.int32, m, 8 * m), summed(n, np.int32, 12 * m)
     if not hashed:
         return docs, refs, runs, pos
     return docs, refs, runs, pos, np.frombuffer(data, np.uint64, n, 8), np.frombuffer(data, np.uint32, n, 8 + 8 * n)
@@ -266,7 +290,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, sl
             out.append((shelf, 1, pack(ids[at], refs[at], pos[at])))
         return out
 
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        """(doc_id, ref, position, two hashes) of each block's windows that pass the filter."""
         hashes, bits = WordHashes(), sketch_bits(sketch)
         for batch in blocks(batches, "text", BLOCK_BYTES):
             ids = np.array([NO_ID if i is None else i for i in batch.column(0).to_pylist()], np.int64)
@@ -277,16 +302,22 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, sl
             for row in range(depth):
                 often &= in_bits(bits, slots_of(h1, row, width))
             often = np.flatnonzero(often)
-            h1, h2 = h1[often], windows.hash(2, often).astype(np.uint32)
-            row, pos = windows.row[often], windows.pos[often]
-            del windows
-            least, group = least_of(h1, h2, ids[row])
-            settled = ids[row] > least[group]
-            out = shelves(ids[row[settled]], refs[row[settled]], pos[settled])
+            row = windows.row[often]
+            found = ids[row], refs[row], windows.pos[often], h1[often], windows.hash(2, often).astype(np.uint32)
+            del windows, h1, often, row
+            yield found
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in gathered(passed(batches), ASKED_WINDOWS, lambda found: len(found[0])):
+            ids, refs, pos, h1, h2 = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            least, group = least_of(h1, h2, ids)
+            settled = ids > least[group]
+            out = shelves(ids[settled], refs[settled], pos[settled])
             ask = np.flatnonzero(~settled)
             for part, at in split(h1[ask] % np.uint64(parts)):
                 at = ask[at]  # still in order of row and position
-                out.append((part, 0, pack(ids[row[at]], refs[row[at]], pos[at], h1[at], h2[at])))
+                out.append((part, 0, pack(ids[at], refs[at], pos[at], h1[at], h2[at])))
             yield records(packed_schema, [list(c) for c in zip(*out, strict=True)] if out else [[]] * 3)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
