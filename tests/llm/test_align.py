@@ -5,6 +5,7 @@ import random
 from bisect import bisect_left
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from tidewater.llm import align
@@ -151,3 +152,45 @@ def test_pairs_are_counted_without_groups():
     assert len(pairs.groups) == 0 and len(plain.groups) == len(plain.units)
     assert pairs.pairs.tolist() == plain.pairs.tolist() and pairs.bounds.tolist() == plain.bounds.tolist()
     assert pairs.fields[:, [0, 1, 3, 4]].tolist() == plain.fields[:, [0, 1, 3, 4]].tolist()
+
+
+def test_lines_are_cut():
+    """A newline between two other characters begins a unit: words at the ends of lines aren't aligned anew with each other."""
+    both = align.Alignment(vocabulary_file("byte_bpe_50k.json"), vocabulary_file("piece_bpe_32k.model"))
+    aligner = both.aligner()
+    names = [f"w{i}" for i in range(20)]
+    aligner.numbers([f"{x}\n{y} {x}\n{y}" for x in names for y in names])
+    assert len(aligner.units) == 40
+    assert align.cut("a b\nc\n\nd \ne\n", True) == ["a", "b", "\nc\n\nd \ne\n"]
+    assert align.cut("\na\nb", True) == ["\n\na", "\nb"] and align.cut("\na\nb") == ["\na\nb"]
+    rng = random.Random(9)
+    for text in ("".join(rng.choice("ab \n\t\u00a0é") for _ in range(rng.randint(1, 12))) for _ in range(3000)):
+        units = align.cut(text, True)
+        assert "".join(u if align.begins_line(u) else f" {u[u[0] == chr(10) :]}" for u in units) == f" {text}"
+
+
+def test_a_line_is_not_a_text_that_begins_with_a_newline(spark):
+    rows = [(i, t) for i, t in enumerate(["\nWas", "x\nWas", "\nWas x\nWas", "\n\nWas", "x\n\nWas\n", "\n", "日\n日", "\u2581\na", "a\n\u2581", "a\n\x00b\nWas", "\r\nWas", "x \nWas"])]
+    both = align.Alignment(lambda: vocabulary_file("byte_bpe_50k.json"), lambda: vocabulary_file("piece_bpe_32k.model"))
+    docs = frame(spark, rows, 1)
+    counts = both.pair_counts(docs)
+    out = align.with_counts(both.documents(docs, counts).withColumn("groups_sha256", align.digest("groups")).drop("groups"), counts)
+    assert found(out) == sorted(plain_rows(rows), key=repr)
+
+
+def test_frequent_units_stay_known(monkeypatch):
+    """A task that has met too many units forgets those met once; the others aren't aligned anew."""
+    monkeypatch.setattr(align, "KNOWN_UNITS", 40)
+    both = align.Alignment(vocabulary_file("byte_bpe_50k.json"), vocabulary_file("piece_bpe_32k.model"))
+    aligner, fresh, text = both.aligner(), both.aligner(), "often met, words\nstay known"
+    numbers, _ = aligner.numbers([text, words(random.Random(2), 60), " ".join(f"q{k}z" for k in range(60)), text])
+    assert aligner.full()
+    kept = aligner.forget_rare(align.counted(numbers, len(aligner.units), np.zeros(0, np.int64)))
+    assert 5 <= len(kept) == len(aligner.units) <= 20
+    monkeypatch.setattr(aligner, "_align", lambda units: pytest.fail(f"aligned anew: {units}") if units else None)
+    (n, b), (m, c) = aligner.numbers([text]), fresh.numbers([text])
+    assert aligner.said(n, b).to_pylist() == fresh.said(m, c).to_pylist()
+    assert aligner.fields[n].tolist() == fresh.fields[m].tolist()
+    pairs = lambda a, k: [a.pairs[a.bounds[i] : a.bounds[i + 1]].tolist() for i in k.tolist()]
+    assert pairs(aligner, n) == pairs(fresh, m)
+    assert len(aligner.forget_rare(np.full(len(kept), 5))) == len(kept)

@@ -5,7 +5,8 @@ of ids into groups, and each slice is expanded into its links, the pairs of toke
 
 A text is cut into units before it is encoded: at each single space between two other characters both tokenizers end a
 token, whatever stands around it, so the tokens, groups and links of a text are those of its units one after the other.
-A task aligns each unit that it meets once, as long as it remembers it.  Where the tokenizers' files don't promise this,
+A single newline between two others is a token of its own in both and begins a unit, so that no unit is made of two words.
+A task aligns each unit that it meets once, as long as it remembers it; those met only once are forgotten first.  Where the tokenizers' files don't promise this,
 a text is one unit.
 
 Two passes: (1) every task sums the links of each id pair over the documents that it reads, without their groups, and the
@@ -40,9 +41,9 @@ BLOCK_BYTES, KNOWN_UNITS, KNOWN_CHARS = 4 << 20, 400_000, 8 << 20
 Where = str | Callable[[], str]
 #: What stands for a space in the pieces, and bytes that are pieces of their own.
 SPACE, _BYTE = "▁", re.compile(r"<0x([0-9A-F]{2})>")
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-#: A space beside white space, in ASCII; the last four count as white space here only, which makes longer units.
-_BESIDE = ("  ", *(x for c in "\t\n\v\f\r\x1c\x1d\x1e\x1f" for x in (f"{c} ", f" {c}")))
+_CUT, _CUT_LINES = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"(?<=\S) (?=\S)|(?<=\S)(?=\n\S)")
+#: What ASCII texts hold that are cut with more care; the last four count as white space here only, which makes longer units.
+_CARE = ("  ", " \n", "\n ", "\n\n", *"\t\v\f\r\x1c\x1d\x1e\x1f")
 #: Units that A encodes as one text: it ends a token at each of their spaces.
 TOGETHER = 500
 
@@ -77,6 +78,11 @@ class Tokenizers:
         inside = any(x != SPACE and y == SPACE for p in self._pieces for x, y in zip(p, p[1:], strict=False))
         return by_units(self.a) and not inside and self.b.encode("a", out_type=str)[0].startswith(SPACE)
 
+    def cuts_at_lines(self) -> bool:
+        """Whether a newline between two other characters is always a token by itself, in B after a space of its own, too."""
+        ids = self.b.encode("\na")
+        return self.cuts_at_spaces() and not any("\n" in p and p != "\n" for p in self._pieces) and [self.b_bytes[i] for i in ids[:2]] == [b" ", b"\n"]
+
     def by_a(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -85,17 +91,30 @@ class Tokenizers:
         return self.b.encode(texts, num_threads=1)
 
 
-def cut(text: str) -> list[str]:
-    """The units of a text: what is between single spaces that have no white space beside them."""
-    parts = text.split(" ")
-    if text.isascii() and text[0] != " " and text[-1] != " " and not any(x in text for x in _BESIDE):
+def cut(text: str, lines: bool = False) -> list[str]:
+    """The units of a text: what is between single spaces that have no white space beside them.
+
+    With `lines`, a single newline between two others begins a unit as well, and stays its first character; a first unit that
+    begins with a newline gets another one before it.
+    """
+    parts = (text.replace("\n", " \n") if lines else text).split(" ")
+    if text.isascii() and text[0] not in " \n" and text[-1] not in " \n" and not any(x in text for x in _CARE):
         return parts
     for p in parts:
-        if not p or p[0].isspace() or p[-1].isspace():
-            return _CUT.split(text)
+        start = p[1:2] if lines and p[:1] == "\n" else p[:1]
+        if not start or start.isspace() or p[-1].isspace():
+            parts = (_CUT_LINES if lines else _CUT).split(text)
+            break
+    if lines and text[0] == "\n":
+        parts[0] = "\n" + parts[0]
     return parts
 
 
+def begins_line(unit: str) -> bool:
+    """Whether a unit of lines was cut off before its newline; else one at its start is doubled."""
+    return unit[0] == "\n" and not unit[1].isspace()
+
+
 def common_ends(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(A's index, B's index) of the tokens that end together, in order."""
     a_at, b_at = (dict(zip(ends.tolist(), range(len(ends)), strict=True)) for ends in (a_ends, b_ends))
@@ -137,6 +156,7 @@ class Aligner:
     def __init__(self, a_path: str, b_path: str, whole: bool, with_groups: bool = True) -> None:
         self.tokenizers, self.whole, self.with_groups = Tokenizers(a_path, b_path), whole, with_groups
         t = self.tokenizers
+        self.lines = not whole and t.cuts_at_lines()
         self.sizes = (np.array([len(t.a_bytes.get(i, b"")) for i in range(max(t.a_bytes) + 1)]), np.array(list(map(len, t.b_bytes))))
         self.forget()
 
@@ -146,13 +166,31 @@ class Aligner:
         self.pairs, self.bounds = np.zeros(0, np.int64), np.zeros(1, np.int64)
         self.groups = pa.array([], pa.string())
 
+    def forget_rare(self, times: np.ndarray) -> np.ndarray:
+        """Forgets the units met once, by how often each was, and more where over half the memory would stay; the numbers of those kept, which become 0, 1, ..."""
+        least = max(2, int(np.sort(times)[-(KNOWN_UNITS // 2) - 1]) + 1 if len(times) > KNOWN_UNITS // 2 else 0)
+        kept = np.flatnonzero(times >= least)
+        units = list(self.units)
+        units = [units[k] for k in kept.tolist()]
+        fields, pairs, bounds, groups = self.fields[kept], self.pairs, self.bounds, self.groups
+        self.forget()
+        if (chars := sum(map(len, units))) > KNOWN_CHARS // 2:
+            return kept[:0]
+        self.units.update(zip(units, range(len(units)), strict=True))
+        n = np.diff(bounds)[kept]
+        self.chars, self.fields, self.bounds = chars, fields, np.concatenate([[0], np.cumsum(n)])
+        self.pairs = pairs[np.arange(int(n.sum())) + np.repeat(bounds[kept] - self.bounds[:-1], n)]
+        if self.with_groups:
+            self.groups = groups.take(pa.array(kept))
+        return kept
+
     def full(self) -> bool:
         return len(self.units) > KNOWN_UNITS or self.chars > KNOWN_CHARS
 
     def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(numbers, bounds): the numbers of the texts' units, one text after the other, and where each text's begin; `fields`, `pairs` and `groups` have what was found for them."""
         of = self.units.__getitem__
-        parts = [[t] if self.whole else cut(t) for t in (t or "" for t in texts) if t]
+        parts = [[t] if self.whole else cut(t, self.lines) for t in (t or "" for t in texts) if t]
         counts = np.zeros(len(texts) + 1, np.int64)
         counts[1:][[bool(t) for t in texts]] = list(map(len, parts))
         found = np.fromiter(map(of, chain.from_iterable(parts)), np.int64, int(counts.sum()))
@@ -164,11 +202,18 @@ class Aligner:
 
     def _align(self, units: list[str]) -> None:
         t = self.tokenizers
-        raw = [b" " + u.encode() for u in units]
-        long = np.fromiter(map(len, raw), np.int64, len(raw))
+        self.chars += sum(map(len, units))
+        line = np.fromiter(map(begins_line, units), bool, len(units)) if self.lines else np.zeros(len(units), bool)
+        if self.lines:
+            units = [u[1:] if u[0] == "\n" and not new else u for u, new in zip(units, line.tolist(), strict=True)]
+        raw_b = [b" " + u.encode() for u in units]
+        raw_a = [r[1:] if new else r for r, new in zip(raw_b, line.tolist(), strict=True)]
+        long_b = np.fromiter(map(len, raw_b), np.int64, len(raw_b))
+        long_a = long_b - line
         wrong = np.zeros(len(units), bool)
         sides = []
-        for ids, sizes, names in ((self._by_a(units, long), self.sizes[0], t.a_bytes), (t.by_b(units), self.sizes[1], t.b_bytes)):
+        texts = [u if new else f" {u}" for u, new in zip(units, line.tolist(), strict=True)]
+        for ids, sizes, names, raw, long in ((self._by_a(texts, long_a), self.sizes[0], t.a_bytes, raw_a, long_a), (t.by_b(units), self.sizes[1], t.b_bytes, raw_b, long_b)):
             n = np.fromiter(map(len, ids), np.int64, len(ids))
             flat = np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum()))
             ends = np.cumsum(sizes[flat])
@@ -184,11 +229,15 @@ class Aligner:
         for (flat, n), sizes in zip(sides, self.sizes, strict=True):
             if wrong.any():
                 flat, n = flat[~np.repeat(wrong, n)], np.where(wrong, 0, n)
+            if sizes is self.sizes[1] and line.any():
+                # B's own space before a line isn't in the text.
+                own = line & ~wrong
+                flat, n = np.delete(flat, (np.cumsum(n) - n)[own]), n - own
             n_tokens.append(n)
             kept.append((flat, np.cumsum(sizes[flat])))
         (a, a_ends), (b, b_ends) = kept
         # The units' bytes follow each other on both sides, so that all are aligned at once.
-        unit_ends = np.cumsum(np.where(wrong, 0, long))
+        unit_ends = np.cumsum(np.where(wrong, 0, long_a))
         x, y, ends = links_of(a_ends, b_ends)
         count = lambda ends: np.diff(np.searchsorted(ends, unit_ends, "right"), prepend=0)
         n_groups, n_links = np.zeros(len(units), np.int64), count(ends)
@@ -201,16 +250,15 @@ class Aligner:
         self.fields = np.concatenate([self.fields, np.stack([*n_tokens, n_groups, n_links, wrong], axis=1)])
         self.pairs = np.concatenate([self.pairs, a[x] << 32 | b[y]])
         self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(n_links)])
-        self.chars += sum(map(len, units))
 
-    def _by_a(self, units: list[str], long: np.ndarray) -> list[list[int]]:
-        """A's ids of the units, after a space each: of many together where that gives their bytes, else of each."""
+    def _by_a(self, texts: list[str], long: np.ndarray) -> list[list[int]]:
+        """A's ids of the units' texts: of many together where that gives their bytes, else of each."""
         if not self.whole:
-            ids = self.tokenizers.by_a([" " + " ".join(units[k : k + TOGETHER]) for k in range(0, len(units), TOGETHER)])
+            ids = self.tokenizers.by_a(["".join(texts[k : k + TOGETHER]) for k in range(0, len(texts), TOGETHER)])
             ends = np.cumsum(self.sizes[0][np.fromiter(chain.from_iterable(ids), np.int64)])
-            if len(ids) < len(units) and np.isin(np.cumsum(long), ends, assume_unique=True).all():
+            if len(ids) < len(texts) and np.isin(np.cumsum(long), ends, assume_unique=True).all():
                 return ids
-        return self.tokenizers.by_a([f" {u}" for u in units])
+        return self.tokenizers.by_a(texts)
 
     def pair_sums(self, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(pairs, links) of the units, each taken so many times."""
@@ -234,6 +282,13 @@ def by_text(values: np.ndarray, numbers: np.ndarray, bounds: np.ndarray) -> np.n
     return np.diff(sums[bounds], axis=0)
 
 
+def counted(numbers: np.ndarray, n: int, before: np.ndarray) -> np.ndarray:
+    """How often each of n units was met, added to the counts before."""
+    times = np.bincount(numbers, minlength=n)
+    times[: len(before)] += before
+    return times
+
+
 class Alignment:
     """What two tokenizers make of a table of documents; the paths are taken where the tokenizers are loaded, so that files may be in other places on executors."""
 
@@ -253,15 +308,13 @@ class Alignment:
             for batch in blocks(batches, "text", BLOCK_BYTES):
                 if aligner.full():
                     yield records(schema, [pa.array(x) for x in aligner.pair_sums(times)])
-                    aligner.forget()
+                    aligner.forget_rare(times)
                     times = np.zeros(0, np.int64)
                 numbers, bounds = aligner.numbers(batch.column(0).to_pylist())
                 wrong = by_text(aligner.fields[:, 4:], numbers, bounds)[:, 0] > 0
                 if wrong.any():
                     numbers = numbers[~np.repeat(wrong, np.diff(bounds))]
-                found = np.bincount(numbers, minlength=len(aligner.units))
-                found[: len(times)] += times
-                times = found
+                times = counted(numbers, len(aligner.units), times)
             yield records(schema, [pa.array(x) for x in aligner.pair_sums(times)])
 
         counts = docs.select("text").mapInArrow(work, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
@@ -281,12 +334,13 @@ class Alignment:
             names = ("doc_id", "ref", "n_a", "n_b", "n_groups", "n_links", "groups", "hot_best", "hot_sum", "cold", "times")
             kinds = (*[pa.int64()] * 6, pa.string(), *[pa.int64()] * 2, pa.list_(pa.int64()), pa.list_(pa.int64()))
             schema, (known, n, best) = pa.schema(list(zip(names, kinds, strict=True))), hot.value
-            aligner, looked = self.aligner(), np.zeros((0, 3), np.int64)
+            aligner, looked, times_met = self.aligner(), np.zeros((0, 3), np.int64), np.zeros(0, np.int64)
             for batch in blocks(batches, "text", BLOCK_BYTES):
                 if aligner.full():
-                    aligner.forget()
-                    looked = np.zeros((0, 3), np.int64)
+                    looked = looked[aligner.forget_rare(times_met)]
+                    times_met = np.zeros(0, np.int64)
                 numbers, bounds = aligner.numbers(batch.column(1).to_pylist())
+                times_met = counted(numbers, len(aligner.units), times_met)
                 # The links of the new units.
                 first = len(looked)
                 new = aligner.pairs[aligner.bounds[first] :]
