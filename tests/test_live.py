@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.streaming import live
+from tidewater.sources import readers
+from tidewater.streaming import live, pipeline
 
 MINUTE = 60_000
 TICKS = "ticker string, ts long, event_id long, close double, close_e4 long, volume long"
@@ -69,3 +71,36 @@ def test_any_order_of_arrival_gives_what_the_tables_give(spark, tmp_path):
 @pytest.mark.parametrize(("scores", "expected"), [([], (0, 0, 0, 0)), ([1, 2], (3, 2, 0, 0)), ([5, 1, 2, 3], (6, 3, 5, 1))])
 def test_sums(scores, expected):
     assert live.sums_of(scores, 3) == expected
+
+
+def test_a_stream_remembers_in_blocks(spark, tmp_path):
+    """Micro-batches of several blocks, of a row and of none; each goes on from the memory before, also where it comes again."""
+    rng, folder, most = random.Random(40), f"file://{tmp_path}", 15
+    titles = [f"t{int(40 * rng.random() ** 2)}" for _ in range(160)]
+    df = spark.createDataFrame([(k // 2, k, t) for k, t in enumerate(titles)] + [(80, 160, None)], "ts long, event_id long, title string").repartition(3)
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    left = {name: len(list(shared.glob(f"*/{name}-*"))) for name in ("ranges", "remembered", "settled", "wrong")}
+    write = pipeline.seen_lately(f"{folder}/out", f"{folder}/memory", most=most, block=32, halo=8)
+    for n, (low, high) in enumerate([(0, 0), (0, 1), (1, 100), (100, 100), (100, 161)]):
+        batch = df.where(F.col("event_id").between(low, high - 1))
+        for _ in range(1 + (n == 2)):
+            write(batch, n)
+    got = spark.read.schema("event_id long, title string, fresh boolean").option("recursiveFileLookup", "true").parquet(f"{folder}/out").orderBy("event_id").collect()
+    assert [r["title"] for r in got] == titles
+    assert [r["fresh"] for r in got] == readers.bounded_first_seen(titles, most)
+    assert left == {name: len(list(shared.glob(f"*/{name}-*"))) for name in left}
+    with pytest.raises(ValueError, match="micro-batch 6"):
+        write(df, 7)
+
+
+def test_a_stream_of_titles_asks_no_store_for_each(spark, tmp_path):
+    """20,000 titles over a restart; no operator keeps them in the state store, where each would take some calls."""
+    folder, titles = f"file://{tmp_path}", [f"title {k % 15_000}" if k % 9 else f"title {k % 500}" for k in range(20_000)]
+    df = spark.createDataFrame([(k, k, t) for k, t in enumerate(titles)], "ts long, event_id long, title string")
+    for k in range(2):
+        df.where(F.col("ts").between(10_000 * k, 10_000 * k + 9_999)).write.parquet(f"{folder}/in/{k}")
+        stream = spark.readStream.schema(df.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+        query = pipeline.run_available(stream, pipeline.seen_lately(f"{folder}/out", f"{folder}/memory"), f"{folder}/state")
+        assert not any(p.stateOperators for p in query.recentProgress)
+    got = spark.read.schema("event_id long, fresh boolean").option("recursiveFileLookup", "true").parquet(f"{folder}/out").orderBy("event_id").collect()
+    assert [r["fresh"] for r in got] == readers.bounded_first_seen(titles)

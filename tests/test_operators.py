@@ -276,3 +276,28 @@ def test_a_bounded_memory_in_blocks(spark, block, halo, most):
     assert got.columns == ["at", "title", "fresh_title", "fresh"]
     assert [r["fresh"] for r in got.orderBy("at").collect()] == readers.bounded_first_seen(titles, most)
     assert seen.seen_lately(df.where("at < 0"), ["at"]).count() == 0
+
+
+def test_a_memory_that_keeps_its_start_takes_few_rounds(spark):
+    """Few titles are never pushed out, so no rows before a block tell in which order they came: 38 blocks, all guessed wrong."""
+    from pathlib import Path
+
+    rng = random.Random(5)
+    titles = [f"t{rng.randrange(10 + i // 40)}" for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(titles)), "at long, title string").repartition(3)
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = len(list(folder.glob("*/wrong-*")))
+    got = seen.seen_lately(df, ["at"], most=18, block=8, halo=4)
+    assert [r["fresh"] for r in got.orderBy("at").collect()] == readers.bounded_first_seen(titles, 18)
+    assert 2 <= len(list(folder.glob("*/wrong-*"))) - before <= 5
+
+
+def test_a_memory_leaves_other_columns_as_they_are(spark):
+    rows = [(k, None if k % 3 else (1 << 62) + k, f"t{k % 7}") for k in range(40)]
+    df = spark.createDataFrame(rows, "at long, other long, title string")
+    memory = spark.createDataFrame([(bytearray(b'["t3", "t0"]'),)], "memory binary")
+    got, after = seen.remembered(df, ["at"], most=5, block=8, halo=4, memory=memory)
+    known = {"t3": None, "t0": None}
+    want = readers.bounded_first_seen([r[2] for r in rows], 5, known)
+    assert [tuple(r) for r in got.orderBy("at").collect()] == [(*r, fresh) for r, fresh in zip(rows, want, strict=True)]
+    assert [bytes(r["memory"]) for r in after.collect()] == [__import__("json").dumps(list(known)).encode()]

@@ -183,12 +183,11 @@ def _(s, d):
 
 @query("flt10_bounded_first_seen_stream", SEEN_SQL)
 def _(s, d):
-    """The same memory as the state of a stream, over two restarts."""
-    live.use_state_store(s)
+    """The same memory kept by a stream from micro-batch to micro-batch, over two restarts."""
     source, out, state = scratch(s, "titles"), scratch(s, "fresh"), scratch(s, "checkpoint")
     rows = titled(s, d)
     for k, part in enumerate(in_parts(rows, 3, 0)):
         part.write.parquet(f"{source}/part={k}")
-        stream = pipeline.seen_lately(s.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(source))
-        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    return s.read.schema(stream.schema).parquet(out).select("event_id", "fresh")
+        stream = s.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(source)
+        pipeline.run_available(stream, pipeline.seen_lately(f"{out}/rows", f"{out}/memory"), state)
+    return s.read.schema("event_id long, fresh boolean").option("recursiveFileLookup", "true").parquet(f"{out}/rows")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,7 +16,9 @@ from tidewater.operators.ensemble import ensemble_score
 from tidewater.operators.detectors.autoencoder import Autoencoder
 from tidewater.operators.detectors.hst import HalfSpaceTrees
 from tidewater.operators.detectors.iforest import IsolationForest
-from tidewater.operators.sequence import REPLAY, Key, with_iforest
+from tidewater.operators.seen import remembered
+from tidewater.operators.sequence import BLOCK, REPLAY, Key, with_iforest
+from tidewater.scratch import passing
 
 SCORED = f"ticker string, window_end long, price_change_rate double, total_volume double, avg_sentiment double, sentiment_shift double, hst double, {REPLAY}"
 
@@ -37,45 +39,27 @@ def unseen(items: DataFrame, key: str = "title", time: str = "time", within: str
     return items.withWatermark(time, within).dropDuplicatesWithinWatermark([key])
 
 
-class Memory(StatefulProcessor):
-    """A ring of the last `most` titles that were new, over all tickers: two maps, by title and by place, and a counter."""
+def seen_lately(out: str, state: str, order: tuple[str, ...] = ("ts", "event_id"), most: int = SETTINGS.seen_titles, block: int = BLOCK, halo: int | None = None) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: writes the items with `fresh`, whether the title isn't among the last `most` that were fresh, to `out`, a folder for each micro-batch.
 
-    def __init__(self, most: int) -> None:
-        self.most = most
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.count = handle.getValueState("count", "n long")
-        self.known = handle.getMapState("known", "title string", "n long")
-        self.ring = handle.getMapState("ring", "place long", "title string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        pdf = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable", ignore_index=True)
-        n = self.count.get()[0] if self.count.exists() else 0
-        fresh = []
-        for title in pdf["title"].tolist():
-            fresh.append(not self.known.containsKey((title,)))
-            if fresh[-1]:
-                place = (n % self.most,)
-                if n >= self.most:
-                    self.known.removeKey(self.ring.getValue(place))
-                self.ring.updateValue(place, (title,))
-                self.known.updateValue((title,), (n,))
-                n += 1
-        self.count.update((n,))
-        yield pdf[["ts", "event_id", "title"]].assign(fresh=fresh)
-
-    def close(self) -> None:
-        pass
-
-
-def seen_lately(items: DataFrame, most: int = SETTINGS.seen_titles) -> DataFrame:
-    """ts, event_id, title and fresh: whether the title isn't among the last `most` that were fresh, over all tickers.
-
-    A repeat doesn't refresh its place, and a title that was pushed out is fresh again.  Micro-batches in the order of ts and
-    event_id; the one memory makes it one key.  Items without a title go.
+    A repeat doesn't refresh its place, and a title that was pushed out is fresh again.  Micro-batches come in order, the rows
+    of one in any; items without a title go.  The work of a micro-batch is dealt in blocks (`seen.remembered`).  `state` holds
+    the memories after the last two, so that one which comes again starts from the same memory and replaces what it wrote.
     """
-    rows = items.where("title is not null").select("ts", "event_id", "title", F.lit(0).alias("all"))
-    return rows.groupBy("all").transformWithStateInPandas(Memory(most), outputStructType="ts long, event_id long, title string, fresh boolean", outputMode="append", timeMode="None")
+
+    def write(batch: DataFrame, n: int) -> None:
+        s, memory = batch.sparkSession, None
+        if n:
+            memory = s.read.schema("batch long, memory binary").parquet(f"{state}/{(n - 1) % 2}").where(F.col("batch") == n - 1)
+            if memory.count() != 1:
+                raise ValueError(f"{state} doesn't hold the memory after micro-batch {n - 1}")
+        with passing(s):
+            rows, after = remembered(batch, list(order), most=most, block=block, halo=halo, memory=memory)
+            after = s.createDataFrame([(bytearray(b"[]"),)], "memory binary") if after is None else after
+            rows.write.mode("overwrite").parquet(f"{out}/batch={n}")
+            after.select(F.lit(n).cast("long").alias("batch"), "memory").coalesce(1).write.mode("overwrite").parquet(f"{state}/{n % 2}")
+
+    return write
 
 
 class Scoring(StatefulProcessor):
